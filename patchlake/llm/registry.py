@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patchlake.llm import encode, percentiles, splits
+from patchlake.llm import encode, lookalike, mixture, percentiles, pieces, splits
 
-_MODULES = (percentiles, splits, encode)
+_MODULES = (percentiles, splits, pieces, encode, mixture, lookalike)
 
 
 def queries() -> dict:

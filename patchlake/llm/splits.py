@@ -12,7 +12,7 @@ an unreadable side are ignored.  Repeated links and entries change nothing; an e
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from patchlake.session import checkpoint, join_on_hot_key, table
 
@@ -126,8 +126,8 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """split, entries, share, families, hold_out_share."""
     s = p3_splits(spark, sf_dir)
     per = s.groupBy("split").agg(F.count("*").alias("entries"), F.countDistinct("group_id").alias("families"), F.round(F.avg(F.col("hold_out").cast("double")), 4).alias("hold_out_share"))
-    total = per.agg(F.sum("entries").alias("total"))
-    return per.crossJoin(F.broadcast(total)).select("split", "entries", F.round(F.col("entries") / F.col("total"), 4).alias("share"), "families", "hold_out_share")
+    per = per.withColumn("total", F.sum("entries").over(Window.partitionBy()))  # three rows
+    return per.select("split", "entries", F.round(F.col("entries") / F.col("total"), 4).alias("share"), "families", "hold_out_share")
 
 
 _KEY = r"""
