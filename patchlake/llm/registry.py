@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patchlake.llm import encode, generated, lookalike, mixture, percentiles, pieces, splits
+from patchlake.llm import credentials, encode, generated, lookalike, mixture, percentiles, pieces, splits
 
-_MODULES = (percentiles, splits, pieces, generated, encode, mixture, lookalike)
+_MODULES = (percentiles, credentials, splits, pieces, generated, encode, mixture, lookalike)
 
 
 def queries() -> dict:
