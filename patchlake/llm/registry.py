@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patchlake.llm import credentials, encode, generated, lookalike, mixture, overlap, percentiles, pieces, splits
+from patchlake.llm import credentials, encode, generated, lookalike, mixture, overlap, percentiles, pieces, splits, syntax
 
-_MODULES = (percentiles, credentials, splits, pieces, generated, overlap, encode, mixture, lookalike)
+_MODULES = (percentiles, credentials, splits, pieces, generated, syntax, overlap, encode, mixture, lookalike)
 
 
 def queries() -> dict:
