@@ -42,18 +42,18 @@ def status_rank(c: str = "verification_status") -> Column:
 
 def category(c: str = "category") -> Column:
     """Trimmed, lower case, general where empty."""
-    bare = F.lower(F.trim(F.col(c)))
+    bare = F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
     return F.when(F.col(c).isNull() | (bare == ""), F.lit("general")).otherwise(bare)
 
 
 def identifier_tokens(c: Column) -> Column:
     """Distinct identifiers of three characters and more in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)[A-Za-z_]\w{2,}"), F.lit(0)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z_][\p{L}\p{N}_]{2,}"), F.lit(0)), F.lower))
 
 
 def word_tokens(c: Column) -> Column:
     """Identifiers and whole numbers in lower case, with repetitions."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)[A-Za-z_]\w*|\b\d+\b"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z_][\p{L}\p{N}_]*|(?<![\p{L}\p{N}_])\p{Nd}+(?![\p{L}\p{N}_])"), F.lit(0)), F.lower)
 
 
 def overlap(a: Column, b: Column) -> Column:

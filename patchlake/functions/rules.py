@@ -109,12 +109,12 @@ def java_pattern(flags: str, pattern: str) -> str:
     return f"(?dU{flags})" + pattern
 
 
-def hits(text: Column) -> Column:
+def hits(text: Column, rules: list[tuple[str, str, str, str]] = RULES) -> Column:
     """Array of (category, rule) structs of the rules that the text meets."""
-    each = [F.when(text.rlike(java_pattern(fl, p)), F.struct(F.lit(c).alias("category"), F.lit(r).alias("rule_id"))) for c, r, fl, p in RULES]
+    each = [F.when(text.rlike(java_pattern(fl, p)), F.struct(F.lit(c).alias("category"), F.lit(r).alias("rule_id"))) for c, r, fl, p in rules]
     return F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
-def rule_hits(lines: DataFrame, text: str = "text") -> DataFrame:
+def rule_hits(lines: DataFrame, text: str = "text", rules: list[tuple[str, str, str, str]] = RULES) -> DataFrame:
     """One row per line and rule met; lines come with all their columns."""
-    return lines.withColumn("_h", F.explode(hits(F.col(text)))).select("*", F.col("_h.category").alias("category"), F.col("_h.rule_id").alias("rule_id")).drop("_h")
+    return lines.withColumn("_h", F.explode(hits(F.col(text), rules))).select("*", F.col("_h.category").alias("category"), F.col("_h.rule_id").alias("rule_id")).drop("_h")

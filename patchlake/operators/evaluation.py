@@ -47,9 +47,10 @@ def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
 
 
-def clean(c: str) -> Column:
-    """Latency or cost; null and NaN do not count."""
-    return F.when(~F.isnan(c), F.col(c))
+def mean(c: str) -> Column:
+    """Mean of latency or cost, independent of the order of rows; null and NaN do not count."""
+    exact = F.when(~F.isnan(c), F.col(c)).cast("decimal(28,9)")
+    return F.sum(exact).cast("double") / F.count(exact)
 
 
 def system_metrics(scores: DataFrame, by: tuple[str, ...] = ("system",)) -> DataFrame:
@@ -63,8 +64,8 @@ def system_metrics(scores: DataFrame, by: tuple[str, ...] = ("system",)) -> Data
         F.count_if("severity_correct").alias("right_severity"),
         F.count_if("success").alias("done"),
         F.count("*").alias("entries"),
-        F.avg(clean("latency_seconds")).alias("latency"),
-        F.avg(clean("cost_usd")).alias("cost"),
+        mean("latency_seconds").alias("latency"),
+        mean("cost_usd").alias("cost"),
         F.sum("tokens").alias("total_tokens"),
     )
     s = s.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))

@@ -35,7 +35,7 @@ def stage_durations(events: DataFrame, budget_seconds: float = 300.0) -> DataFra
     """Stage runs from their start to their end, with whether they passed the budget; an open stage has no end."""
     e = events.where((F.col("stage") != "") & F.col("kind").isin("stage_start", *DONE))
     d = e.groupBy("review_id", "stage").agg(F.min(F.when(F.col("kind") == "stage_start", F.col("event_ts"))).alias("begun"), F.max(F.when(F.col("kind").isin(*DONE), F.col("event_ts"))).alias("ended"))
-    seconds = F.round((F.unix_micros("ended") - F.unix_micros("begun")) / 1e6, 3)
+    seconds = F.round(F.expr("timestampdiff(MICROSECOND, begun, ended)") / 1e6, 3)
     return d.withColumn("seconds", seconds).withColumn("over_budget", F.col("seconds") > budget_seconds)
 
 

@@ -159,7 +159,7 @@ def cross_tab(findings: DataFrame) -> DataFrame:
 def verification_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("review_id").agg(
         *[F.count_if(F.col("evidence_status") == s).alias(s) for s in C.EVIDENCE_RANK],
-        F.round(F.avg("confidence"), 4).alias("mean_confidence"),
+        (F.floor(F.sum(F.round(F.col("confidence") * 1e6).cast("bigint")) / F.count("confidence")) / 1e6).alias("mean_confidence"),
         F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
     )
 

@@ -1,11 +1,605 @@
-"""Queries and oracle SQL of the review engine's own operators."""
+"""Queries of the review engine's own operators; their oracle SQL is in ``oracles``.
+
+Every query runs over its whole tables.  Operator names of program analysis begin with ``code_``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from patchlake.functions import columns as C, rules
+from patchlake.operators import code, diffs, evaluation as ev, events, findings as fi, retrieval as rt
+from patchlake.sources import sinks
+from patchlake.session import table
+from patchlake.streaming import events as stream
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+IGNORED = ("*/ledger.*", "tests/*", "*.md")
+LIMITS = {"critical": 0, "high": 2, "medium": 4}
+
+
+def query(f: Callable) -> Callable:
+    Q[f.__name__] = f
+    return f
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    return fi.delivered(table(spark, d, "findings"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark_entries")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshot files: entry_id, path, content."""
+    return _entries(spark, d).select("entry_id", F.explode("base_files").alias("path", "content"))
+
+
+# --- findings ---------------------------------------------------------------------------------------------------------
+
+
+@query
+def r1_rank_findings(spark, d):
+    kept = fi.keep(fi.dedupe(_findings(spark, d))).withColumn("severity", C.stabilised_severity())
+    return fi.rank(kept).select("review_id", "rank", "ord", "category", "severity", "confidence", "file_path", "start_line")
+
+
+@query
+def g1_dedupe_findings(spark, d):
+    return fi.dedupe(_findings(spark, d)).select("review_id", "file_path", "category", "start_line", "ord", "first_ord", "severity", "confidence")
+
+
+@query
+def g2_merge_groups(spark, d):
+    """Strictly higher confidence wins a key, else the first."""
+    f = _findings(spark, d)
+    return f.groupBy("review_id", "file_path", "category", "start_line").agg(F.max_by("ord", F.struct("confidence", -F.col("ord"))).alias("ord"), F.max("confidence").alias("confidence"))
+
+
+@query
+def f1_filter_findings(spark, d):
+    return fi.keep(_findings(spark, d), 0.7, "lenient").select("review_id", "ord", "confidence", "evidence_status")
+
+
+@query
+def f3_ignored_files(spark, d):
+    return fi.ignored(_findings(spark, d), IGNORED).select("review_id", "ord", "file_path")
+
+
+@query
+def f10_severity_gate(spark, d):
+    return fi.gate(_findings(spark, d), "critical")
+
+
+@query
+def f11_count_gate(spark, d):
+    return fi.count_gate(_findings(spark, d), LIMITS)
+
+
+@query
+def f12_gate_level(spark, d):
+    """Gate level of each repository: the least severe level of which some review of it has a finding."""
+    config = _findings(spark, d).groupBy(F.col("repository").alias("config_id"), "severity").agg(F.count("*").alias("most"))
+    return fi.gate_level(config)
+
+
+@query
+def g3_clusters(spark, d):
+    return fi.clusters(_findings(spark, d))
+
+
+@query
+def g4_severity_counts(spark, d):
+    return fi.severity_counts(_findings(spark, d))
+
+
+@query
+def g17_verification_summary(spark, d):
+    return fi.verification_summary(_findings(spark, d))
+
+
+@query
+def g18_action_counts(spark, d):
+    """Findings by what a triage would do with them: their evidence status, per category."""
+    return _findings(spark, d).groupBy("category", "evidence_status").agg(F.count("*").alias("n"))
+
+
+@query
+def g19_cross_tab(spark, d):
+    return fi.cross_tab(_findings(spark, d))
+
+
+@query
+def j4_interactions(spark, d):
+    return fi.interactions(_findings(spark, d))
+
+
+@query
+def j6_selections(spark, d):
+    f = _findings(spark, d)
+    chosen = f.where("rule_id is not null").select("review_id", F.col("ord").alias("sel"), "file_path", "start_line", "category", "title")
+    return fi.selections(chosen, f.where("rule_id is null"))
+
+
+@query
+def j7_unmentioned(spark, d):
+    f = _findings(spark, d)
+    return fi.unmentioned(f, f.where("evidence_status = 'confirmed'")).select("review_id", "ord", "file_path", "category", "start_line")
+
+
+@query
+def j8_not_dismissed(spark, d):
+    k = rt.knowledge(table(spark, d, "documents")).where("kind = 'dismissed'").withColumn("source_file", F.regexp_extract("content", r"([\w/]+\.(?:py|js|go|java))", 1))
+    return rt.not_dismissed(_findings(spark, d), k).select("review_id", "ord")
+
+
+@query
+def u1_correlated(spark, d):
+    """Findings with their interactions appended, clustered again; counts per review."""
+    f = _findings(spark, d)
+    made = fi.interactions(f).select("review_id", (F.lit(1_000_000) + F.row_number().over(Window.partitionBy("review_id").orderBy("rule_id", "file_path", "start_line"))).cast("bigint").alias("ord"), "category", C.lookup(F.col("severity_rank"), {v: k for k, v in C.SEVERITY_RANK.items()}, "info").alias("severity"), "confidence", F.col("rule_id").alias("title"), F.col("rule_id").alias("description"), "file_path", "start_line")
+    every = f.select(*made.columns).unionByName(made)
+    return fi.clusters(every).groupBy("review_id").agg(F.count("*").alias("findings"), F.countDistinct("cluster", "canonical").alias("clusters"))
+
+
+@query
+def x9_derived_severity(spark, d):
+    return _findings(spark, d).select("review_id", "ord", C.stabilised_severity().alias("severity"))
+
+
+@query
+def x11_status_maps(spark, d):
+    f = _findings(spark, d)
+    return f.groupBy("verification_status", "evidence_status", C.lookup(F.col("evidence_status"), C.STATUS_OF_EVIDENCE, "unverified").alias("status_of_evidence")).agg(F.count("*").alias("n"))
+
+
+@query
+def x17_finding_ids(spark, d):
+    return _findings(spark, d).select("review_id", "ord", fi.finding_id().alias("finding_id"))
+
+
+@query
+def k1_json_documents(spark, d):
+    return sinks.json_documents(_findings(spark, d)).select("review_id", F.size(F.from_json("document", "findings array<struct<ord: bigint>>")["findings"]).alias("findings"), F.get_json_object("document", "$.findings[0].ord").cast("bigint").alias("first_ord"))
+
+
+@query
+def k2_sarif(spark, d):
+    s = sinks.sarif(_findings(spark, d))
+    run = F.from_json("document", "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string>>>>")
+    return s.select("review_id", run.alias("r")).select("review_id", F.col("r.version").alias("version"), F.size(F.col("r.runs")[0]["results"]).alias("results"), F.size(F.col("r.runs")[0]["tool"]["driver"]["rules"]).alias("rules"))
+
+
+@query
+def k2_sarif_levels(spark, d):
+    return sinks.sarif_results(_findings(spark, d))
+
+
+@query
+def k3_markdown(spark, d):
+    return sinks.markdown(_findings(spark, d))
+
+
+@query
+def k5_comments(spark, d):
+    return sinks.comments(fi.rank(_findings(spark, d))).select("review_id", "rank", "path", "line", F.length("body").alias("n_chars"))
+
+
+@query
+def k11_redacted_meta(spark, d):
+    e = events.delivered(table(spark, d, "workflow_events"))
+    return e.select("event_no", F.explode(sinks.redacted(F.col("meta"))).alias("key", "value")).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+# --- diffs ------------------------------------------------------------------------------------------------------------
+
+
+@query
+def d1_diff_files(spark, d):
+    return diffs.files(_entries(spark, d))
+
+
+@query
+def d2_numbered_lines(spark, d):
+    return diffs.numbered(_entries(spark, d)).select("entry_id", "pos", "kind", "text", "old_line", "new_line")
+
+
+@query
+def d3_hunks(spark, d):
+    return diffs.hunks(_entries(spark, d)).drop("note")
+
+
+@query
+def d4_added_removed(spark, d):
+    return diffs.numbered(_entries(spark, d)).where("kind <> 'context'").groupBy("entry_id", "kind").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query
+def d5_changed_lines(spark, d):
+    return diffs.numbered(_entries(spark, d)).where("kind = 'added'").select("entry_id", "file_idx", "new_line")
+
+
+@query
+def d6_changed_ranges(spark, d):
+    return diffs.changed_ranges(diffs.numbered(_entries(spark, d)))
+
+
+@query
+def d7_languages(spark, d):
+    return diffs.files(_entries(spark, d)).groupBy("language", "status").agg(F.count("*").alias("files"), F.sum("added").alias("added"))
+
+
+@query
+def d8_to_text(spark, d):
+    return diffs.to_text(_entries(spark, d)).select("entry_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query
+def d9_focused_files(spark, d):
+    lines = diffs.numbered(_entries(spark, d))
+    hits = rules.rule_hits(lines.where("kind = 'added'").select("entry_id", "file_idx", "text"))
+    return diffs.focused(lines, hits).groupBy("category").agg(F.count("*").alias("files"), F.countDistinct("entry_id").alias("entries"))
+
+
+@query
+def d10_reversed(spark, d):
+    return diffs.reversed_lines(diffs.numbered(_entries(spark, d))).groupBy("kind").agg(F.count("*").alias("lines"), F.sum("old_line").alias("old_sum"), F.sum("new_line").alias("new_sum"))
+
+
+@query
+def d11_embedded_patches(spark, d):
+    """Recommendations that carry a patch, and where it begins."""
+    f = _findings(spark, d)
+    return f.select("review_id", "ord", F.regexp_extract("recommendation", r"(?s)(diff --git .*?)(?:```|\n\n|$)", 1).alias("patch")).where("patch <> ''")
+
+
+def _sizes(spark, d):
+    lines = diffs.numbered(_entries(spark, d)).groupBy("entry_id", "file_idx").agg(F.sum(F.length("text") + 1).alias("chars"))
+    return diffs.files(_entries(spark, d)).join(lines, ["entry_id", "file_idx"]).select("entry_id", "file_idx", "path", F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).alias("tokens"))
+
+
+@query
+def w3_budget_groups(spark, d):
+    return diffs.budget_groups(_sizes(spark, d), 120)
+
+
+@query
+def g14_group_descriptions(spark, d):
+    return diffs.group_descriptions(diffs.budget_groups(_sizes(spark, d), 120))
+
+
+@query
+def f2_rule_hits(spark, d):
+    lines = diffs.numbered(_entries(spark, d)).where("kind = 'added'")
+    return rules.rule_hits(lines.select("entry_id", "pos", "text")).groupBy("category", "rule_id").agg(F.count("*").alias("lines"), F.countDistinct("entry_id").alias("entries"))
+
+
+@query
+def f2_plain_rule_hits(spark, d):
+    """The same for the rules without lookahead, which SQL can check."""
+    lines = diffs.numbered(_entries(spark, d)).where("kind = 'added'")
+    plain = [r for r in rules.RULES if "(?!" not in r[3]]
+    return rules.rule_hits(lines.select("entry_id", "pos", "text"), rules=plain).groupBy("category", "rule_id").agg(F.count("*").alias("lines"), F.countDistinct("entry_id").alias("entries"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+def _scores(spark, d):
+    return table(spark, d, "entry_scores").dropDuplicates(["score_id"]).withColumn("system", F.lower(F.trim("system"))).where("system is not null")
+
+
+@query
+def g6_system_metrics(spark, d):
+    return ev.system_metrics(_scores(spark, d))
+
 
-def queries() -> dict:
-    return {}
+def _halves(spark, d):
+    s = _scores(spark, d)
+    return tuple(ev.system_metrics(s.where(c)) for c in ("scored_at < timestamp'2025-04-01'", "scored_at >= timestamp'2025-04-01'"))
+
+
+@query
+def j12_regressions(spark, d):
+    return ev.compare(*_halves(spark, d))
+
+
+@query
+def u4_system_differences(spark, d):
+    """Systems that only one of two runs has."""
+    s = _scores(spark, d).select("run_id", "system").distinct()
+    a, b = (s.where(F.col("run_id").endswith(x)).select("system").distinct() for x in ("-0", "-1"))
+    return a.join(b, "system", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "system", "left_anti").withColumn("side", F.lit("extra")))
+
+
+@query
+def k12_result_rows(spark, d):
+    return ev.table_rows(ev.system_metrics(_scores(spark, d)))
+
+
+def _predictions(spark, d):
+    """One prediction per file of an entry's diff, saying what the fix says."""
+    e = _entries(spark, d).select("entry_id", F.col("bug_fix").alias("text"), F.lower("severity").alias("severity"))
+    return diffs.files(_entries(spark, d)).select("entry_id", F.col("file_idx").alias("pred"), F.col("path").alias("file_path")).join(e, "entry_id")
+
+
+@query
+def j9_gold_matches(spark, d):
+    return ev.matches(_entries(spark, d), _predictions(spark, d)).select("entry_id", "pred", "matched", "negative")
+
+
+@query
+def g5_entry_scores(spark, d):
+    return ev.entry_scores(ev.matches(_entries(spark, d), _predictions(spark, d)))
+
+
+@query
+def f8_leakage_guard(spark, d):
+    return ev.leaks(_entries(spark, d))
+
+
+@query
+def j11_entries_by_system(spark, d):
+    """Runs asked of every system: each held-out entry by each system, with how many scores there are."""
+    held = _entries(spark, d).where("hold_out").select("entry_id")
+    s = _scores(spark, d)
+    systems = F.broadcast(s.select("system").distinct())  # the systems under test: a handful
+    n = s.groupBy("entry_id", "system").agg(F.count("*").alias("scores"))
+    return held.join(systems).join(n, ["entry_id", "system"], "left").select("entry_id", "system", F.coalesce("scores", F.lit(0)).alias("scores"))
+
+
+# --- text and retrieval -----------------------------------------------------------------------------------------------
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents")
+
+
+@query
+def x1_identifier_tokens(spark, d):
+    return _documents(spark, d).select("doc_id", F.size(C.identifier_tokens(F.col("text"))).alias("tokens"))
+
+
+@query
+def x4_token_estimate(spark, d):
+    return _documents(spark, d).where("text is not null").select("doc_id", C.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def g12_document_frequency(spark, d):
+    return rt.document_frequency(rt.terms(_documents(spark, d)))
+
+
+@query
+def g13_term_counts(spark, d):
+    return rt.terms(_documents(spark, d))
+
+
+@query
+def x5_idf(spark, d):
+    docs = _documents(spark, d)
+    n = docs.select(F.count("*").alias("n"))
+    return rt.document_frequency(rt.terms(docs)).join(F.broadcast(n)).select("token", F.round(rt.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query
+def x6_hashed_features(spark, d):
+    return rt.document_frequency(rt.terms(_documents(spark, d))).select("token", C.hashed_index(F.col("token"), rt.DIMENSION).alias("idx"), C.hashed_sign(F.col("token")).alias("sign"))
+
+
+@query
+def x7_tfidf_vectors(spark, d):
+    return rt.weighted(_documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("features"), F.round(F.sum(F.abs("weight")), 4).alias("l1"))
+
+
+@query
+def x18_slugs(spark, d):
+    return _entries(spark, d).select("entry_id", C.slug(F.col("repository")).alias("slug"))
+
+
+@query
+def x20_directories(spark, d):
+    return _findings(spark, d).select("review_id", "ord", C.directory(F.col("file_path")).alias("directory"))
+
+
+@query
+def x21_query_text(spark, d):
+    """Knowledge query of an entry: description and added lines, cut."""
+    added = diffs.numbered(_entries(spark, d)).where("kind = 'added'").groupBy("entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("added"))
+    return _entries(spark, d).join(added, "entry_id", "left").select("entry_id", F.md5(F.substring(F.concat_ws("\n", "bug_description", "added"), 1, 8000)).alias("digest"))
+
+
+@query
+def x24_import_names(spark, d):
+    """Names that added Python import lines bind."""
+    a = diffs.numbered(_entries(spark, d)).where("kind = 'added'")
+    clause = F.coalesce(F.nullif(F.regexp_extract("text", r"^\s*from\s+\S+\s+import\s+\(?([\w ,.]+)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"^\s*import\s+([\w ,.]+)$", 1), F.lit("")))
+    return a.select("entry_id", "pos", clause.alias("clause")).where("clause is not null").select("entry_id", "pos", F.explode(F.split("clause", ",")).alias("part")).select("entry_id", "pos", F.regexp_extract(F.trim(F.regexp_replace("part", r"^.* as ", "")), r"^([A-Za-z_]\w*)", 1).alias("name")).where("name <> ''")
+
+
+@query
+def r2_nearest_vectors(spark, d):
+    v = table(spark, d, "embeddings")
+    return rt.nearest(v, v.where("vec_id % 50 = 0")).select("query_id", "rank", "score")
+
+
+@query
+def w4_budget_prefix(spark, d):
+    rows = _documents(spark, d).where("text is not null")
+    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000).select("repository", "doc_id", "used")
+
+
+@query
+def s7_budget_overshoot(spark, d):
+    rows = _documents(spark, d).where("text is not null and trim(text) <> ''")
+    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000, overshoot=True).select("repository", "doc_id", "used")
+
+
+@query
+def s12_sections(spark, d):
+    return rt.sections(_documents(spark, d)).select("doc_id", "section", F.length("title").alias("title_chars"))
+
+
+@query
+def s11_knowledge_scope(spark, d):
+    """Entries that a repository sees: its own and the global ones."""
+    k = rt.knowledge(_documents(spark, d))
+    return k.groupBy("repository", "kind").agg(F.count("*").alias("entries"))
+
+
+@query
+def x12_content_ids(spark, d):
+    return rt.knowledge(_documents(spark, d)).select("doc_id", "content_id")
+
+
+@query
+def k8_add_new(spark, d):
+    k = rt.knowledge(_documents(spark, d))
+    return rt.add_new(k.where("kind = 'rule'"), k.where("kind <> 'rule'")).select("doc_id", "kind")
+
+
+@query
+def g16_captured(spark, d):
+    k = rt.knowledge(_documents(spark, d))
+    return rt.add_new(k.where("kind = 'rule'"), k.where("kind <> 'rule'")).groupBy("kind").agg(F.count("*").alias("added"))
+
+
+@query
+def r4_knowledge_search(spark, d):
+    """The four best entries for every held-out bug description."""
+    k = rt.knowledge(_documents(spark, d))
+    q = _entries(spark, d).where("hold_out").select(F.col("entry_id").alias("query_id"), F.col("bug_description").alias("query"), "repository", F.coalesce("category", F.lit("")).alias("category"))
+    return rt.search(k, q)
+
+
+@query
+def x16_rendered(spark, d):
+    k = rt.knowledge(_documents(spark, d)).where("kind = 'rule'")
+    return rt.rendered(k, "repository", ["doc_id"]).select("repository", F.length("block").alias("n_chars"))
+
+
+# --- events -----------------------------------------------------------------------------------------------------------
+
+
+def _events(spark, d):
+    return events.delivered(table(spark, d, "workflow_events"))
+
+
+@query
+def g9_usage_totals(spark, d):
+    return events.usage_totals(_events(spark, d))
+
+
+@query
+def w10_running_usage(spark, d):
+    return events.usage(_events(spark, d)).select("review_id", "event_no", "tokens_so_far", "calls_so_far")
+
+
+@query
+def g10_latest_status(spark, d):
+    return events.latest_status(_events(spark, d))
+
+
+@query
+def e4_stage_deadlines(spark, d):
+    return events.stage_durations(_events(spark, d), 20.0).select("review_id", "stage", "seconds", "over_budget")
+
+
+@query
+def w8_history_tail(spark, d):
+    return events.capped_history(_events(spark, d))
+
+
+@query
+def e1_stage_stats(spark, d):
+    return events.stage_stats(_events(spark, d))
+
+
+@query
+def e2_stream_usage(spark, d):
+    return stream.run(stream.usage_totals(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+
+
+@query
+def e3_stream_status(spark, d):
+    return stream.run(stream.latest_status(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+
+
+@query
+def e6_stream_counts(spark, d):
+    return stream.run(stream.kind_counts(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+
+
+@query
+def e7_stream_daily_counts(spark, d):
+    return stream.run(stream.windowed_counts(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+
+
+# --- program analysis -------------------------------------------------------------------------------------------------
+
+
+@query
+def code_facts(spark, d):
+    return code.facts(_files(spark, d)).groupBy("fact").agg(F.count("*").alias("n"), F.countDistinct("entry_id", "path").alias("files"))
+
+
+@query
+def code_definitions(spark, d):
+    return code.facts(_files(spark, d)).where("fact in ('function', 'async', 'class', 'variable')").select("entry_id", "path", "fact", "name", "line")
+
+
+@query
+def code_unused_imports(spark, d):
+    return code.unused_imports(code.facts(_files(spark, d)))
+
+
+@query
+def code_callers(spark, d):
+    return code.callers(code.facts(_files(spark, d)))
+
+
+@query
+def code_taint(spark, d):
+    return code.facts(_files(spark, d)).where("fact = 'taint'").select("entry_id", "path", F.col("name").alias("kind"), "line", F.col("detail").alias("chain"))
+
+
+@query
+def code_flaws(spark, d):
+    kinds = ("mutable-default", "dangerous-call", "sql-construction", "bare-except", "swallowed-except", "blocking-in-async", "unreachable", "unused-local")
+    return code.facts(_files(spark, d)).where(F.col("fact").isin(*kinds)).select("entry_id", "path", F.col("fact").alias("rule_id"), "line")
+
+
+@query
+def code_chunks(spark, d):
+    return code.chunks(_files(spark, d)).groupBy("entry_id", "path").agg(F.count("*").alias("chunks"), F.max("last_line").alias("last_line"))
+
+
+@query
+def code_snapshot_budget(spark, d):
+    return code.bounded_snapshot(_files(spark, d), 4000).select("entry_id", "path", "used")
+
+
+@query
+def code_verified(spark, d):
+    """Verification of one finding per entry and touched file, at its first added line."""
+    e = _entries(spark, d)
+    files_, lines = diffs.files(e), diffs.numbered(e)
+    placed = lines.join(files_.select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    first = placed.where("kind = 'added'").groupBy("entry_id", "path").agg(F.min("new_line").alias("start_line"))
+    text = e.select("entry_id", C.category().alias("category"), F.col("bug_fix").alias("title"), F.col("bug_description").alias("description"))
+    found = files_.select("entry_id", F.col("file_idx").alias("ord"), "path").distinct().join(first, ["entry_id", "path"], "left").join(text, "entry_id").withColumnRenamed("path", "file_path")
+    hits = rules.rule_hits(placed.where("kind = 'added'").select("entry_id", "path", F.col("new_line").alias("line"), "text")).select("entry_id", "path", "line", "category", "rule_id")
+    return code.verify(found, placed, files_, _files(spark, d).select("entry_id", "path"), hits).groupBy("method", "evidence_status").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from patchlake.plans.oracles import SQL
+
+    return dict(SQL)

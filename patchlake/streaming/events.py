@@ -22,6 +22,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, name = (path, "*.parquet") if os.path.isdir(path) else os.path.split(path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(folder)
+    stream = stream.withColumn("received_at", F.col("received_at").cast("timestamp"))  # a watermark needs an instant
     return stream.withWatermark("received_at", LATE).dropDuplicatesWithinWatermark(["event_no"])
 
 
