@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C
+from patchlake.session import spread
 
 MAX_CHARS = 1_000_000
 FACTS = "entry_id string, path string, fact string, name string, line int, detail string"
@@ -212,7 +213,7 @@ def taint(tree: ast.AST, handlers: set) -> list[tuple[str, str, int, str]]:
                     out.append(("taint", kind, call.lineno, f"{chain} > {name}"))
             for i, kinds in known.get(name, {}).items():
                 if i < len(call.args) and (chain := dirty(call.args[i], env)):
-                    out += [("taint", k, call.lineno, f"{chain} > {name}()") for k in sorted(kinds)]
+                    out.extend(("taint", k, call.lineno, f"{chain} > {name}()") for k in sorted(kinds))
             if re.search(r"(?:^|\.)(?:log|logger|logging)\.\w+$", name) and any(isinstance(n, ast.Name) and n.id in SENSITIVE for a in call.args for n in ast.walk(a)):
                 out.append(("taint", "log", call.lineno, name))
 
@@ -237,7 +238,7 @@ def facts(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FACTS.split(", ")])
 
     python = files.where(F.col("path").endswith(".py") & F.col("content").isNotNull() & (F.length("content") <= MAX_CHARS))
-    return python.select("entry_id", "path", "content").mapInPandas(fn, FACTS)
+    return spread(python.select("entry_id", "path", "content")).mapInPandas(fn, FACTS)
 
 
 def unused_imports(found: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def chunks(files: DataFrame) -> DataFrame:
             rows = [(e, p, *c) for e, p, t, lang in zip(b["entry_id"], b["path"], b["content"], b["language"]) for c in chunk(p, t, lang)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return files.where("content is not null").select("entry_id", "path", "content", C.extension_language(F.col("path")).alias("language")).mapInPandas(fn, schema)
+    return spread(files.where("content is not null").select("entry_id", "path", "content", C.extension_language(F.col("path")).alias("language"))).mapInPandas(fn, schema)
 
 
 def verify(findings: DataFrame, lines: DataFrame, file_rows: DataFrame, snapshot: DataFrame, evidence: DataFrame, key: str = "entry_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Unified diffs as tables: files, hunks, numbered lines, ranges, groups, and back to text.
 
 Everything is windows over the lines of one diff, so the only shuffle is on the diff's key.  A header is read as one
-only where a header can stand (before the first hunk of a file, or where ``---`` is followed by ``+++``), so removed
+only where a header can stand (before the first hunk of a file, or where ``---``, ``+++`` and ``@@`` follow one another), so removed
 lines that begin with ``-- `` stay lines.
 """
 
@@ -17,16 +17,16 @@ _GIT_HEADER = r"^(?:diff --git |index |new file mode|deleted file mode|old mode|
 def raw_lines(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """key, pos, line; a final line end opens no further line, carriage returns at line ends go."""
     parts = F.split(F.regexp_replace(F.col(text), r"\n$", ""), "\n", -1)
-    return entries.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(key, F.posexplode(parts).alias("pos", "raw")).select(key, "pos", F.regexp_replace("raw", r"\r$", "").alias("line"))
+    return entries.where(F.col(text).rlike(r"\S")).select(key, F.posexplode(parts).alias("pos", "raw")).select(key, "pos", F.regexp_replace("raw", r"\r$", "").alias("line"))
 
 
 def marked(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """Lines with file_idx, hunk_idx (0 in headers) and their role."""
     by = Window.partitionBy(key).orderBy("pos")
     line = F.col("line")
-    rows = raw_lines(entries, key, text).withColumn("_next", F.lead("line").over(by)).withColumn("_prev", F.lag("line").over(by))
+    rows = raw_lines(entries, key, text).withColumn("_next", F.lead("line").over(by)).withColumn("_then", F.lead("line", 2).over(by)).withColumn("_prev", F.lag("line").over(by))
     git = line.startswith("diff --git ")
-    plain = line.startswith("--- ") & F.coalesce(F.col("_next").startswith("+++ "), F.lit(False)) & ~F.coalesce(F.col("_prev").rlike(_GIT_HEADER), F.lit(False))
+    plain = line.startswith("--- ") & F.coalesce(F.col("_next").startswith("+++ ") & F.col("_then").startswith("@@ -"), F.lit(False)) & ~F.coalesce(F.col("_prev").rlike(_GIT_HEADER), F.lit(False))
     rows = rows.withColumn("_file", (git | plain).cast("int")).withColumn("file_idx", F.sum("_file").over(by))
     in_file = Window.partitionBy(key, "file_idx").orderBy("pos")
     rows = rows.withColumn("_hunk", ((F.col("file_idx") > 0) & line.rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")).cast("int")).withColumn("hunk_idx", F.sum("_hunk").over(in_file))

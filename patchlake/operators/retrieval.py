@@ -70,13 +70,15 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def search(entries: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
     """query_id, doc_id, score, rank by shared tokens, two more where the category is the query's; nothing without overlap.
 
-    Entries without a repository, or of the query's, take part.  The join runs on tokens, so only entries that share one
-    are met; tokens of a hot word are spread by the join's skew handling.
+    Entries without a repository, or of the query's, take part.  The join runs on repository and token, and on
+    the token alone for entries of no repository, so only entries that share one are met.
     """
     e = entries.select("doc_id", F.col("repository").alias("e_repository"), F.col("category").alias("e_category"), F.explode(F.array_distinct(C.word_tokens(F.concat_ws(" ", "title", "content")))).alias("token"))
     q = queries.select("query_id", F.col("repository").alias("q_repository"), F.col("category").alias("q_category"), F.explode(F.array_distinct(C.word_tokens(F.col("query")))).alias("token"))
-    scope = (F.coalesce(F.col("e_repository"), F.lit("")) == "") | (F.col("e_repository") == F.col("q_repository"))
-    met = e.join(q, "token").where(scope).groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.first(F.coalesce((F.col("q_category") != "") & (F.col("e_category") == F.col("q_category")), F.lit(False))).alias("same"))
+    everywhere = F.coalesce(F.col("e_repository"), F.lit("")) == ""
+    own = e.where(~everywhere).join(q, (e["token"] == q["token"]) & (F.col("e_repository") == F.col("q_repository"))).drop("token")
+    pairs = own.unionByName(e.where(everywhere).join(q, "token").drop("token"))
+    met = pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.first(F.coalesce((F.col("q_category") != "") & (F.col("e_category") == F.col("q_category")), F.lit(False))).alias("same"))
     scored = met.withColumn("score", F.col("shared") + F.when(F.col("same"), 2).otherwise(0))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 

@@ -25,10 +25,10 @@ LEVEL = case("severity", C.SARIF_LEVEL, "note")
 RULE = "coalesce(nullif(rule_id, ''), category || '/' || substring(title, 1, 40))"
 
 DIFF = r"""
-    raw AS (SELECT entry_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS r FROM (SELECT entry_id, string_split(regexp_replace(diff, '\n$', ''), chr(10)) AS l FROM benchmark_entries WHERE trim(diff) <> '')),
+    raw AS (SELECT entry_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS r FROM (SELECT entry_id, string_split(regexp_replace(diff, '\n$', ''), chr(10)) AS l FROM benchmark_entries WHERE regexp_matches(diff, '\S'))),
     ln AS (SELECT entry_id, pos, regexp_replace(r, '\r$', '') AS line FROM raw),
-    nb AS (SELECT *, lead(line) OVER w AS nx, lag(line) OVER w AS pv FROM ln WINDOW w AS (PARTITION BY entry_id ORDER BY pos)),
-    fl AS (SELECT *, CASE WHEN line LIKE 'diff --git %' OR (line LIKE '--- %' AND coalesce(nx LIKE '+++ %', FALSE)
+    nb AS (SELECT *, lead(line) OVER w AS nx, lead(line, 2) OVER w AS nn, lag(line) OVER w AS pv FROM ln WINDOW w AS (PARTITION BY entry_id ORDER BY pos)),
+    fl AS (SELECT *, CASE WHEN line LIKE 'diff --git %' OR (line LIKE '--- %' AND coalesce(nx LIKE '+++ %' AND nn LIKE '@@ -%', FALSE)
         AND NOT coalesce(regexp_matches(pv, '^(diff --git |index |new file mode|deleted file mode|old mode|new mode|similarity index|dissimilarity index|rename (from|to)|copy (from|to)|Binary files)'), FALSE)) THEN 1 ELSE 0 END AS isf FROM nb),
     fx AS (SELECT *, sum(isf) OVER (PARTITION BY entry_id ORDER BY pos) AS file_idx FROM fl),
     hk AS (SELECT *, CASE WHEN file_idx > 0 AND regexp_matches(line, '^@@ -[0-9]+(,[0-9]+)? \+[0-9]+(,[0-9]+)? @@') THEN 1 ELSE 0 END AS ish FROM fx),
@@ -98,7 +98,7 @@ _SIZE = "sz AS (SELECT entry_id, file_idx, path, greatest(1, floor(chars / 4))::
 _GROUPS = """gr AS (SELECT entry_id, n, file_idx, path, tokens, 0 AS grp, tokens AS used FROM so WHERE n = 1
     UNION ALL SELECT so.entry_id, so.n, so.file_idx, so.path, so.tokens, CASE WHEN gr.used > 0 AND gr.used + so.tokens > 120 THEN gr.grp + 1 ELSE gr.grp END, CASE WHEN gr.used > 0 AND gr.used + so.tokens > 120 THEN so.tokens ELSE gr.used + so.tokens END FROM gr JOIN so ON so.entry_id = gr.entry_id AND so.n = gr.n + 1)"""
 
-_DIS = f"""d AS (SELECT *, regexp_extract(content, '([\w/]+\.(?:py|js|go|java))', 1) AS source_file FROM k WHERE kind = 'dismissed')"""
+_DIS = r"""d AS (SELECT *, regexp_extract(content, '([\w/]+\.(?:py|js|go|java))', 1) AS source_file FROM k WHERE kind = 'dismissed')"""
 _LINES_OF_DOCS = "dl AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL))"
 
 SQL = {
@@ -177,7 +177,7 @@ SQL = {
     "x12_content_ids": f"WITH {_KNOW} SELECT doc_id, content_id FROM ki",
     "k8_add_new": f"WITH {_KNOW} SELECT doc_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY doc_id) AS n FROM ki WHERE kind <> 'rule' AND content_id NOT IN (SELECT content_id FROM ki WHERE kind = 'rule')) WHERE n = 1",
     "g16_captured": f"WITH {_KNOW}, a AS (SELECT doc_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY doc_id) AS n FROM ki WHERE kind <> 'rule' AND content_id NOT IN (SELECT content_id FROM ki WHERE kind = 'rule')) WHERE n = 1) SELECT kind, count(*) AS added FROM a GROUP BY 1",
-    "r4_knowledge_search": f"""WITH {_KNOW}, ke AS (SELECT doc_id, repository, category, unnest(list_distinct({WORDS.format("title || ' ' || content")})) AS token FROM k), q AS (SELECT entry_id AS query_id, repository, coalesce(category, '') AS category, unnest(list_distinct({WORDS.format('bug_description')})) AS token FROM benchmark_entries WHERE hold_out),
+    "r4_knowledge_search": f"""WITH {_KNOW}, ke AS (SELECT doc_id, repository, category, unnest(list_distinct({WORDS.format("title || ' ' || content")})) AS token FROM k), q AS (SELECT doc_id AS query_id, repository, category, unnest(list_distinct({WORDS.format('title')})) AS token FROM k WHERE doc_id % 50 = 0),
         m AS (SELECT query_id, doc_id, count(*) + CASE WHEN any_value(q.category) <> '' AND any_value(ke.category) = any_value(q.category) THEN 2 ELSE 0 END AS score FROM ke JOIN q USING (token) WHERE coalesce(ke.repository, '') = '' OR ke.repository = q.repository GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 4""",
     "g9_usage_totals": f"WITH {_E}, {_U} SELECT review_id, sum(it) AS input_tokens, sum(ca) AS calls, count(*) AS usages FROM u GROUP BY 1",

@@ -25,6 +25,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before a Python stage, where the scan has fewer partitions than there are cores.
+
+    A large table has more partitions than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_on_hot_key(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
     """Equi-join of ``left`` to ``right`` (unique on ``key``).
 
