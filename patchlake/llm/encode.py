@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.session import table
+from patchlake.session import spread, table
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 LEAF_CHARS = 1 << 16
@@ -113,7 +113,7 @@ def tree(enc: Encoder, parts: list[tuple]) -> list[int]:
 
 def encode(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = "byte_bpe_50k", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, ids of every row of ``documents`` (doc_id, text)."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))  # ids as text: a null would make them floats
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(directory, name)
@@ -130,7 +130,7 @@ def encode(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = "by
         ids = tree(encoder(directory, name), [(t, list(i)) for t, i in zip(g["part"], g["ids"])])
         return pd.DataFrame({"doc_id": g["doc_id"][:1], "ids": [ids]})
 
-    near = docs.where(F.length("text") <= leaf_chars).mapInPandas(short, "doc_id bigint, ids array<int>")
+    near = spread(docs.where(F.length("text") <= leaf_chars)).mapInPandas(short, "doc_id string, ids array<int>")
     n = F.ceil(F.length("text") / leaf_chars).cast("int")
     far = (
         docs.where(F.length("text") > leaf_chars)
@@ -138,11 +138,11 @@ def encode(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = "by
         .withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
         .select("doc_id", "row", "k", F.substring("text", F.col("k") * leaf_chars + 1, F.lit(leaf_chars)).alias("part"))
         .repartition("row", "k")
-        .mapInPandas(leaves, "doc_id bigint, row bigint, k int, part string, ids array<int>")
+        .mapInPandas(leaves, "doc_id string, row bigint, k int, part string, ids array<int>")
         .groupBy("row")
-        .applyInPandas(joined, "doc_id bigint, ids array<int>")
+        .applyInPandas(joined, "doc_id string, ids array<int>")
     )
-    return near.unionByName(far)
+    return near.unionByName(far).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.session import BROADCAST_ROWS, checkpoint, table
+from patchlake.session import BROADCAST_ROWS, checkpoint, spread, table
 
 # fixed values: conventional names of generated and vendored files, as an attribute file
 DEFAULTS = """
@@ -205,7 +205,7 @@ def classified(entries: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["entry_id", "path", "kind", "basis", "like"])
 
     attributes = F.transform(F.filter(F.coalesce(F.map_entries("base_files"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["key"].rlike(r"(^|/)\.gitattributes$")), lambda e: F.array(e["key"], e["value"]))
-    found = checkpoint(entries.where("diff is not null").select("entry_id", "diff", attributes.alias("attributes")).mapInPandas(fn, "entry_id string, path string, kind string, basis string, like array<string>"))
+    found = checkpoint(spread(entries.where("diff is not null").select("entry_id", "diff", attributes.alias("attributes"))).mapInPandas(fn, "entry_id string, path string, kind string, basis string, like array<string>"))
     patterns = found.select(F.explode("like").alias("pattern"), F.col("kind").isNotNull().alias("hit")).groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("part"))
     mined = patterns.where(f"n >= {SUPPORT} and part >= {PRECISION} and part < 1").select("pattern")
     bare = found.where("kind is null and basis is null").select("entry_id", "path", F.explode("like").alias("pattern"))

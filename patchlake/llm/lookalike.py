@@ -9,7 +9,7 @@ to \\n, combining accents to composed letters; invisible characters go, unless t
 emoji or in Arabic and Indic words, selectors after emoji, direction overrides).  Blanks at line ends cannot be seen and
 go.  Accents, case, digits, raised digits and visible signs stay.
 
-Null stays null and is in no pair, nor is a text without a visible character.  Repeated rows pair with nothing new.
+Null stays null and is in no pair (as is a null doc_id), nor is a text without a visible character.  Repeated rows pair with nothing new.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.session import checkpoint, table
+from patchlake.session import checkpoint, spread, table
 
 # fixed values: letters of other scripts that look like a Latin letter, by Latin letter
 CYRILLIC = {"a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у", "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "V": "Ѵ", "W": "Ԝ", "X": "Х", "Y": "Ү"}
@@ -141,7 +141,7 @@ def normalized(documents: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [normalize(t) for t in b["text"]]})
 
-    return documents.select("doc_id", "text").mapInPandas(fn, "doc_id bigint, text string")
+    return spread(documents.select(F.col("doc_id").cast("string"), "text")).mapInPandas(fn, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def pairs(documents: DataFrame, salts: int = 16) -> DataFrame:
@@ -157,7 +157,7 @@ def pairs(documents: DataFrame, salts: int = 16) -> DataFrame:
             rows = [(d, digest(n), digest(t)) for d, t in zip(b["doc_id"], b["text"]) if t is not None and (n := normalize(t)) and not n.isspace()]
             yield pd.DataFrame(rows, columns=["doc_id", "form", "spelling"])
 
-    found = documents.select("doc_id", "text").where("text is not null").mapInPandas(fn, "doc_id bigint, form binary, spelling binary")
+    found = spread(documents.where("text is not null and doc_id is not null").select("doc_id", "text")).mapInPandas(fn, "doc_id bigint, form binary, spelling binary")
     rows = checkpoint(found.distinct())
     several = rows.groupBy("form").agg(F.min("spelling").alias("least"), F.max("spelling").alias("most")).where("least <> most").select("form")
     rows = rows.join(several, "form", "left_semi")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from patchlake.llm.encode import TOKENIZER_DIR, encoder
-from patchlake.session import checkpoint, table
+from patchlake.session import checkpoint, spread, table
 
 BINS = 1024
 ROUNDS = 60
@@ -35,8 +35,8 @@ def sized(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = "byt
             yield b.drop(columns="text").assign(tokens=[len(enc.ids(t)) for t in b["text"]])
 
     lang = F.lower(F.regexp_extract(F.trim("lang"), "^[A-Za-z]{2}", 0))
-    docs = documents.select("doc_id", "source", F.when(lang != "", lang).otherwise("und").alias("language"), F.coalesce(F.lower(F.trim("category")), F.lit("none")).alias("topic"), F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInPandas(fn, "doc_id bigint, source string, language string, topic string, tokens bigint")
+    docs = documents.select(F.col("doc_id").cast("string"), "source", F.when(lang != "", lang).otherwise("und").alias("language"), F.coalesce(F.lower(F.trim("category")), F.lit("none")).alias("topic"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(docs).mapInPandas(fn, "doc_id string, source string, language string, topic string, tokens bigint").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def rake(cells: pd.DataFrame, targets: dict[str, tuple[float, int]], rounds: int = ROUNDS) -> np.ndarray:

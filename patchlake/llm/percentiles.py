@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.session import table
+from patchlake.session import checkpoint, table
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 METRICS = ("latency_seconds", "cost_usd")
@@ -82,9 +82,14 @@ def _leaves(rows: pd.DataFrame, metrics: tuple[str, ...], epsilon: float) -> Ite
             yield (*key, metric, int(len(x) - missing.sum() - nan.sum()), int(missing.sum()), int(nan.sum()), v, lo, hi)
 
 
+def delivered(scores: DataFrame) -> DataFrame:
+    """Each score_id once; rows without one each count."""
+    return scores.where("score_id is not null").dropDuplicates(["score_id"]).unionByName(scores.where("score_id is null"))
+
+
 def summaries(scores: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """One summary per partition, system, day and metric."""
-    rows = scores.dropDuplicates(["score_id"]).select(
+    rows = delivered(scores).select(
         F.lower(F.trim("system")).alias("system"),
         F.to_date("scored_at").alias("day"),
         *METRICS,
@@ -151,14 +156,15 @@ def combine(found: DataFrame, keys: list[str], epsilon: float) -> DataFrame:
     return level(level(found, [*keys, salt]), keys)
 
 
-def percentiles(found: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+def percentiles(found: DataFrame, scope: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     names = [f"p{round(q * 100)}" for q in quantiles]
-    schema = "system string, day date, metric string, n bigint, n_null bigint, n_nan bigint, " + ", ".join(f"{c} double" for c in names) + ", rank_error bigint"
+    schema = "scope string, system string, day date, metric string, n bigint, n_null bigint, n_nan bigint, " + ", ".join(f"{c} double" for c in names) + ", rank_error bigint"
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [[query(np.asarray(v), np.asarray(lo), np.asarray(hi), q) for q in quantiles] for v, lo, hi in zip(b["v"], b["lo"], b["hi"])]
             out = b[["system", "day", "metric", "n", "n_null", "n_nan"]].copy()
+            out.insert(0, "scope", scope)
             for i, c in enumerate(names):
                 out[c] = [g[i][0] for g in got]
             out["rank_error"] = pd.array([None if g[0][1] is None else max(e for _, e in g) for g in got], dtype="Int64")
@@ -168,18 +174,16 @@ def percentiles(found: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> D
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str, epsilon: float = EPSILON) -> DataFrame:
-    """Per system and day, and per system over all days (day null), built from the same day summaries."""
-    from patchlake.session import checkpoint
-
+    """Per system and day (scope day), and per system over all days (scope all), built from the same day summaries."""
     days = checkpoint(combine(summaries(table(spark, sf_dir, "entry_scores"), epsilon / 2), ["system", "day", "metric"], epsilon / 4))
-    return percentiles(days.unionByName(combine(days, ["system", "metric"], epsilon / 4)))
+    return percentiles(days, "day").unionByName(percentiles(combine(days, ["system", "metric"], epsilon / 4), "all"))
 
 
 def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, metric, n, within_bound: whether the true rank of each whole-period percentile is within its rank_error, and that within epsilon."""
-    total = p1_percentiles(spark, sf_dir).where(F.col("day").isNull())
+    total = p1_percentiles(spark, sf_dir).where("scope = 'all'")
     names = [f"p{round(q * 100)}" for q in QUANTILES]
-    scores = table(spark, sf_dir, "entry_scores").dropDuplicates(["score_id"]).select(F.lower(F.trim("system")).alias("system"), F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "x"))
+    scores = delivered(table(spark, sf_dir, "entry_scores")).select(F.lower(F.trim("system")).alias("system"), F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "x"))
     scores = scores.where(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("system", F.coalesce("system", F.lit("")))
     joined = scores.join(F.broadcast(total.withColumn("system", F.coalesce("system", F.lit("")))), ["system", "metric"])  # a few rows: one per system and metric
     counts = joined.groupBy("system", "metric").agg(

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake.llm.places import places
-from patchlake.session import table
+from patchlake.session import spread, table
 
 LIMIT, OVERLAP = 1500, 200
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
@@ -158,7 +158,7 @@ def pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Data
             rows = [(e, p, k, *x) for e, p, t in zip(b["entry_id"], b["place"], b["text"]) for k, x in enumerate(cut(t, p == "diff", limit, overlap))]
             yield pd.DataFrame(rows, columns=["entry_id", "place", "piece_no", "start", "overlap", "piece"])
 
-    return texts.where(F.length("text") > limit).mapInPandas(fn, "entry_id string, place string, piece_no int, start bigint, overlap int, piece string")
+    return spread(texts.where(F.length("text") > limit)).mapInPandas(fn, "entry_id string, place string, piece_no int, start bigint, overlap int, piece string")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

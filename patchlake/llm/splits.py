@@ -47,11 +47,12 @@ def families(links: DataFrame, record: str = "record", entity: str = "entity") -
 
 
 def grouped(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """entries with ``group_id``."""
+    """entry_id, repository, hold_out and language of the entries, as far as they have them, and group_id."""
     pairs = links.select(repository_key("old_repository").alias("a"), repository_key("new_repository").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     edges = pairs.select(F.concat_ws(" ", "a", "b").alias("record"), F.explode(F.array("a", "b")).alias("entity"))
     labels = families(edges).where("entity <> label").withColumnRenamed("entity", "_key")
-    keyed = entries.withColumn("_key", repository_key("repository"))
+    own = [c for c in ("entry_id", "repository", "hold_out", "language") if c in entries.columns]
+    keyed = entries.select(*own).withColumn("_key", repository_key("repository"))
     return join_on_hot_key(keyed, labels, "_key").withColumn("group_id", F.coalesce("label", "_key", F.concat(F.lit("?/"), "entry_id"))).drop("label", "_key")
 
 
