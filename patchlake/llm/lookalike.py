@@ -144,11 +144,11 @@ def normalized(documents: DataFrame) -> DataFrame:
     return spread(documents.select(F.col("doc_id").cast("string"), "text")).mapInPandas(fn, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-def pairs(documents: DataFrame, salts: int = 16) -> DataFrame:
+def pairs(documents: DataFrame) -> DataFrame:
     """doc_a < doc_b: different strings with one visible form.
 
-    Only digests travel.  Forms with a single spelling drop out before the join; a form that holds a third of all rows
-    is spread by salt.
+    Only digests travel.  Forms with a single spelling drop out first; then the spellings of a form are paired, and only
+    these pairs are expanded to documents, so a spelling with a third of all rows never meets itself.
     """
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,9 +161,11 @@ def pairs(documents: DataFrame, salts: int = 16) -> DataFrame:
     rows = checkpoint(found.distinct())
     several = rows.groupBy("form").agg(F.min("spelling").alias("least"), F.max("spelling").alias("most")).where("least <> most").select("form")
     rows = rows.join(several, "form", "left_semi")
-    a = rows.select("form", F.col("doc_id").alias("doc_a"), F.col("spelling").alias("sa"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    b = rows.select("form", F.col("doc_id").alias("doc_b"), F.col("spelling").alias("sb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return a.join(b, ["form", "salt"]).where("doc_a < doc_b and sa <> sb").select("doc_a", "doc_b").distinct()
+    kinds = rows.select("form", "spelling").distinct()
+    met = kinds.withColumnRenamed("spelling", "sa").join(kinds.withColumnRenamed("spelling", "sb"), "form").where("sa < sb").select("sa", "sb")
+    spelt = rows.select("spelling", "doc_id")
+    out = met.join(spelt.withColumnsRenamed({"spelling": "sa", "doc_id": "x"}), "sa").join(spelt.withColumnsRenamed({"spelling": "sb", "doc_id": "y"}), "sb")
+    return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).where("doc_a <> doc_b").distinct()
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
