@@ -109,7 +109,7 @@ def evidence(path: str, body: list[str]) -> str | None:
     wide = sum(len(x) for x in shown if len(x) > 250)
     if wide > 0.8 * size and _PACKED.search(path):
         longest = max(shown, key=len)
-        if longest.count(" ") < 0.08 * len(longest):
+        if longest.count(" ") < 0.12 * len(longest):
             return "minified"
     full = [x for x in shown if x.strip()]
     if len(full) >= 4:

@@ -102,7 +102,7 @@ def summaries(scores: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             found = pd.DataFrame(list(_leaves(pd.concat(held), METRICS, epsilon / 4)), columns=names)
-            return found.assign(system=found["system"].where(found["system"].notna(), None), day=found["day"].where(found["day"].notna(), None))
+            return found.assign(**{c: found[c].astype(object).where(found[c].notna(), None) for c in ("system", "day")})
 
         for b in batches:
             held.append(b)
