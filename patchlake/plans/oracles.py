@@ -198,5 +198,22 @@ SQL = {
     "x16_rendered": f"""WITH {_KNOW}, r AS (SELECT repository, doc_id, '- [' || kind || '] ' || title || ': ' || regexp_replace(content, '\\s+', ' ', 'g') AS whole, regexp_replace(content, '\\s+', ' ', 'g') AS flat FROM k WHERE kind = 'rule'),
         l AS (SELECT repository, doc_id, CASE WHEN length(flat) > 200 THEN substring(whole, 1, length(whole) - length(flat)) || rtrim(substring(flat, 1, 200)) || '...' ELSE whole END AS line FROM r),
         b AS (SELECT repository, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1) SELECT repository, CASE WHEN length(block) > 1200 THEN length(rtrim(substring(block, 1, 1200))) + 3 ELSE length(block) END AS n_chars FROM b""",
+    "f5_applicable_entries": "SELECT entry_id, trim(coalesce(bug_description, '')) <> '' AS applicable FROM benchmark_entries",
+    "f6_sane_checks": f"WITH {F} SELECT review_id, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER (category IN ({', '.join(f"'{c}'" for c in C.CHECKS)})), 'correctness') AS checks FROM f GROUP BY 1",
+    "f7_applicable_knowledge": "SELECT repository, count(*) + (SELECT count(*) FROM documents WHERE repository = '') AS entries FROM documents WHERE repository <> '' GROUP BY 1",
+    "f13_listing": "SELECT kind, coalesce(category, '') AS category, count(*) AS entries, min(doc_id) AS first FROM documents GROUP BY 1, 2",
+    "g11_merged_summaries": "SELECT repository, md5(coalesce(string_agg(bug_fix, ' | ' ORDER BY entry_id) FILTER (bug_fix <> ''), '')) AS purposes, count(*) AS changes, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM benchmark_entries GROUP BY 1",
+    "g15_costs": f"WITH {_E}, {_U} SELECT review_id, round(sum(it) / 1e6 * 3.0, 6) AS cost FROM u GROUP BY 1",
+    "s16_file_history": "WITH x AS (SELECT entry_id, repository, unnest(list_distinct(affected_files)) AS path FROM benchmark_entries), r AS (SELECT *, row_number() OVER (PARTITION BY repository, path ORDER BY entry_id DESC) AS n FROM x) SELECT entry_id, repository, path FROM r WHERE n <= 5",
+    "s3_repository_names": r"SELECT link_id, regexp_extract(old_repository, '[/:]([^/:]+/[^/]+?)(?:\.git)?/?$', 1) AS name FROM repo_links",
+    "u3_ordered_union": """WITH a AS (SELECT entry_id, generate_subscripts(affected_files, 1) - 1 AS o, unnest(affected_files) AS path FROM benchmark_entries UNION ALL SELECT entry_id, 1000000, unnest(map_keys(base_files)) FROM benchmark_entries),
+        m AS (SELECT entry_id, path, min(o) AS o FROM a GROUP BY 1, 2) SELECT entry_id, path, row_number() OVER (PARTITION BY entry_id ORDER BY o, path) AS place FROM m""",
+    "u6_task_order": f"WITH {F} SELECT review_id, ord, row_number() OVER (PARTITION BY review_id ORDER BY evidence_status <> 'confirmed', ord) AS place FROM f",
+    "w5_inflated_budget": "WITH x AS (SELECT repository, sum(length(text)) OVER (PARTITION BY repository ORDER BY doc_id) AS used FROM documents WHERE text IS NOT NULL) SELECT repository, count(*) FILTER (used <= 24000) AS taken, max(used) AS used FROM x GROUP BY 1",
+    "x13_cache_keys": """SELECT entry_id, sha256('{"model":"scripted","parent":' || coalesce('"' || parent_commit || '"', 'null') || ',"prompt":"' || commit_sha || '","temperature":"0"}') AS key FROM benchmark_entries""",
+    "x14_extracted_json": f"WITH {_E} SELECT event_no, md5(payload) AS digest FROM e WHERE payload IS NOT NULL",
+    "x15_filled_template": "SELECT entry_id, 'Review of ' || repository || ' in ' || language || '.' AS prompt FROM benchmark_entries",
+    "x19_retry_schedule": f"WITH {_S} SELECT score_id, a.range AS attempt, 2.0 * pow(2, a.range) + 0.1 * a.range AS wait FROM s, range(3) a WHERE NOT success",
+    "x22_knowledge_of_findings": f"WITH {F} SELECT review_id, ord, substring(sha256('finding' || chr(0) || title || chr(0) || description || chr(10) || 'Evidence: ' || evidence || chr(10) || 'Recommendation: ' || recommendation || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM f WHERE evidence_status = 'confirmed'",
     "code_snapshot_budget": f"WITH {_FILES}, x AS (SELECT entry_id, path, sum(length(content)) OVER w AS used, row_number() OVER w AS n FROM bf WHERE length(content) <= 1000000 WINDOW w AS (PARTITION BY entry_id ORDER BY path)) SELECT entry_id, path, used FROM x WHERE n <= 4000 AND used <= 4000",
 }

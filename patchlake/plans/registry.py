@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from patchlake.functions import columns as C, rules
+from patchlake.functions import columns as C, rules, text
 from patchlake.operators import code, diffs, evaluation as ev, events, findings as fi, retrieval as rt
+from patchlake.plans import pipeline
 from patchlake.sources import sinks
 from patchlake.session import table
 from patchlake.streaming import events as stream
@@ -538,6 +539,134 @@ def e7_stream_daily_counts(spark, d):
     return stream.run(stream.windowed_counts(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
 
 
+# --- smaller operators ------------------------------------------------------------------------------------------------
+
+
+@query
+def f5_applicable_entries(spark, d):
+    """Whether a check that needs a description applies."""
+    return _entries(spark, d).select("entry_id", (F.trim(F.coalesce("bug_description", F.lit(""))) != "").alias("applicable"))
+
+
+@query
+def f6_sane_checks(spark, d):
+    """Categories that a review's findings ask for, as far as they are checks; correctness where none is."""
+    asked = _findings(spark, d).groupBy("review_id").agg(F.collect_set("category").alias("asked"))
+    known = F.array_sort(F.array_intersect("asked", F.array(*[F.lit(c) for c in C.CHECKS])))
+    return asked.select("review_id", F.array_join(F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("correctness"))), ",").alias("checks"))
+
+
+@query
+def f7_applicable_knowledge(spark, d):
+    """Entries that apply to each repository: its own and those of none."""
+    k = rt.knowledge(table(spark, d, "documents")).groupBy("repository").agg(F.count("*").alias("n"))
+    everywhere = F.max(F.when(F.col("repository") == "", F.col("n"))).over(Window.partitionBy())  # one row per repository
+    return k.withColumn("n_global", F.coalesce(everywhere, F.lit(0))).where("repository <> ''").select("repository", (F.col("n") + F.col("n_global")).alias("entries"))
+
+
+@query
+def f13_listing(spark, d):
+    return rt.knowledge(table(spark, d, "documents")).groupBy("kind", "category").agg(F.count("*").alias("entries"), F.min("doc_id").alias("first"))
+
+
+@query
+def g11_merged_summaries(spark, d):
+    """Purposes of a repository's changes joined in order, languages together, the first fix kept."""
+    e = _entries(spark, d).select("repository", F.struct("entry_id", "bug_fix", "language").alias("x"))
+    return e.groupBy("repository").agg(F.array_sort(F.collect_list("x")).alias("x")).select("repository", F.md5(F.array_join(F.transform(F.filter("x", lambda v: v["bug_fix"] != ""), lambda v: v["bug_fix"]), " | ")).alias("purposes"), F.size("x").alias("changes"), F.array_join(F.array_sort(F.array_distinct(F.transform("x", lambda v: v["language"]))), ",").alias("languages"))
+
+
+@query
+def g15_costs(spark, d):
+    """Cost of the usage of each review at given prices."""
+    u = events.usage_totals(_events(spark, d))
+    return u.select("review_id", text.cost(F.col("input_tokens"), F.lit(0), F.lit(3.0), F.lit(15.0)).alias("cost"))
+
+
+@query
+def s16_file_history(spark, d):
+    """The five last entries that touched each file of a repository."""
+    e = _entries(spark, d).select("entry_id", "repository", F.explode(F.array_distinct("affected_files")).alias("path"))
+    return sinks.first_rows(e.withColumn("k", F.concat_ws(" ", "repository", "path")), "k", [F.desc("entry_id")], 5).drop("k")
+
+
+@query
+def s3_repository_names(spark, d):
+    return table(spark, d, "repo_links").select("link_id", diffs.repository_name("old_repository").alias("name"))
+
+
+@query
+def u3_ordered_union(spark, d):
+    """Changed files first, then the snapshot's, each once in that order."""
+    e = _entries(spark, d)
+    a = e.select("entry_id", F.posexplode("affected_files").alias("ord", "path"))
+    b = e.select("entry_id", F.explode(F.map_keys("base_files")).alias("path")).withColumn("ord", F.lit(1_000_000))
+    first = a.unionByName(b.select("entry_id", "ord", "path")).groupBy("entry_id", "path").agg(F.min("ord").alias("ord"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("entry_id").orderBy("ord", "path"))).select("entry_id", "path", "place")
+
+
+@query
+def u6_task_order(spark, d):
+    """Findings of two tasks behind one another: first the confirmed, then the others, each in arrival order."""
+    f = _findings(spark, d)
+    both = f.where("evidence_status = 'confirmed'").withColumn("task", F.lit(0)).unionByName(f.where("evidence_status <> 'confirmed'").withColumn("task", F.lit(1)))
+    return both.select("review_id", "ord", F.row_number().over(Window.partitionBy("review_id").orderBy("task", "ord")).alias("place"))
+
+
+@query
+def w5_inflated_budget(spark, d):
+    """Budget that counts a file before testing it, so it stays used up after the first that does not fit."""
+    rows = table(spark, d, "documents").where("text is not null")
+    used = F.sum(F.length("text")).over(Window.partitionBy("repository").orderBy("doc_id"))
+    return rows.withColumn("used", used).groupBy("repository").agg(F.count_if(F.col("used") <= 24_000).alias("taken"), F.max("used").alias("used"))
+
+
+@query
+def x13_cache_keys(spark, d):
+    e = _entries(spark, d)
+    return e.select("entry_id", text.cache_key(model=F.lit("scripted"), prompt=F.col("commit_sha"), temperature=F.lit("0"), parent=F.col("parent_commit")).alias("key"))
+
+
+@query
+def x14_extracted_json(spark, d):
+    """JSON found again in prose around the events' payloads."""
+    e = _events(spark, d).where("payload is not null")
+    return e.select("event_no", F.md5(text.extract_json(F.concat(F.lit("Result {so far}: "), "payload", F.lit(" - done")))).alias("digest"))
+
+
+@query
+def x15_filled_template(spark, d):
+    return _entries(spark, d).select("entry_id", text.filled("Review of $REPOSITORY in $LANGUAGE.", REPOSITORY=F.col("repository"), LANGUAGE=F.col("language")).alias("prompt"))
+
+
+@query
+def x19_retry_schedule(spark, d):
+    return text.retry_schedule(_scores(spark, d).where("not success").select("score_id")).select("score_id", "attempt", "wait")
+
+
+@query
+def x22_knowledge_of_findings(spark, d):
+    """Confirmed findings as knowledge entries."""
+    f = _findings(spark, d).where("evidence_status = 'confirmed'")
+    content = F.concat_ws("\n", "description", F.concat(F.lit("Evidence: "), "evidence"), F.concat(F.lit("Recommendation: "), "recommendation"))
+    return f.select("review_id", "ord", C.content_id(F.lit("finding"), F.col("title"), content, F.col("repository"), F.col("category")).alias("content_id"))
+
+
+@query
+def j14_callers_digest(spark, d):
+    """At most six call sites of at most twelve symbols of each snapshot, as text."""
+    calls = code.callers(code.facts(_files(spark, d)))
+    sites = sinks.first_rows(calls.withColumn("k", F.concat_ws(" ", "entry_id", "name")), "k", ["path", "line"], 6)
+    per = sites.groupBy("entry_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), ", ").alias("sites"))
+    return sinks.first_rows(per, "entry_id", ["name"], 12)
+
+
+@query
+def review_pipeline(spark, d):
+    """The whole review of every entry: counts of kept findings by category and severity."""
+    return pipeline.reviewed(_entries(spark, d)).groupBy("category", "severity", "evidence_status").agg(F.count("*").alias("findings"), F.countDistinct("review_id").alias("reviews"))
+
+
 # --- program analysis -------------------------------------------------------------------------------------------------
 
 

@@ -53,3 +53,20 @@ def kind_counts(stream: DataFrame) -> DataFrame:
 def windowed_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
     """Events of each kind by day of event time; an extension over the batch operators."""
     return stream.groupBy(F.window("event_ts", width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "kind", "n")
+
+
+def fan_out(stream: DataFrame, *sinks) -> None:
+    """Every batch to every sink; a sink that fails is passed over, as an event sink must not stop a review."""
+
+    def each(batch_rows: DataFrame, number: int) -> None:
+        batch_rows.persist()
+        for sink in sinks:
+            try:
+                sink(batch_rows, number)
+            except Exception:  # noqa: BLE001, S112 - by contract
+                continue
+        batch_rows.unpersist()
+
+    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="patchlake-stream-")
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q.awaitTermination()
