@@ -26,9 +26,9 @@ def idf(n: Column, df: Column) -> Column:
 def weighted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, idx, weight: signed feature hashing of tf * idf, divided by the norm of the weights before they collide."""
     tf = terms(documents, key, text)
-    n = documents.select(F.count("*").alias("n"))
+    n = documents.count()  # one number, from the files' footers
     df = document_frequency(tf)
-    w = tf.join(df, "token").join(F.broadcast(n)).withColumn("w", F.col("tf") * idf(F.col("n"), F.col("df")))
+    w = tf.join(df, "token").withColumn("w", F.col("tf") * idf(F.lit(n), F.col("df")))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     v = w.withColumn("idx", C.hashed_index(F.col("token"), DIMENSION)).withColumn("w", F.col("w") * C.hashed_sign(F.col("token")))
     return v.groupBy(key, "idx").agg(F.sum("w").alias("w")).join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))

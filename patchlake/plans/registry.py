@@ -347,9 +347,10 @@ def j11_entries_by_system(spark, d):
     """Runs asked of every system: each held-out entry by each system, with how many scores there are."""
     held = _entries(spark, d).where("hold_out").select("entry_id")
     s = _scores(spark, d)
-    systems = F.broadcast(s.select("system").distinct())  # the systems under test: a handful
+    systems = s.select("system").distinct()
     n = s.groupBy("entry_id", "system").agg(F.count("*").alias("scores"))
-    return held.join(systems).join(n, ["entry_id", "system"], "left").select("entry_id", "system", F.coalesce("scores", F.lit(0)).alias("scores"))
+    asked = held.join(F.broadcast(systems) if systems.limit(1001).count() <= 1000 else systems)  # what is asked for is every pair
+    return asked.join(n, ["entry_id", "system"], "left").select("entry_id", "system", F.coalesce("scores", F.lit(0)).alias("scores"))
 
 
 # --- text and retrieval -----------------------------------------------------------------------------------------------
@@ -382,8 +383,7 @@ def g13_term_counts(spark, d):
 @query
 def x5_idf(spark, d):
     docs = _documents(spark, d)
-    n = docs.select(F.count("*").alias("n"))
-    return rt.document_frequency(rt.terms(docs)).join(F.broadcast(n)).select("token", F.round(rt.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return rt.document_frequency(rt.terms(docs)).select("token", F.round(rt.idf(F.lit(docs.count()), F.col("df")), 6).alias("idf"))
 
 
 @query
