@@ -74,27 +74,40 @@ def clusters(findings: DataFrame) -> DataFrame:
     """
     rows = findings.select("review_id", "file_path", "ord", F.coalesce("start_line", F.lit(0)).alias("at"), F.col("start_line").isNull().alias("free"), C.severity_rank().alias("sev"), "confidence", "category", C.identifier_tokens(F.concat_ws(" ", "title", "description")).alias("tokens"))
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(down=-g["sev"]).sort_values(["at", "down", "ord"], kind="stable")
-        groups: list[tuple[int, bool, set, list[int]]] = []
-        items = list(zip(g["at"], g["free"], map(set, g["tokens"])))
-        for i, (at, free, toks) in enumerate(items):
+    names = ["review_id", "ord", "cluster", "canonical", "related"]
+
+    def fitted(review: str, items: list[tuple]) -> Iterator[tuple]:
+        """items: (ord, at, free, sev, confidence, category, tokens) of one file in order."""
+        groups: list[tuple[int, bool, set, list[tuple]]] = []
+        for x in items:
+            at, free, toks = x[1], x[2], set(x[6])
             for at0, free0, toks0, members in groups:
                 if (free or free0 or abs(at - at0) <= NEAR_LINES) and len(toks & toks0) >= SHARED_TOKENS:
-                    members.append(i)
+                    members.append(x)
                     break
             else:
-                groups.append((at, free, toks, [i]))
-        g = g.reset_index(drop=True)
-        out = []
+                groups.append((at, free, toks, [x]))
         for *_, members in groups:
-            part = g.loc[members]
-            best = max(members, key=lambda i: (g["sev"][i], g["confidence"][i], -members.index(i)))
-            related = sorted(set(part["category"]) - {g["category"][best]})
-            out += [(g["review_id"][0], g["ord"][i], g["ord"][members[0]], g["ord"][best], related) for i in members]
-        return pd.DataFrame(out, columns=["review_id", "ord", "cluster", "canonical", "related"])
-
-    return rows.groupBy("review_id", "file_path").applyInPandas(fit, "review_id string, ord bigint, cluster bigint, canonical bigint, related array<string>")
+            best = max(members, key=lambda x: (x[3], x[4]))  # the first of the best
+            related = sorted({x[5] for x in members} - {best[5]})
+            for x in members:
+                yield review, x[0], members[0][0], best[0], related
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, items = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for review, path, *x in zip(*(b[c] for c in ("review_id", "file_path", "ord", "at", "free", "sev", "confidence", "category", "tokens"))):
+                if (review, path) != key:
+                    out += fitted(key[0], items) if key else ()
+                    key, items = (review, path), []
+                items.append(tuple(x))
+            yield pd.DataFrame(out, columns=names)
+        if key:
+            yield pd.DataFrame(list(fitted(key[0], items)), columns=names)
+
+    placed = rows.repartition("review_id", "file_path").sortWithinPartitions("review_id", "file_path", "at", F.desc("sev"), "ord")
+    return placed.mapInPandas(fit, "review_id string, ord bigint, cluster bigint, canonical bigint, related array<string>")
 
 
 def unmentioned(findings: DataFrame, selected: DataFrame) -> DataFrame:
