@@ -3,7 +3,9 @@
 Texts up to ``leaf_chars`` are encoded directly.  Longer texts are cut into leaves that are encoded in parallel tasks;
 the leaves are then joined pairwise, tree-wise: a window around each join (at first the last pre-token of the left part
 and the first of the right part) is encoded again and grown until its pre-tokens meet both sides at a boundary, from
-where both sides agree exactly.
+where both sides agree exactly.  A pre-token that is itself long (a run without a break) is encoded by halves in the same
+way: a window of ids around the join is encoded again and grown until its first id is the left half's and its last the
+right half's.  As ids are a valid encoding exactly if all neighbours are, the joined ids are those of the whole.
 
 Null and empty texts have the empty list of ids.  Extra columns are ignored, repeated rows give repeated rows.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,8 @@ from patchlake.session import spread, table
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 LEAF_CHARS = 1 << 16
+#: Pre-tokens of more bytes are encoded by halves.
+LONG_PIECE, LEAF_PIECE = 1024, 256
 _ENCODERS: dict = {}
 
 
@@ -43,7 +48,29 @@ class Encoder:
         self.bpe = tiktoken.Encoding("own", pat_str=scope["PATTERN"], mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        return self.bpe.encode_ordinary(_clean(text))
+        text = _clean(text)
+        if len(text) <= LONG_PIECE // 4 or not _RUN.search(text):
+            return self.bpe.encode_ordinary(text)
+        return [i for m in self.regex.finditer(text) for i in self.piece(m.group().encode())]
+
+    def piece(self, raw: bytes) -> list[int]:
+        """Ids of one pre-token, by halves where it is long."""
+        if len(raw) <= LONG_PIECE:
+            return self.bpe._encode_single_piece(raw)
+        parts = [(raw[i : i + LEAF_PIECE], self.bpe._encode_single_piece(raw[i : i + LEAF_PIECE])) for i in range(0, len(raw), LEAF_PIECE)]
+        while len(parts) > 1:
+            parts = [self._meet(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0][1]
+
+    def _meet(self, left: tuple[bytes, list[int]], right: tuple[bytes, list[int]]) -> tuple[bytes, list[int]]:
+        (a, x), (b, y) = left, right
+        n = 4
+        while True:
+            tail, head = x[-n:], y[:n]
+            got = self.bpe._encode_single_piece(self.bpe.decode_bytes(tail) + self.bpe.decode_bytes(head))
+            if (len(tail) == len(x) or got[0] == tail[0]) and (len(head) == len(y) or got[-1] == head[-1]):
+                return a + b, x[: len(x) - len(tail)] + got + y[len(head) :]
+            n *= 2
 
     def pieces(self, text: str, end: int) -> list[int]:
         """Ids of the pre-tokens of ``text`` that lie before ``end``, a boundary; what follows is seen as lookahead."""
@@ -51,13 +78,16 @@ class Encoder:
         for m in self.regex.finditer(text):
             if m.start() >= end:
                 break
-            out += self.bpe.encode_ordinary(m.group())
+            out += self.piece(m.group().encode())
         return out
 
     def starts(self, text: str) -> np.ndarray:
         return np.fromiter((m.start() for m in self.regex.finditer(text)), dtype=np.int64)
 
 
+_RUN = re.compile(r"[^\s]{256}|\s{256}")
+
+
 def _clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 

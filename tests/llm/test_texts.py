@@ -234,6 +234,15 @@ def test_joined_encoding_is_the_encoding(text, n):
     assert E.tree(enc, parts) == enc.ids(text)
 
 
+def test_long_pieces_by_halves_are_the_encoding():
+    enc, rng = E.encoder(), random.Random(11)
+    pieces = ["a" * 5000, "ab" * 3000, "é" * 2500, "日本語" * 1500, " " * 6000, "\n" * 3000, "." * 5000, "7" * 4000, "=-" * 3000, "".join(rng.choice("etaoinshrdlu") for _ in range(6000)), "".join(rng.choice("ab") for _ in range(5000)), "the" * 2000, "zzzz" * 1500 + "q"]
+    for p in pieces:
+        raw = p.encode()
+        assert enc.piece(raw) == enc.bpe._encode_single_piece(raw)
+        assert enc.ids("x " + p + " y") == enc.bpe.encode_ordinary("x " + p + " y")
+
+
 def test_encoding_of_null_empty_long_and_special(spark):
     long = ("word  it's " * 3000) + "a" * 3000 + "\n\n" * 2000
     docs = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, long, 9), (3, long, 9), (4, "<|endoftext|>", 9), (None, "x", 9)], "doc_id bigint, text string, ids int")
