@@ -40,6 +40,9 @@ PEM = f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}\n-----END RSA PRIVATE KEY-----"
         ("secret_key = (\n    'Ab3xK9q2'\n    'LmZ77Qw'\n)\n", "app.py", [1]),
         ("password_field = 'login-form-password'\nmax_tokens = 4000\nsort_key = 'a_b_c_id'", "app.py", []),
         ("# staging: login bot / pass Ab3xK9q2Lm", "app.py", [1]),
+        ("ODBC = 'Server=h.example,1433;Database=d;Uid=bot;Pwd=Qn3xK9q2Lm;'", "app.py", [1]),
+        ("function a(b){return 1}var t={token:!1,cache:\"FA5AYxx1\"};", "a.js", []),
+        (">>> secret_key = (\n...     'Ab3xK9q2LmZ77Qw'\n... )\n", "app.py", [1]),
         ("", "app.py", []),
     ],
 )
