@@ -33,6 +33,9 @@ SINKS = {
 BARE_SINKS = {"eval": "shell", "exec": "shell", "compile": "shell", "open": "fs", "redirect": "http"}
 SANITIZERS = frozenset("strip replace lower upper escape quote quote_plus urlencode html.escape clean int float json.dumps uuid getattr".split())
 HTTP_METHODS = frozenset("get post put delete patch route".split())
+STOP_WORDS = (
+    "the", "and", "this", "that", "with", "from", "line", "should", "does", "when", "into", "using", "after", "before", "their", "there", "these", "those", "would", "could", "might", "must", "will", "have", "been", "being",
+)
 BLOCKING = ("time.sleep", "requests.", "urllib.", "socket.", "subprocess.")
 SYMBOLS = {
     "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
@@ -104,6 +107,8 @@ def facts_of(text: str) -> list[tuple[str, str, int, str]]:
                 out.append(("bare-except", "", node.lineno, ""))
             if all(isinstance(s, (ast.Pass, ast.Continue, ast.Break)) or isinstance(s, ast.Return) and s.value is None for s in node.body):
                 out.append(("swallowed-except", dotted(node.type) if node.type else "", node.lineno, ""))
+        elif isinstance(node, ast.For):
+            _loop_indexes(node, out)
     for s in tree.body:
         for t in s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []:
             if isinstance(t, ast.Name):
@@ -112,6 +117,16 @@ def facts_of(text: str) -> list[tuple[str, str, int, str]]:
     return out
 
 
+def _loop_indexes(node: ast.For, out: list) -> None:
+    """Subscripts by the loop's variable of something whose length the range does not ask for."""
+    if not (isinstance(node.target, ast.Name) and isinstance(node.iter, ast.Call) and dotted(node.iter.func) == "range"):
+        return
+    bounded = {dotted(c.args[0]) for a in node.iter.args for c in ast.walk(a) if isinstance(c, ast.Call) and dotted(c.func) == "len" and c.args}
+    for n in ast.walk(ast.Module(body=node.body, type_ignores=[])):
+        if isinstance(n, ast.Subscript) and any(isinstance(x, ast.Name) and x.id == node.target.id for x in ast.walk(n.slice)) and (name := dotted(n.value)) and name not in bounded:
+            out.append(("unchecked-index", name, n.lineno, node.target.id))
+
+
 def _built(node: ast.AST) -> bool:
     return isinstance(node, ast.JoinedStr) and any(isinstance(v, ast.FormattedValue) for v in node.values) or isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Mod))
 
@@ -247,6 +262,37 @@ def unused_imports(found: DataFrame) -> DataFrame:
     return found.where("fact = 'import' and name <> '*'").join(used, ["entry_id", "name"], "left_anti").select("entry_id", "path", "name", "line")
 
 
+def contradictions(findings: DataFrame, found: DataFrame) -> DataFrame:
+    """(entry_id, ord) of findings that name identifiers of which the snapshot defines or uses none.
+
+    Snapshots without any fact contradict nothing.  Identifiers have three characters or more and are no stop words.
+    """
+    named = findings.select("entry_id", "ord", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "title", "description"), F.lit(r"[A-Za-z_][\p{L}\p{N}_]{2,}"), F.lit(0)))).alias("name")).where(~F.col("name").isin(*STOP_WORDS))
+    known = found.where("name <> ''").select("entry_id", "name").distinct()
+    indexed = known.select("entry_id").distinct()
+    met = named.join(known.withColumn("known", F.lit(1)), ["entry_id", "name"], "left").groupBy("entry_id", "ord").agg(F.count("known").alias("n"))
+    return met.where("n = 0").join(indexed, "entry_id", "left_semi").select("entry_id", "ord")
+
+
+def unreferenced(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """(entry_id, path, line, name) whose name no other line of the snapshot has as a whole word.
+
+    All lines are cut to words once, instead of searching every name in every file.
+    """
+    words = lines.select("entry_id", F.col("path").alias("at_path"), F.col("line").alias("at_line"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name"))
+    met = names.join(words, ["entry_id", "name"]).where("path <> at_path or line <> at_line").select("entry_id", "path", "line", "name").distinct()
+    return names.join(met, ["entry_id", "path", "line", "name"], "left_anti")
+
+
+def signature_changes(lines: DataFrame) -> DataFrame:
+    """Functions of which a diff removes a definition and adds one with other parameters, per file (lines with path)."""
+    rx = r"^\s*(?:async\s+)?def\s+(\w+)\s*\((.*)$"
+    d = lines.where("kind <> 'context'").select("entry_id", "path", "kind", "new_line", F.regexp_extract("text", rx, 1).alias("name"), F.regexp_extract("text", rx, 2).alias("rest")).where("name <> ''")
+    old = d.where("kind = 'removed'").select("entry_id", "path", "name", F.col("rest").alias("old_rest"))
+    new = d.where("kind = 'added'").select("entry_id", "path", "name", F.col("rest").alias("new_rest"), F.col("new_line").alias("line"))
+    return old.join(new, ["entry_id", "path", "name"]).where("old_rest <> new_rest").select("entry_id", "path", "name", "line").distinct()
+
+
 def callers(found: DataFrame) -> DataFrame:
     """Call sites of the functions that a snapshot defines, without the definitions' own lines."""
     defs = found.where("fact in ('function', 'async')").select("entry_id", "name", F.col("path").alias("def_path"), F.col("line").alias("def_line"))

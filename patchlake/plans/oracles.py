@@ -215,5 +215,7 @@ SQL = {
     "x15_filled_template": "SELECT entry_id, 'Review of ' || repository || ' in ' || language || '.' AS prompt FROM benchmark_entries",
     "x19_retry_schedule": f"WITH {_S} SELECT score_id, a.range AS attempt, 2.0 * pow(2, a.range) + 0.1 * a.range AS wait FROM s, range(3) a WHERE NOT success",
     "x22_knowledge_of_findings": f"WITH {F} SELECT review_id, ord, substring(sha256('finding' || chr(0) || title || chr(0) || description || chr(10) || 'Evidence: ' || evidence || chr(10) || 'Recommendation: ' || recommendation || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM f WHERE evidence_status = 'confirmed'",
+    "code_signature_changes": rf"""WITH {DIFF}, x AS (SELECT entry_id, path, kind, new_line, regexp_extract(text, '^\s*(?:async\s+)?def\s+(\w+)\s*\((.*)$', 1) AS name, regexp_extract(text, '^\s*(?:async\s+)?def\s+(\w+)\s*\((.*)$', 2) AS rest FROM lines JOIN files USING (entry_id, file_idx) WHERE kind <> 'context')
+        SELECT DISTINCT n.entry_id, n.path, n.name, n.new_line AS line FROM x n JOIN x o ON o.entry_id = n.entry_id AND o.path = n.path AND o.name = n.name AND o.kind = 'removed' AND n.kind = 'added' WHERE n.name <> '' AND o.rest <> n.rest""",
     "code_snapshot_budget": f"WITH {_FILES}, x AS (SELECT entry_id, path, sum(length(content)) OVER w AS used, row_number() OVER w AS n FROM bf WHERE length(content) <= 1000000 WINDOW w AS (PARTITION BY entry_id ORDER BY path)) SELECT entry_id, path, used FROM x WHERE n <= 4000 AND used <= 4000",
 }

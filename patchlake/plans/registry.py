@@ -697,10 +697,32 @@ def code_taint(spark, d):
 
 @query
 def code_flaws(spark, d):
-    kinds = ("mutable-default", "dangerous-call", "sql-construction", "bare-except", "swallowed-except", "blocking-in-async", "unreachable", "unused-local")
+    kinds = ("mutable-default", "dangerous-call", "sql-construction", "bare-except", "swallowed-except", "blocking-in-async", "unreachable", "unused-local", "unchecked-index")
     return code.facts(_files(spark, d)).where(F.col("fact").isin(*kinds)).select("entry_id", "path", F.col("fact").alias("rule_id"), "line")
 
 
+@query
+def f9_contradictions(spark, d):
+    """Bug descriptions that name nothing their entry's snapshot has."""
+    text_ = _entries(spark, d).select("entry_id", F.lit(0).alias("ord"), F.lit("").alias("title"), F.col("bug_description").alias("description"))
+    return code.contradictions(text_, code.facts(_files(spark, d))).select("entry_id")
+
+
+@query
+def j13_unreferenced_imports(spark, d):
+    """Imports of a snapshot that no other of its lines names."""
+    files_ = _files(spark, d)
+    names = code.facts(files_).where("fact = 'import'").select("entry_id", "path", "line", "name").distinct()
+    lines = files_.select("entry_id", "path", F.posexplode(F.split("content", "\n")).alias("at", "text")).select("entry_id", "path", (F.col("at") + 1).alias("line"), "text")
+    return code.unreferenced(names, lines)
+
+
+@query
+def code_signature_changes(spark, d):
+    e = _entries(spark, d)
+    return code.signature_changes(diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"]))
+
+
 @query
 def code_chunks(spark, d):
     return code.chunks(_files(spark, d)).groupBy("entry_id", "path").agg(F.count("*").alias("chunks"), F.max("last_line").alias("last_line"))

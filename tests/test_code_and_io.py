@@ -71,6 +71,19 @@ def test_callers_and_enclosing(spark):
     assert {r.line: r.function for r in code.enclosing(found, lines).collect()} == {3: "g", 4: "f"}
 
 
+def test_loop_indexes_contradictions_words_and_signatures(spark):
+    src = "for i in range(len(a)):\n    a[i] = b[i]\n"
+    assert [(n, line) for f, n, line, _ in code.facts_of(src) if f == "unchecked-index"] == [("b", 2)]
+    files = spark.createDataFrame([("e", "a.py", "def total(rows):\n    return rows\n")], "entry_id string, path string, content string")
+    f = spark.createDataFrame([("e", 0, "total is wrong", ""), ("e", 1, "subtotal is wrong", ""), ("other", 0, "subtotal", "")], "entry_id string, ord int, title string, description string")
+    assert [(r.entry_id, r.ord) for r in code.contradictions(f, code.facts(files)).collect()] == [("e", 1)]
+    names = spark.createDataFrame([("e", "a.py", 1, "os"), ("e", "a.py", 2, "re")], "entry_id string, path string, line int, name string")
+    lines = spark.createDataFrame([("e", "a.py", 1, "import os"), ("e", "a.py", 2, "import re"), ("e", "b.py", 1, "re.sub(oss)")], "entry_id string, path string, line int, text string")
+    assert [r.name for r in code.unreferenced(names, lines).collect()] == ["os"]
+    d = spark.createDataFrame([("e", "a.py", "removed", None, "def f(a):"), ("e", "a.py", "added", 3, "def f(a, b):"), ("e", "a.py", "added", 9, "def g(a):")], "entry_id string, path string, kind string, new_line int, text string")
+    assert [(r.name, r.line) for r in code.signature_changes(d).collect()] == [("f", 3)]
+
+
 def test_chunks_are_anchored_at_symbols():
     text = "import os\n\nclass A:\n    def f(self):\n        return 1\n\ndef g():\n    return 2\n"
     assert [(c[0], c[1], c[2]) for c in code.chunk("a.py", text, "python")] == [("A", "class", 3), ("f", "function", 4), ("g", "function", 7)]
