@@ -28,13 +28,12 @@ from patchlake.session import checkpoint, spread, table
 CYRILLIC = {"a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у", "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "V": "Ѵ", "W": "Ԝ", "X": "Х", "Y": "Ү"}
 GREEK = {"o": "ο", "v": "ν", "c": "ϲ", "j": "ϳ", "A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "J": "Ϳ", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ"}
 ARMENIAN = {"o": "օ", "h": "հ", "n": "ո", "u": "ս", "g": "ց", "q": "զ", "O": "Օ", "S": "Տ", "U": "Ս"}
-LATIN = {"g": "ɡ", "a": "ɑ", "i": "ı"}
-_LATIN_ONLY_WITHOUT_MARK = {"ı"}
+LATIN = {"g": "ɡ", "a": "ɑ"}
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 
 _SPELL = {"Latin": {}, "Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}
 #: letter -> its prototype
-_PROTO = {v: k for m in (CYRILLIC, GREEK, ARMENIAN) for k, v in m.items()} | {"ɡ": "g", "ɑ": "a"}
+_PROTO = {v: k for m in (CYRILLIC, GREEK, ARMENIAN, LATIN) for k, v in m.items()}
 _CLASS_SCRIPTS = {k: frozenset(["Latin", *(s for s, m in _SPELL.items() if k in m)]) for k in set(_PROTO.values())}
 
 

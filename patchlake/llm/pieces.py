@@ -23,7 +23,6 @@ from patchlake.session import spread, table
 
 LIMIT, OVERLAP = 1500, 200
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|\Z)")
-_DIFF = re.compile(r"diff --git |Index: |--- (?=\S)")
 _HEAD = re.compile(r"(#{1,6})\s|<h([1-6])\b", re.I)
 _ITEM = re.compile(r"\s*(?:[-*+•]\s|\d+[.)]\s|</?(?:p|li|ul|ol|div|section|article|table|tr)\b)", re.I)
 _INSIDE = (re.compile(r"(?<=[;}])"), re.compile(r"(?<=[,.!?])(?=\s|\S)"), re.compile(r"(?<=\s)(?=\S)"))

@@ -1,7 +1,6 @@
 import datetime
 
 import numpy as np
-import pytest
 from hypothesis import given, settings, strategies as st
 
 from patchlake.llm import percentiles as P
