@@ -3,11 +3,11 @@
 A diff is read as the sequence of its body lines, each reduced to a signed 64-bit symbol of its tokens (indentation,
 spacing and quote style do not count, headers and hunk positions are left out).  Equal sequences form a class, of which
 one representative goes on.  The suffixes of all representatives are range-partitioned and sorted into a partitioned
-suffix array; within each block of a common first line, cross-split neighbours with their common prefixes give shared
-spans, and the spans of two records are merged into coverage.  Suffixes start at a record's rarest lines: two records
-that share at least ``LEAST`` of the tokens of the longer one share one of those (prefix filter), so no cap is needed
-and common lines open no blocks unless a record has nothing rarer.  Pairs with enough coverage are checked on tokens,
-and classes are expanded to entries.
+suffix array; within each block of a common first line, cross-split neighbours are candidates, with the shared spans of their
+common prefixes.  Suffixes start at a record's rarest lines: two records that share at least ``LEAST`` of the tokens of
+the longer one share one of those (prefix filter), so no cap is needed and common lines open no blocks unless a record
+has nothing rarer.  Every candidate pair is checked on tokens, by one rule at every size; the lines that its spans cover
+decide nothing, as spans are cut at ``DEPTH`` lines.  Classes are expanded to entries.
 
 A diff without body lines is in no pair.  Null diffs count as empty, a null hold_out as neither split.  Copies within
 one split are no pair.  Repeated entry_ids give a pair once.
@@ -35,6 +35,7 @@ CHANGED = 0.5  # of the changed tokens of the shorter record
 WHOLE = 0.9  # of all and of the changed tokens of the shorter record, where the longer adds lines
 DEPTH = 6  # lines of a suffix that are compared
 BLOCK = 5000  # suffixes of a role that meet in one task
+DIRECT = 4_000_000  # product of the lengths from which aligned() looks blocks up in ranks; the blocks are the same
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _HEADER = ("diff --git ", "index ", "new file mode", "deleted file mode", "old mode", "new mode", "similarity index", "dissimilarity index", "rename from", "rename to", "copy from", "copy to", "Binary files", "\\ No newline")
 
@@ -131,7 +132,7 @@ def _cells(suffixes: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """held, trained, spans of representatives (key, n, syms, weights, held, trained) that may share LEAST of their tokens."""
+    """held, trained, lines in shared spans of representatives (key, n, syms, weights, held, trained) that may share LEAST of their tokens."""
     lines = reps.select("key", "n", F.posexplode(F.arrays_zip("syms", "weights")).alias("at", "x")).select("key", "n", "at", F.col("x.syms").alias("sym"), F.col("x.weights").alias("w"))
     counts = lines.groupBy("sym").agg(F.count("*").alias("df"), F.min("key").alias("a"), F.max("key").alias("b"))
     known = lines.join(counts.select("sym", "df", (F.col("a") != F.col("b")).alias("shared")), "sym")
@@ -144,6 +145,47 @@ def candidates(reps: DataFrame) -> DataFrame:
     return spans.groupBy("held", "trained").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("lines") - 1))))).alias("lines"))
 
 
+def aligned(p: list[str], q: list[str]) -> int:
+    """Tokens in the matching blocks of two or more: the longest first (then leftmost), then left and right of it.
+
+    These are SequenceMatcher's blocks at every size.  Of long sequences, the windows of 1, 2, 4, .. tokens are ranked
+    once, and the longest common window of a range is found by bisection, as two ranks stand for a window of any length.
+    """
+    n, ids = len(p), {}
+    x = np.array([ids.setdefault(w, len(ids)) for w in [*p, *q]] if len(p) * len(q) >= DIRECT else [], np.int64)
+    ranks = [x]
+    while (k := 1 << len(ranks)) <= min(n, len(x) - n):
+        r = np.unique(ranks[-1][: -k // 2] * len(x) + ranks[-1][k // 2 :], return_inverse=True)[1]
+        if not np.isin(r[: n - k + 1], r[n:]).any():
+            break
+        ranks.append(r)
+
+    def windows(lo: int, hi: int, size: int) -> np.ndarray:
+        r, k = ranks[size.bit_length() - 1], 1 << size.bit_length() - 1
+        return r[lo : hi - size + 1] * len(x) + r[lo + size - k : hi - k + 1]
+
+    total, todo = 0, [(0, n, 0, len(q))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if (b - a) * (d - c) < DIRECT:
+            total += sum(k.size for k in SequenceMatcher(None, p[a:b], q[c:d], autojunk=False).get_matching_blocks() if k.size > 1)
+            continue
+        least, most = 0, min(b - a, d - c, (1 << len(ranks)) - 1)
+        while least < most:
+            size = (least + most + 1) // 2
+            if np.isin(windows(a, b, size), windows(n + c, n + d, size)).any():
+                least = size
+            else:
+                most = size - 1
+        if least > 1:
+            left, right = windows(a, b, least), windows(n + c, n + d, least)
+            i = int(np.isin(left, right).argmax())
+            j = int((right == left[i]).argmax())
+            total += least
+            todo += [(a, a + i, c, c + j), (a + i + least, b, c + j + least, d)]
+    return total
+
+
 def alike(a: str, b: str) -> tuple[float, float, float]:
     """Shared part of the tokens of the longer diff, of the shorter, and of the changed tokens of the shorter."""
     left, right = ([(s, tuple(t)) for s, x in body(d) if (t := tokens(x))] for d in (a, b))
@@ -164,10 +206,7 @@ def alike(a: str, b: str) -> tuple[float, float, float]:
     x, y = rest(left), rest(right)
     for only_changed in (False, True):
         p, q = ([s + w for s, t in rows if s or not only_changed for w in t] for rows in (x, y))
-        if p and q and len(p) * len(q) < 4_000_000:
-            m = sum(k.size for k in SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if k.size > 1)
-        else:
-            m = sum((Counter(p) & Counter(q)).values())
+        m = aligned(p, q)
         if only_changed:
             same_changed += m
         else:

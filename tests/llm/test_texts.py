@@ -324,5 +324,28 @@ def test_candidates_miss_no_pair_of_brute_force(spark, monkeypatch):
     assert want and want <= found(spark, texts)
 
 
+def test_large_changes_are_aligned_like_small_ones():
+    """Shared lines and a shared vocabulary in another order are no same change, however large the diffs are."""
+
+    def pair(n):
+        rng = random.Random(7)
+        shared = [f"+shared_{i}(a, b)" for i in range(n)]
+        words = [f"w{i}" for i in range(18 * n)]
+        own = [["+" + " ".join(rng.sample(words, len(words))[k : k + 6]) for k in range(0, len(words), 6)] for _ in range(2)]
+        return [patch(*shared, *x) for x in own]
+
+    small, large = (O.alike(*pair(n)) for n in (5, 150))
+    assert not O.same_change(*small) and not O.same_change(*large)
+
+
+def test_blocks_are_the_same_at_every_size(monkeypatch):
+    rng = random.Random(1)
+    for direct in (1, 2, 50):
+        monkeypatch.setattr(O, "DIRECT", direct)
+        for _ in range(300):
+            p, q = ([str(rng.randrange(rng.choice((1, 2, 5, 20)))) for _ in range(rng.randrange(40))] for _ in range(2))
+            assert O.aligned(p, q) == sum(k.size for k in O.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if k.size > 1)
+
+
 def test_no_entries(spark):
     assert found(spark, [(True, None)]) == set()
