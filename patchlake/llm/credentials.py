@@ -228,11 +228,25 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
                     strong = bool(_STRONG.search(m.group("name")))
                     if plausible(v, strong) and not _URL.search(v):
                         add(m)
-    if not out:
-        for m in _LITERAL.finditer(line):
-            if len(m.group(2)) >= 16 and not m.group(2).startswith("data:") and hidden(m.group(2)):
-                out.append(m.span(2))
-    return sorted(set(out))
+    return sorted({*out, *_encoded(line, out)})
+
+
+def _encoded(line: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of literals with a credential under encoding, besides what is ``known`` of the line."""
+    out: list[tuple[int, int]] = []
+    cuts = sorted(set(known))
+    for m in _LITERAL.finditer(line):
+        a, b = m.span(2)
+        if b - a < 16 or line.startswith("data:", a):
+            continue
+        rest, at = "", a
+        for x, y in cuts:
+            if x < b and y > at:
+                rest += line[at : max(x, at)] + MASK
+                at = min(y, b)
+        if hidden(rest + line[at:b]):
+            out.append((a, b))
+    return out
 
 
 def _dict_key(line: str, m: re.Match) -> bool:
@@ -306,9 +320,9 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
         if got:
             k = skew(i)
             found.setdefault(i, []).extend((i, a + k, b + k) for a, b in got)
-        elif (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)[\"']?\]?\s*(?::=|=|:)\s*(?:\w*\(|\(|\\|[\"'`]{0,3})?\s*\\?$", line)) or (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)\s*=\s*[\w.]+\(\s*[\"']{0,3}$", line)):
+        if (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)[\"']?\]?\s*(?::=|=|:)\s*(?:\w*\(|\(|\\|[\"'`]{0,3})?\s*\\?$", line)) or (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)\s*=\s*[\w.]+\(\s*[\"']{0,3}$", line)):
             parts, j = [], i + 1
-            while j < len(rows) and len(parts) < 400:
+            while j < len(rows):
                 if diff and rows[j].startswith(("@@", "diff ", "+++ ", "--- ")):
                     break
                 if diff and sign(j) != sign(i) and sign(j) in "+-" and sign(i) != " ":

@@ -79,6 +79,25 @@ def test_very_long_line_is_read_whole():
     assert len(K.scan(line, "a.js")) == 1
 
 
+def test_encoded_literals_beside_plain_ones_are_redacted():
+    key = "ghp_" + "aB3dE6gH9j" * 4
+    b64, hexed = base64.b64encode(key.encode()).decode(), key.encode().hex()
+    line = f'{{"password": "Tr0ub4dor&3x", "blob": "{b64}", "other": "{hexed}", "name": "plain words"}}'
+    kept = '{"password": "REDACTED", "blob": "REDACTED", "other": "REDACTED", "name": "plain words"}'
+    assert K.redact(line, K.scan(line, "a.json")) == kept
+    wide = line + " " * 25_000 + line
+    assert K.redact(wide, K.scan(wide, "a.json")) == kept + " " * 25_000 + kept
+    begun = f'password = "Tr0ub4dor&3x"; deploy_key = (\n    "{b64}"\n)'
+    assert b64 not in K.redact(begun, K.scan(begun, "a.py"))
+
+
+def test_every_fragment_of_a_literal_is_redacted():
+    encoded = base64.b64encode(("filler " * 3000 + "password = 'Tr0ub4dor&3x'").encode()).decode()
+    pieces = [encoded[k : k + 40] for k in range(0, len(encoded), 40)]
+    text = "signing_key = (\n" + "".join(f'    "{x}"\n' for x in pieces) + ")\n"
+    assert len(pieces) > 450 and not any(x in K.redact(text, K.scan(text, "a.py")) for x in pieces)
+
+
 # --- pieces -----------------------------------------------------------------------------------------------------------
 
 
