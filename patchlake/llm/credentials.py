@@ -17,6 +17,7 @@ import binascii
 import re
 import urllib.parse
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,7 @@ _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 _BODY_LINE = re.compile(r"[\"'`\s+(,]*[A-Za-z0-9+/=]{4,}[\"'`\s+\\n,);]*$")
 _LITERAL = re.compile(r"(\"\"\"|'{3}|[\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
 _FRAGMENT = re.compile(r"^\s*[rbuf]{0,2}([\"'`])((?:\\.|(?!\1)[^\\])*)\1\s*(?:[+\\,;)]|\)\s*;?)*\s*$")
-_ENCODED = re.compile(r"[\"'`](?!data:)[A-Za-z0-9+/_-]{20,}={0,2}[\"'`]")
+_ENCODED = re.compile(r"[\"'`](?!data:)[A-Za-z0-9+/_-]{20,}={0,2}[\"'`]|%[0-9A-Fa-f]{2}|\\[0-7]{1,3}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # fixed values: what stands where a secret would
@@ -158,7 +159,7 @@ def hidden(value: str, depth: int = DEPTH) -> bool:
             continue
         if _PEM.search(text) and len(_BODY.findall(text)) > 1:
             return True
-        if any(spans(line, False) for line in text.split("\n")) or hidden(text.strip(), depth - 1):
+        if any(_spans_any(line, False) for line in text.split("\n")) or hidden(text.strip(), depth - 1):
             return True
     return False
 
@@ -234,14 +235,19 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
 def _encoded(line: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Places of literals with a credential under encoding, besides what is ``known`` of the line."""
     out: list[tuple[int, int]] = []
-    cuts = sorted(set(known))
+    cuts, first = sorted(set(known)), 0
+    ends = list(accumulate((y for _, y in cuts), max))
     for m in _LITERAL.finditer(line):
         a, b = m.span(2)
         if b - a < 16 or line.startswith("data:", a):
             continue
+        while first < len(cuts) and ends[first] <= a:
+            first += 1
         rest, at = "", a
-        for x, y in cuts:
-            if x < b and y > at:
+        for x, y in islice(cuts, first, None):
+            if x >= b:
+                break
+            if y > at:
                 rest += line[at : max(x, at)] + MASK
                 at = min(y, b)
         if hidden(rest + line[at:b]):
@@ -259,7 +265,7 @@ def config_like(path: str, text: str) -> bool:
     """Whether unquoted values count in this file: by its name, or as its lines say although it is named like code."""
     if not _CODE.search(path):
         return True
-    rows = [x for x in text[:4000].split("\n") if x.strip() and not x.lstrip().startswith(("#", ";"))]
+    rows = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("#", ";"))]
     return bool(rows) and sum(bool(re.match(r"\s*(?:export |ENV )?[\w.-]+(?:=\S*|: \S.*|:)$|\s*\[[\w.-]+\]$|\s*<|\s*- ", x)) for x in rows) > 0.8 * len(rows)
 
 
@@ -316,7 +322,7 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
                 own = "\n".join(r[1:] for r in rows if r[:1] in ("+", " ", "-"))
                 bare_by_path[path] = not _CODE.search(path) or (len(set(marks)) <= 2 and config_like(path, own))
             bare = bare_by_path[path]
-        got = spans(line, bare) if len(line) < 20_000 else _spans_wide(line, bare)
+        got = _spans_any(line, bare)
         if got:
             k = skew(i)
             found.setdefault(i, []).extend((i, a + k, b + k) for a, b in got)
@@ -344,12 +350,16 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
     return sorted(found.items())
 
 
+def _spans_any(line: str, bare: bool) -> list[tuple[int, int]]:
+    return spans(line, bare) if len(line) < 20_000 else _spans_wide(line, bare)
+
+
 def _spans_wide(line: str, bare: bool) -> list[tuple[int, int]]:
-    """Overlapping windows of a very long line, so every pattern sees its surroundings."""
+    """Overlapping windows of a very long line, so every pattern sees its surroundings; literals also as a whole."""
     out: set[tuple[int, int]] = set()
     for a in range(0, len(line), 8000):
         out |= {(a + x, a + y) for x, y in spans(line[a : a + 12_000], bare)}
-    return sorted(out)
+    return sorted({*out, *_encoded(line, list(out))})
 
 
 def _blocks(rows: list[str], diff: bool, body, sign, skew, found: dict, taken: set) -> None:

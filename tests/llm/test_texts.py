@@ -98,6 +98,19 @@ def test_every_fragment_of_a_literal_is_redacted():
     assert len(pieces) > 450 and not any(x in K.redact(text, K.scan(text, "a.py")) for x in pieces)
 
 
+def test_encodings_are_found_wherever_they_stand():
+    key = "ghp_" + "aB3dE6gH9j" * 4
+    for literal in ("".join(f"%{ord(c):02X}" for c in key), "".join(f"\\{ord(c):o}" for c in key)):
+        assert [i for i, _ in K.scan(f'a = 1\nx = f("{literal}")\n', "a.js")] == [1]
+    for size, before in ((6_000, 7_000), (14_000, 100)):  # over the overlap of the windows, over a window
+        long = base64.b64encode(("filler " * (size // 10) + f"password = 'Tr0ub4dor&3x'{' filler' * 9}").encode()).decode()
+        line = "f(a); " * (before // 6) + f' x = "{long}" ' + "g(b); " * 3500
+        at = line.index(long)
+        assert (0, at, at + len(long)) in dict(K.scan(line, "a.js"))[0]
+    listing = "import os\n" * 500 + "database_password: Tr0ub4dor&3x\n" * 5000
+    assert K.config_like("a.py", listing) and not K.config_like("a.py", "a: 1\n" * 1000 + "call(x, y)\n" * 1000)
+
+
 # --- pieces -----------------------------------------------------------------------------------------------------------
 
 
