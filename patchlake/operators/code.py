@@ -46,6 +46,13 @@ SYMBOLS = {
     "ruby": [("class", r"^\s*class\s+(\w+)"), ("module", r"^\s*module\s+(\w+)"), ("method", r"^\s*def\s+(\w+)")],
     "shell": [("function", r"^\s*(\w+)\s*\(\)\s*\{")],
 }
+_BROAD = ("correctness", "maintainability", "data_integrity", "security", "performance", "reliability", "resource_lifecycle")
+_HANDLING = ("error_handling", "observability", "reliability")
+#: categories of findings that a flaw of the syntax tree on their line confirms
+FLAW_CATEGORIES = {
+    "mutable-default": _BROAD, "sql-construction": _BROAD, "unchecked-index": _BROAD, "dangerous-call": _BROAD, "bare-except": _HANDLING, "swallowed-except": _HANDLING,
+    "blocking-in-async": ("performance", "reliability", "compatibility"), "signature-change": ("api_contract",), "unused-import": ("dead_code", "api_contract", "maintainability"),
+}
 _SINK_OF = {name: kind for kind, names in SINKS.items() for name in names.split()}
 
 
@@ -361,24 +368,44 @@ def chunks(files: DataFrame) -> DataFrame:
     return spread(files.where("content is not null").select("entry_id", "path", "content", C.extension_language(F.col("path")).alias("language"))).mapInPandas(fn, schema)
 
 
-def verify(findings: DataFrame, lines: DataFrame, file_rows: DataFrame, snapshot: DataFrame, evidence: DataFrame, key: str = "entry_id") -> DataFrame:
+def flaws(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(entry_id, path, line, category, rule_id) of the flaws of facts, and of the signatures that numbered diff lines change."""
+    named = found.select("entry_id", "path", "line", F.col("fact").alias("rule_id"))
+    named = named.unionByName(unused_imports(found).select("entry_id", "path", "line", F.lit("unused-import").alias("rule_id")))
+    named = named.unionByName(signature_changes(lines).select("entry_id", "path", "line", F.lit("signature-change").alias("rule_id")))
+    categories = F.create_map(*[x for k, v in FLAW_CATEGORIES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return named.where(F.col("rule_id").isin(*FLAW_CATEGORIES)).select("entry_id", "path", "line", F.explode(categories[F.col("rule_id")]).alias("category"), "rule_id").distinct()
+
+
+def verify(findings: DataFrame, lines: DataFrame, file_rows: DataFrame, snapshot: DataFrame, evidence: DataFrame, key: str = "entry_id", found: DataFrame | None = None) -> DataFrame:
     """Evidence status of findings (key, ord, file_path, start_line, title, description, category).
 
     ``lines`` are numbered diff lines with path, ``file_rows`` diff files, ``snapshot`` (key, path), ``evidence``
-    (key, path, line, category, rule_id) the deterministic hits.  The first condition that holds decides.
+    (key, path, line, category, rule_id) the deterministic hits, ``found`` the facts of the snapshot (with key entry_id):
+    flaws of a finding's category and taint on its line confirm it too, and what names nothing of the snapshot and has
+    no hit and no overlap is rejected.  The first condition that holds decides.
     """
+    tainted, contradicted = None, None
+    if found is not None:
+        evidence = evidence.select(key, "path", "line", "category", "rule_id").unionByName(flaws(found, lines))
+        tainted = found.where("fact = 'taint'").groupBy(key, "path", "line").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("taint-"), "name"))), ",").alias("flows"))
+        contradicted = contradictions(findings, found).withColumn("contradicted", F.lit(True))
     f = findings.select(key, "ord", F.col("file_path").alias("path"), F.col("start_line").alias("line"), "category", C.identifier_tokens(F.concat_ws(" ", "title", "description")).alias("tokens"))
     touched = file_rows.select(key, "path").distinct().withColumn("in_diff", F.lit(True))
     known = snapshot.select(key, "path").distinct().withColumn("in_snapshot", F.lit(True))
     changed = lines.where("kind = 'added'").groupBy(key, "path", F.col("new_line").alias("line")).agg(F.min_by("text", "pos").alias("text"))
     hit = evidence.groupBy(key, "path", "line", "category").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"))
     j = f.join(touched, [key, "path"], "left").join(known, [key, "path"], "left").join(changed, [key, "path", "line"], "left").join(hit, [key, "path", "line", "category"], "left")
+    if found is not None:
+        j = j.join(tainted, [key, "path", "line"], "left").join(contradicted, [key, "ord"], "left").withColumn("rules", F.when(F.col("rules").isNotNull() | F.col("flows").isNotNull(), F.concat_ws(",", "rules", "flows")))
+    else:
+        j = j.withColumn("contradicted", F.lit(None).cast("boolean"))
     shared = C.overlap(F.col("tokens"), C.identifier_tokens(F.col("text"))) >= 1
     method = (
         F.when(F.col("in_diff").isNull() & F.col("in_snapshot").isNotNull(), "file-exists-outside-diff").when(F.col("in_diff").isNull(), "file-not-in-diff").when(F.col("line").isNull(), "no-line-reference")
-        .when(F.col("text").isNull(), "line-outside-hunks").when(F.col("rules").isNotNull(), "deterministic-rule-match").when(shared, "changed-line-and-identifier-overlap").otherwise("line-inside-changed-hunk")
+        .when(F.col("text").isNull(), "line-outside-hunks").when(F.col("rules").isNotNull(), "deterministic-rule-match").when(shared, "changed-line-and-identifier-overlap").when(F.col("contradicted"), "contradicts-repository").otherwise("line-inside-changed-hunk")
     )
-    status = C.lookup(method, {"file-exists-outside-diff": "insufficient_evidence", "file-not-in-diff": "rejected", "no-line-reference": "insufficient_evidence", "line-outside-hunks": "rejected", "deterministic-rule-match": "confirmed"}, "strongly_supported")
+    status = C.lookup(method, {"file-exists-outside-diff": "insufficient_evidence", "file-not-in-diff": "rejected", "no-line-reference": "insufficient_evidence", "line-outside-hunks": "rejected", "contradicts-repository": "rejected", "deterministic-rule-match": "confirmed"}, "strongly_supported")
     return j.select(key, "ord", "path", "line", method.alias("method"), status.alias("evidence_status"), "rules")
 
 

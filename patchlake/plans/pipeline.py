@@ -2,7 +2,7 @@
 
 A producer is a function from the lines of changes to findings and is registered by its check; the deterministic ones
 stand here, a provider's answers come in as a table of recorded outputs (``scripted``).  The plan is lazy from the diffs
-to the ranked findings and shuffles by entry and file only.
+to the ranked findings, but for the facts of the snapshots, and shuffles by entry and file only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C, rules, text
 from patchlake.operators import code, diffs, findings as fi, retrieval as rt
+from patchlake.session import checkpoint
 
 Producer = Callable[[DataFrame], DataFrame]
 PRODUCERS: dict[str, Producer] = {}
@@ -82,8 +83,9 @@ def reviewed(entries: DataFrame, producers: dict[str, Producer] | None = None, d
     order = Window.partitionBy("entry_id").orderBy("file_path", "start_line", "category", "title", "description")
     found = made.withColumn("ord", F.row_number().over(order).cast("bigint"))
     hits = found.where("rule_id is not null").select("entry_id", F.col("file_path").alias("path"), F.col("start_line").alias("line"), "category", "rule_id")
-    snapshot = entries.select("entry_id", F.explode("base_files").alias("path", "content")).select("entry_id", "path")
-    status = code.verify(found, placed, files, snapshot, hits).select("entry_id", "ord", "evidence_status")
+    snapshot = entries.select("entry_id", F.explode("base_files").alias("path", "content"))
+    facts = checkpoint(code.facts(snapshot))
+    status = code.verify(found, placed, files, snapshot.select("entry_id", "path"), hits, found=facts).select("entry_id", "ord", "evidence_status")
     f = found.join(status, ["entry_id", "ord"]).withColumnRenamed("entry_id", "review_id").withColumn("verification_status", C.lookup(F.col("evidence_status"), C.STATUS_OF_EVIDENCE, "unverified"))
     if dismissals is not None:
         repositories = entries.select(F.col("entry_id").alias("review_id"), "repository")

@@ -13,7 +13,7 @@ from patchlake.functions import columns as C, rules, text
 from patchlake.operators import code, diffs, evaluation as ev, events, findings as fi, retrieval as rt
 from patchlake.plans import pipeline
 from patchlake.sources import sinks
-from patchlake.session import table
+from patchlake.session import checkpoint, table
 from patchlake.streaming import events as stream
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -743,7 +743,7 @@ def code_verified(spark, d):
     text = e.select("entry_id", C.category().alias("category"), F.col("bug_fix").alias("title"), F.col("bug_description").alias("description"))
     found = files_.select("entry_id", F.col("file_idx").alias("ord"), "path").distinct().join(first, ["entry_id", "path"], "left").join(text, "entry_id").withColumnRenamed("path", "file_path")
     hits = rules.rule_hits(placed.where("kind = 'added'").select("entry_id", "path", F.col("new_line").alias("line"), "text")).select("entry_id", "path", "line", "category", "rule_id")
-    return code.verify(found, placed, files_, _files(spark, d).select("entry_id", "path"), hits).groupBy("method", "evidence_status").agg(F.count("*").alias("n"))
+    return code.verify(found, placed, files_, _files(spark, d).select("entry_id", "path"), hits, found=checkpoint(code.facts(_files(spark, d)))).groupBy("method", "evidence_status").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

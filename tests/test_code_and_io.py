@@ -105,6 +105,18 @@ def test_verifier_table(spark):
     assert got[5][0] == "changed-line-and-identifier-overlap" and got[6][0] == "line-inside-changed-hunk"
 
 
+def test_verifier_reads_flaws_taint_and_contradictions(spark):
+    text = "import pickle\ndef handle(request):\n    cursor.execute(request.args)\n    try:\n        run(1)\n    except ValueError:\n        pass\n"
+    found = code.facts(spark.createDataFrame([("e", "a.py", text)], "entry_id string, path string, content string"))
+    lines = spark.createDataFrame([("e", "a.py", i + 1, x, "added", i) for i, x in enumerate(text.split("\n"))], "entry_id string, path string, new_line int, text string, kind string, pos int")
+    files = spark.createDataFrame([("e", "a.py")], "entry_id string, path string")
+    none = spark.createDataFrame([], "entry_id string, path string, line int, category string, rule_id string")
+    rows = [(0, 3, "testing", "zzz"), (1, 6, "error_handling", "zzz"), (2, 6, "testing", "zzz"), (3, 5, "testing", "run"), (4, 2, "testing", "pickle"), (5, 1, "dead_code", "zzz")]
+    f = spark.createDataFrame([("e", o, "a.py", n, c, t, "") for o, n, c, t in rows], "entry_id string, ord int, file_path string, start_line int, category string, title string, description string")
+    got = {r.ord: (r.method, r.rules) for r in code.verify(f, lines, files, files, none, found=found).collect()}
+    assert got == {0: ("deterministic-rule-match", "taint-sql"), 1: ("deterministic-rule-match", "swallowed-except"), 2: ("contradicts-repository", None), 3: ("changed-line-and-identifier-overlap", None), 4: ("line-inside-changed-hunk", None), 5: ("deterministic-rule-match", "unused-import")}
+
+
 def test_gold_matching(spark):
     e = spark.createDataFrame([("p", ["src/a.py"], "high", "overflow in counter", ""), ("n", [], "", "", "")], "entry_id string, affected_files array<string>, severity string, bug_description string, bug_fix string")
     p = spark.createDataFrame([("p", 0, "src/a.py", "counter is off", "high"), ("p", 1, "src/b.py", "counter is off", "low"), ("p", 2, "b.py", "counter is off", "low"), ("p", 3, "src/a.py", "nothing shared", "low"), ("n", 0, "x.py", "counter", "low")], "entry_id string, pred int, file_path string, text string, severity string")
