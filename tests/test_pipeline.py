@@ -1,3 +1,6 @@
+import os
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,13 @@ def test_sinks_may_fail(spark):
     source = stream.read(spark, "/root/testdata/sf0.001/workflow_events.parquet")
     stream.fan_out(source, lambda d, n: 1 / 0, lambda d, n: seen.append(d.count()))
     assert sum(seen) == spark.read.parquet("/root/testdata/sf0.001/workflow_events.parquet").select("event_no").distinct().count()
+
+
+def test_streams_keep_old_rows_of_later_batches(spark, tmp_path):
+    """Files of three batches, the newest first; Spark drops late rows from the third batch on."""
+    for i in range(135):
+        row = pd.DataFrame({"event_no": [i], "kind": ["usage"], "received_at": [pd.Timestamp("2026-06-01") - pd.Timedelta(days=i)]})
+        row.to_parquet(tmp_path / f"{i:03}.parquet", coerce_timestamps="us")
+        os.utime(tmp_path / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = stream.run(stream.kind_counts(stream.read(spark, str(tmp_path))), "complete").collect()
+    assert [(r.kind, r.n) for r in got] == [("usage", 135)]
