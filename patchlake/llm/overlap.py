@@ -1,43 +1,46 @@
 """Problem 7: evaluation records whose change also stands, exactly or lightly edited, in a training record.
 
-A diff is read as the sequence of its body lines, each reduced to a signed 64-bit symbol of its tokens (indentation,
-spacing and quote style do not count, headers and hunk positions are left out).  Equal sequences form a class, of which
-one representative goes on.  The suffixes of all representatives are range-partitioned and sorted into a partitioned
-suffix array; within each block of a common first line, cross-split neighbours are candidates, with the shared spans of their
-common prefixes.  Suffixes start at a record's rarest lines: two records that share at least ``LEAST`` of the tokens of
-the longer one share one of those (prefix filter), so no cap is needed and common lines open no blocks unless a record
-has nothing rarer.  Every candidate pair is checked on tokens, by one rule at every size; the lines that its spans cover
-decide nothing, as spans are cut at ``DEPTH`` lines.  Classes are expanded to entries.
-
-A diff without body lines is in no pair.  Null diffs count as empty, a null hold_out as neither split.  Copies within
-one split are no pair.  Repeated entry_ids give a pair once.
+A diff is read as the text of its body lines' tokens, each token with its line's sign (indentation, spacing and quote
+style do not count, headers and hunk positions are left out).  Equal texts form a class, of which one representative
+goes on.  The suffixes of all representatives make a partitioned suffix array: they are sorted by the hash of their
+first ``FIRST`` tokens, and a block of equal ones is an interval whose suffixes have at least that common prefix.  It is
+a sparse array: of every ``GAP`` suffixes in a row the one of least hash is taken, so every span of ``FIRST + GAP - 1``
+tokens that two records share has a suffix that both took, and a taken suffix stands for the tokens up to the next one.
+
+A pair is a candidate if its shared suffixes stand for ``NEAR`` of the tokens of both.  Blocks are opened only by a
+record's rarer suffixes, all but the most common ones that stand for ``COMMON`` of its tokens; a candidate then shares
+rarer suffixes for ``NEAR - COMMON`` in both, so the merged blocks decide and no block or partner is capped.  For
+candidates the common prefixes of cross-record neighbours are followed over the whole records: all spans of at least
+``span`` tokens are merged into the coverage of each record, by one rule at every size (``same_change``).
+
+A diff without tokens is in no pair.  Null diffs count as empty, a null hold_out as neither split.  Copies within one
+split are no pair.  Repeated entry_ids give a pair once.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from patchlake.llm.splits import repository_key
-from patchlake.session import BROADCAST_ROWS, checkpoint, spread, table
+from patchlake.session import checkpoint, spread, table
 
-LEAST = 0.35  # of the tokens in equal lines, for a candidate
-SAME = 0.6  # of the tokens of the longer record, after aligning edited lines
-CHANGED = 0.5  # of the changed tokens of the shorter record
-WHOLE = 0.9  # of all and of the changed tokens of the shorter record, where the longer adds lines
-DEPTH = 6  # lines of a suffix that are compared
+FIRST, GAP = 5, 5  # tokens that a block has in common; suffixes in a row of which one is taken
+COMMON, NEAR = 0.25, 0.3  # of a record's tokens: left to its most common suffixes; shared for a candidate
+LONG, MOST = 10, 0.55  # shared spans of so many tokens cover so much of both records, all tokens and the changed ones
+SHORT, ALMOST = 5, 0.85  # or shorter spans cover almost all of both
+WHOLE, PART = 0.9, 0.35  # or long spans cover the one record, and so much of the other, which adds to it
 BLOCK = 5000  # suffixes of a role that meet in one task
-DIRECT = 4_000_000  # product of the lengths from which aligned() looks blocks up in ranks; the blocks are the same
+VOCABULARY = 500_000  # hashes of tokens a task keeps before it starts anew
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _HEADER = ("diff --git ", "index ", "new file mode", "deleted file mode", "old mode", "new mode", "similarity index", "dissimilarity index", "rename from", "rename to", "copy from", "copy to", "Binary files", "\\ No newline")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(29)
 
 
 def body(diff: str | None) -> list[tuple[str, str]]:
@@ -62,196 +65,207 @@ def body(diff: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def tokens(line: str) -> list[str]:
-    return _TOKEN.findall(line.replace("'", '"').replace("`", '"'))
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big")
 
 
-def symbol(sign: str, toks: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b((sign + " ".join(toks)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+class Reader:
+    """Diffs as arrays of token hashes, kept per word."""
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[str, str], int] = {}
+
+    def tokens(self, diff: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each signed token, and whether it stands on a changed line."""
+        if len(self.known) > VOCABULARY:
+            self.known.clear()
+        known, out, changed = self.known, [], []
+        for sign, line in body(diff):
+            words = _TOKEN.findall(line.replace("'", '"').replace("`", '"'))
+            for w in words:
+                h = known.get((sign, w))
+                if h is None:
+                    h = known[sign, w] = _digest((sign + "\0" + w).encode("utf-8", "surrogatepass"))
+                out.append(h)
+            changed += [sign != ""] * len(words)
+        return np.array(out, np.uint64), np.array(changed, bool)
+
+
+def windows(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the first ``size`` tokens of each suffix that has so many; a shorter text has one, of all it holds."""
+    size = min(size, len(tokens))
+    h = np.zeros(len(tokens) - size + 1 if size else 0, np.uint64)
+    for i in range(size):
+        h = h * _MIX + tokens[i : len(tokens) - size + 1 + i]
+        h ^= h >> _SHIFT
+    return h
+
+
+def suffixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the suffixes taken, each once, and the number of tokens they stand for."""
+    h = windows(tokens, FIRST)
+    if len(h) <= GAP:
+        at = np.array([int(h.argmin())])
+    else:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(h, GAP).argmin(1) + np.arange(len(h) - GAP + 1))
+    stands = np.diff(np.append(at, len(tokens)))
+    stands[0] += at[0]
+    names, where = np.unique(h[at], return_inverse=True)
+    return names.view(np.int64), np.bincount(where, stands).astype(np.int32)
 
 
 def records(entries: DataFrame) -> DataFrame:
-    """entry_id, hold_out, key, n, syms, weights: one row per entry with body lines."""
+    """entry_id, hold_out, key, n, syms, weights: one row per entry with tokens."""
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = Reader()
         for b in batches:
             rows = []
             for e, h, d in zip(b["entry_id"], b["hold_out"], b["diff"]):
-                syms, weights = [], []
-                for sign, line in body(d):
-                    if toks := tokens(line):
-                        syms.append(symbol(sign, toks))
-                        weights.append(len(toks))
-                if syms:
-                    key = int.from_bytes(hashlib.blake2b(np.array(syms, np.int64).tobytes(), digest_size=8).digest(), "big", signed=True)
-                    rows.append((e, bool(h), key, sum(weights), syms, weights))
+                tokens, _ = read.tokens(d)
+                if len(tokens):
+                    rows.append((e, bool(h), int(np.uint64(_digest(tokens.tobytes())).view(np.int64)), len(tokens), *suffixes(tokens)))
             yield pd.DataFrame(rows, columns=["entry_id", "hold_out", "key", "n", "syms", "weights"])
 
     return spread(entries.where("hold_out is not null").select("entry_id", "hold_out", "diff")).mapInPandas(fn, "entry_id string, hold_out boolean, key bigint, n int, syms array<bigint>, weights array<int>")
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Cross-split suffixes of one block with the length of their common prefix, from sorted suffixes."""
-
-    def found() -> Iterator[tuple]:
-        held, trained, first = [], [], None
-        for b in batches:
-            for key, at, n, suffix, role, i, j in zip(b["key"], b["at"], b["n"], b["suffix"], b["role"], b["i"], b["j"]):
-                if (suffix[0], i, j) != first:
-                    yield from _common(held, trained)
-                    held, trained, first = [], [], (suffix[0], i, j)
-                (held if role else trained).append((key, at, n, suffix))
-        yield from _common(held, trained)
-
-    rows = found()
-    while out := list(islice(rows, 50_000)):
-        yield pd.DataFrame(out, columns=["held", "trained", "at", "lines"])
-
-
-def _common(held: list, trained: list) -> Iterator[tuple]:
-    for a, at, n, x in held:
-        for t, _, m, y in trained:
-            if a != t and min(n, m) >= LEAST * max(n, m):
-                k = 1
-                while k < len(x) and k < len(y) and x[k] == y[k]:
-                    k += 1
-                yield a, t, at, k
-
-
-def _cells(suffixes: DataFrame) -> DataFrame:
-    """A row per role; a block with more than BLOCK rows of a role is cut into a grid of cells, each met by one task."""
-    roles = suffixes.select("*", F.explode(F.array_compact(F.array(F.when(F.col("held"), F.lit(True)), F.when(F.col("trained"), F.lit(False))))).alias("role")).withColumn("_s", F.col("suffix")[0])
-    sizes = roles.groupBy("_s").agg(F.count_if("role").alias("h"), F.count_if(~F.col("role")).alias("t"))
-    hot = sizes.where(f"h > {BLOCK} or t > {BLOCK}").select("_s", F.ceil(F.col("h") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("t") / BLOCK).cast("int").alias("columns"))
-    small = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sized = roles.join(F.broadcast(hot) if small else hot, "_s", "left")
-    own = lambda n: F.coalesce(F.pmod(F.xxhash64("key", "at"), F.greatest(F.col(n), F.lit(1))).cast("int"), F.lit(0))
-    every = lambda n: F.sequence(F.lit(0), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)) - 1)
-    grid = sized.withColumn("i", F.explode(F.when(F.col("role"), F.array(own("rows"))).otherwise(every("rows")))).withColumn("j", F.explode(F.when(F.col("role"), every("columns")).otherwise(F.array(own("columns")))))
-    return grid.select("key", "at", "n", "suffix", "role", "i", "j")
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """held, trained, lines in shared spans of representatives (key, n, syms, weights, held, trained) that may share LEAST of their tokens."""
-    lines = reps.select("key", "n", F.posexplode(F.arrays_zip("syms", "weights")).alias("at", "x")).select("key", "n", "at", F.col("x.syms").alias("sym"), F.col("x.weights").alias("w"))
-    counts = lines.groupBy("sym").agg(F.count("*").alias("df"), F.min("key").alias("a"), F.max("key").alias("b"))
-    known = lines.join(counts.select("sym", "df", (F.col("a") != F.col("b")).alias("shared")), "sym")
-    rarest = Window.partitionBy("key").orderBy("df", "sym", "at").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = known.withColumn("ahead", F.coalesce(F.sum("w").over(rarest), F.lit(0))).where(F.col("shared") & (F.col("ahead") <= (1 - LEAST) * F.col("n"))).select("key", "at")
-    suffixes = seeds.join(reps.select("key", "n", "held", "trained", "syms"), "key").select("key", "at", "held", "trained", "n", F.slice("syms", F.col("at") + 1, F.lit(DEPTH)).alias("suffix"))
-    first = F.col("suffix")[0]
-    ordered = _cells(suffixes).repartitionByRange(first, "i", "j").sortWithinPartitions(first, "i", "j", "suffix", "key", "at")
-    spans = ordered.mapInPandas(_neighbours, "held bigint, trained bigint, at int, lines int")
-    return spans.groupBy("held", "trained").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("lines") - 1))))).alias("lines"))
-
-
-def aligned(p: list[str], q: list[str]) -> int:
-    """Tokens in the matching blocks of two or more: the longest first (then leftmost), then left and right of it.
-
-    These are SequenceMatcher's blocks at every size.  Of long sequences, the windows of 1, 2, 4, .. tokens are ranked
-    once, and the longest common window of a range is found by bisection, as two ranks stand for a window of any length.
-    """
-    n, ids = len(p), {}
-    x = np.array([ids.setdefault(w, len(ids)) for w in [*p, *q]] if len(p) * len(q) >= DIRECT else [], np.int64)
-    ranks = [x]
-    while (k := 1 << len(ranks)) <= min(n, len(x) - n):
-        r = np.unique(ranks[-1][: -k // 2] * len(x) + ranks[-1][k // 2 :], return_inverse=True)[1]
-        if not np.isin(r[: n - k + 1], r[n:]).any():
-            break
-        ranks.append(r)
-
-    def windows(lo: int, hi: int, size: int) -> np.ndarray:
-        r, k = ranks[size.bit_length() - 1], 1 << size.bit_length() - 1
-        return r[lo : hi - size + 1] * len(x) + r[lo + size - k : hi - k + 1]
-
-    total, todo = 0, [(0, n, 0, len(q))]
-    while todo:
-        a, b, c, d = todo.pop()
-        if (b - a) * (d - c) < DIRECT:
-            total += sum(k.size for k in SequenceMatcher(None, p[a:b], q[c:d], autojunk=False).get_matching_blocks() if k.size > 1)
+def _met(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The cross-split pairs of whole blocks, of records whose lengths allow ``NEAR``."""
+    names = b[["sym", "i", "j"]].to_numpy()
+    block = np.concatenate([[0], (names[1:] != names[:-1]).any(1).cumsum()]) if len(b) else np.zeros(0, np.int64)
+    role, n, key, w = (b[c].to_numpy() for c in ("role", "n", "key", "w"))
+    h, t = np.flatnonzero(role), np.flatnonzero(~role)
+    place = (block << 32) + n  # of the trained rows by block and length
+    t = t[np.argsort(place[t], kind="stable")]
+    low = np.searchsorted(place[t], (block[h] << 32) + np.ceil(NEAR * n[h]).astype(np.int64))
+    high = np.searchsorted(place[t], (block[h] << 32) + (n[h] / NEAR).astype(np.int64), "right")
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(h):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
+        size = (high - low)[at:to]
+        x = np.repeat(h[at:to], size)
+        y = t[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[at:to], size)]
+        other = key[x] != key[y]
+        x, y = x[other], y[other]
+        yield pd.DataFrame({"held": key[x], "trained": key[y], "n_held": n[x], "n_trained": n[y], "w_held": w[x], "w_trained": w[y]})
+        at = to
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows of blocks as they stream by; the last block of a batch waits for its rest."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
             continue
-        least, most = 0, min(b - a, d - c, (1 << len(ranks)) - 1)
-        while least < most:
-            size = (least + most + 1) // 2
-            if np.isin(windows(a, b, size), windows(n + c, n + d, size)).any():
-                least = size
-            else:
-                most = size - 1
-        if least > 1:
-            left, right = windows(a, b, least), windows(n + c, n + d, least)
-            i = int(np.isin(left, right).argmax())
-            j = int((right == left[i]).argmax())
-            total += least
-            todo += [(a, a + i, c, c + j), (a + i + least, b, c + j + least, d)]
-    return total
-
-
-def alike(a: str, b: str) -> tuple[float, float, float]:
-    """Shared part of the tokens of the longer diff, of the shorter, and of the changed tokens of the shorter."""
-    left, right = ([(s, tuple(t)) for s, x in body(d) if (t := tokens(x))] for d in (a, b))
-    weight = lambda rows: sum(len(t) for _, t in rows)
-    total, changed = (weight(left), weight(right)), tuple(sum(len(t) for s, t in rows if s) for rows in (left, right))
-    common = Counter(left) & Counter(right)
-    same, same_changed = sum(len(t) * n for (_, t), n in common.items()), sum(len(t) * n for (s, t), n in common.items() if s)
-
-    def rest(rows: list) -> list:
-        left_over, out = Counter(common), []
-        for r in rows:
-            if left_over[r]:
-                left_over[r] -= 1
-            else:
-                out.append(r)
-        return out
-
-    x, y = rest(left), rest(right)
-    for only_changed in (False, True):
-        p, q = ([s + w for s, t in rows if s or not only_changed for w in t] for rows in (x, y))
-        m = aligned(p, q)
-        if only_changed:
-            same_changed += m
+        names = b[["sym", "i", "j"]].to_numpy()
+        cut = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+        starts = not held or (held[-1][["sym", "i", "j"]].iloc[-1].to_numpy() != names[0]).any()
+        if starts or len(cut):
+            first = 0 if starts else int(cut[0])
+            if held or first:
+                yield from _met(pd.concat([*held, b.iloc[:first]], ignore_index=True))
+            last = int(cut[-1]) if len(cut) else 0
+            if last > first:
+                yield from _met(b.iloc[first:last])
+            held = [b.iloc[max(first, last) :]]
         else:
-            same += m
-    return same / max(1, *total), same / max(1, min(total)), (same_changed / min(changed) if min(changed) else float(max(changed) == 0))
-
+            held.append(b)
+    if held:
+        yield from _met(pd.concat(held, ignore_index=True))
 
-def same_change(longer: float, shorter: float, changed: float) -> bool:
-    """Most of both is shared, or the shorter stands whole in a longer one that adds to it."""
-    return longer >= SAME and changed >= CHANGED or longer >= LEAST and min(shorter, changed) >= WHOLE
 
-
-def overlaps(entries: DataFrame) -> DataFrame:
-    """entry_a < entry_b: one of either split, the same change."""
+def candidates(reps: DataFrame) -> DataFrame:
+    """held, trained: keys of representatives (key, n, syms, weights, held, trained) whose shared suffixes may stand for NEAR of both."""
+    every = reps.select("key", "n", "held", "trained", F.explode(F.arrays_zip("syms", "weights")).alias("x")).select("key", "n", "held", "trained", F.col("x.syms").alias("sym"), F.col("x.weights").alias("w"))
+    counts = every.groupBy("sym").agg(F.count("*").alias("df"), F.count_if("held").alias("h"), F.count_if("trained").alias("t")).where("df > 1 and h > 0 and t > 0")
+    known = every.join(counts, "sym")
+    common_first = Window.partitionBy("key").orderBy(F.desc("df"), "sym").rowsBetween(Window.unboundedPreceding, 0)
+    seeds = known.withColumn("common", F.sum("w").over(common_first)).where(F.col("common") >= COMMON * F.col("n"))
+    # a hot block is cut into a grid of cells, each met by one task
+    rows, across = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("h", "t"))
+    own = lambda n: F.array(F.pmod(F.xxhash64("key"), n).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    roles = seeds.withColumn("role", F.explode(F.array_compact(F.array(F.when(F.col("held"), F.lit(True)), F.when(F.col("trained"), F.lit(False))))))
+    grid = roles.withColumn("i", F.explode(F.when(F.col("role"), own(rows)).otherwise(all_of(rows)))).withColumn("j", F.explode(F.when(F.col("role"), all_of(across)).otherwise(own(across))))
+    blocks = grid.select("sym", "i", "j", "role", "key", "n", "w").repartition("sym", "i", "j").sortWithinPartitions("sym", "i", "j")
+    met = blocks.mapInPandas(_meetings, "held bigint, trained bigint, n_held int, n_trained int, w_held int, w_trained int")
+    merged = met.groupBy("held", "trained").agg(F.first("n_held").alias("n_held"), F.first("n_trained").alias("n_trained"), F.sum("w_held").alias("w_held"), F.sum("w_trained").alias("w_trained"))
+    return merged.where((F.col("w_held") >= (NEAR - COMMON) * F.col("n_held")) & (F.col("w_trained") >= (NEAR - COMMON) * F.col("n_trained"))).select("held", "trained")
+
+
+def coverage(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], span: int) -> tuple[float, float, float, float]:
+    """Part of the tokens of a and of b, and of their changed tokens, in shared spans of at least ``span`` tokens.
+
+    A suffix lies in such a span if its first tokens are those of a suffix of the other record, and the spans of all
+    such suffixes, merged, are the shared spans in their whole length.
+    """
+    size = min(span, len(a[0]), len(b[0]))
+    x, y = windows(a[0], size), windows(b[0], size)
+
+    def parts(own: np.ndarray, other: np.ndarray, changed: np.ndarray) -> tuple[float, float]:
+        at = np.flatnonzero(np.isin(own, other))
+        depth = np.zeros(len(changed) + 1, np.int64)
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + size, -1)
+        covered = np.cumsum(depth)[:-1] > 0
+        return float(covered.mean()), float(covered[changed].mean()) if changed.any() else 1.0
+
+    (p, r), (q, s) = parts(x, y, a[1]), parts(y, x, b[1])
+    return p, q, r, s
+
+
+def same_change(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[bool, float, float]:
+    """Whether the coverage says so, and the coverage of either record by long spans (else by short ones)."""
+    if a[1].any() != b[1].any():
+        return False, 0.0, 0.0
+    p, q, r, s = coverage(a, b, LONG)
+    if min(p, q, r, s) >= MOST or max(min(p, r), min(q, s)) >= WHOLE and min(p, q) >= PART:
+        return True, p, q
+    short = coverage(a, b, SHORT)
+    return (True, *short[:2]) if min(short) >= ALMOST else (False, p, q)
+
+
+def covered_pairs(entries: DataFrame) -> DataFrame:
+    """entry_a < entry_b: one of either split, the same change; coverage_a and coverage_b by spans of the other."""
     recs = checkpoint(records(entries))
-    reps = recs.groupBy("key").agg(F.first("n").alias("n"), F.first("syms").alias("syms"), F.first("weights").alias("weights"), F.max("hold_out").alias("held"), (~F.min("hold_out")).alias("trained"), F.min("entry_id").alias("entry"))
-    reps = checkpoint(reps)
-    spans = candidates(reps)
-    sized = spans.join(reps.select(F.col("key").alias("held"), F.col("entry").alias("held_entry")), "held").join(reps.select(F.col("key").alias("trained"), F.col("entry").alias("trained_entry")), "trained")
+    reps = checkpoint(recs.groupBy("key").agg(F.first("n").alias("n"), F.first("syms").alias("syms"), F.first("weights").alias("weights"), F.max("hold_out").alias("held"), (~F.min("hold_out")).alias("trained"), F.min("entry_id").alias("entry_id")))
+    pairs = checkpoint(candidates(reps))
     texts = entries.select("entry_id", "diff").dropDuplicates(["entry_id"])
+    sides = pairs.select("held", "trained", F.explode(F.array(F.struct(F.lit(True).alias("role"), F.col("held").alias("key")), F.struct(F.lit(False).alias("role"), F.col("trained").alias("key")))).alias("s")).select("held", "trained", "s.role", "s.key")
+    shown = sides.join(reps.select("key", "entry_id"), "key").join(texts, "entry_id")
+    both = shown.groupBy("held", "trained").agg(F.max(F.when(F.col("role"), F.col("diff"))).alias("left"), F.max(F.when(~F.col("role"), F.col("diff"))).alias("right"))
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = Reader()
         for b in batches:
-            keep = []
-            for x, y in zip(b["left"], b["right"]):
-                keep.append(same_change(*alike(x, y)))
-            yield b.loc[keep, ["held", "trained"]]
-
-    found = sized.join(texts.select(F.col("entry_id").alias("held_entry"), F.col("diff").alias("left")), "held_entry").join(texts.select(F.col("entry_id").alias("trained_entry"), F.col("diff").alias("right")), "trained_entry")
-    near = found.select("held", "trained", "left", "right").mapInPandas(fn, "held bigint, trained bigint")
-    equal = reps.where("held and trained").select(F.col("key").alias("held"), F.col("key").alias("trained"))
-    classes = near.unionByName(equal)
+            rows = []
+            for h, t, x, y in zip(b["held"], b["trained"], b["left"], b["right"]):
+                same, p, q = same_change(read.tokens(x), read.tokens(y))
+                if same:
+                    rows.append((h, t, p, q))
+            yield pd.DataFrame(rows, columns=["held", "trained", "c_held", "c_trained"])
+
+    near = both.mapInPandas(fn, "held bigint, trained bigint, c_held double, c_trained double")
+    equal = reps.where("held and trained").select(F.col("key").alias("held"), F.col("key").alias("trained"), F.lit(1.0).alias("c_held"), F.lit(1.0).alias("c_trained"))
     members = recs.select("entry_id", "hold_out", "key")
     h = members.where("hold_out").select(F.col("key").alias("held"), F.col("entry_id").alias("h"))
     t = members.where("not hold_out").select(F.col("key").alias("trained"), F.col("entry_id").alias("t"))
-    out = classes.join(h, "held").join(t, "trained")
-    return out.select(F.least("h", "t").alias("entry_a"), F.greatest("h", "t").alias("entry_b")).where("entry_a <> entry_b").distinct()
+    out = near.unionByName(equal).join(h, "held").join(t, "trained").where("h <> t")
+    first = F.col("h") < F.col("t")
+    named = out.select(F.least("h", "t").alias("entry_a"), F.greatest("h", "t").alias("entry_b"), F.when(first, F.col("c_held")).otherwise(F.col("c_trained")).alias("coverage_a"), F.when(first, F.col("c_trained")).otherwise(F.col("c_held")).alias("coverage_b"))
+    return named.groupBy("entry_a", "entry_b").agg(F.max("coverage_a").alias("coverage_a"), F.max("coverage_b").alias("coverage_b"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "benchmark_entries"))
+    return covered_pairs(table(spark, sf_dir, "benchmark_entries")).select("entry_a", "entry_b")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """split, repository, entries that overlap with the other split, and their pairs."""
+    """split, repository, entries that overlap with the other split, their pairs, and the mean coverage of the entries in them."""
     entries = table(spark, sf_dir, "benchmark_entries").select("entry_id", "hold_out", repository_key("repository").alias("repository"))
-    both = overlaps(table(spark, sf_dir, "benchmark_entries")).select(F.explode(F.array("entry_a", "entry_b")).alias("entry_id"))
-    return both.join(entries, "entry_id").groupBy(F.when(F.col("hold_out"), "evaluation").otherwise("training").alias("split"), "repository").agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("pairs"))
+    pairs = covered_pairs(table(spark, sf_dir, "benchmark_entries"))
+    both = pairs.select(F.explode(F.array(*[F.struct(F.col("entry_" + x).alias("entry_id"), F.col("coverage_" + x).alias("coverage")) for x in "ab"])).alias("e")).select("e.*")
+    split = F.when(F.col("hold_out"), "evaluation").otherwise("training").alias("split")
+    return both.join(entries, "entry_id").groupBy(split, "repository").agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("pairs"), F.round(F.avg("coverage"), 4).alias("coverage"))

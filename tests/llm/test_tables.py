@@ -104,4 +104,4 @@ def test_text_operators_on_null_empty_and_repeated_rows(spark):
     bad = X.checked(places(e, diff=False)).where("edit_cost > 0").select("entry_id", "path").distinct()
     assert {tuple(r) for r in bad.collect()} == {("1", "app.py"), (None, "z.json")}
     none = e.where("false")
-    assert K.credentials(places(none)).count() == P.pieces(places(none)).count() == X.checked(places(none)).count() == O.overlaps(none).count() == 0
+    assert K.credentials(places(none)).count() == P.pieces(places(none)).count() == X.checked(places(none)).count() == O.covered_pairs(none).count() == 0

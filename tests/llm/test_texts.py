@@ -332,7 +332,7 @@ BASE = [" def total(rows, limit):", " value = read_first(rows)", "+if value is N
 
 def found(spark, rows):
     d = spark.createDataFrame([(i, h, t, "k") for i, (h, t) in enumerate(rows)], "n int, hold_out boolean, diff string, key string").selectExpr("concat('e', n) as entry_id", "hold_out", "diff", "key")
-    return {tuple(r) for r in O.overlaps(d).collect()}
+    return {tuple(r) for r in O.covered_pairs(d).select('entry_a', 'entry_b').collect()}
 
 
 def test_copies_edits_and_other_changes(spark):
@@ -343,7 +343,36 @@ def test_copies_edits_and_other_changes(spark):
     assert found(spark, rows) == {("e0", "e1"), ("e0", "e2"), ("e0", "e3"), ("e1", "e8"), ("e2", "e8"), ("e3", "e8")}
 
 
-def test_candidates_miss_no_pair_of_brute_force(spark, monkeypatch):
+def naive_coverage(a, b, span):
+    """Coverage by all common spans of at least ``span`` tokens, found by comparing every position with every other."""
+    span = min(span, len(a), len(b))
+    own, other = set(), set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if k >= span:
+                own.update(range(i, i + k))
+                other.update(range(j, j + k))
+    return own, other
+
+
+def naive_same(x, y):
+    (a, ca), (b, cb) = O.Reader().tokens(x), O.Reader().tokens(y)
+    if ca.any() != cb.any():
+        return False
+
+    def parts(span):
+        own, other = naive_coverage(a.tolist(), b.tolist(), span)
+        of = lambda s, c: sum(i in s for i in range(len(c)) if c[i]) / c.sum() if c.any() else 1.0
+        return len(own) / len(a), len(other) / len(b), of(own, ca), of(other, cb)
+
+    p, q, r, s = parts(O.LONG)
+    return min(p, q, r, s) >= O.MOST or max(min(p, r), min(q, s)) >= O.WHOLE and min(p, q) >= O.PART or min(parts(O.SHORT)) >= O.ALMOST
+
+
+def test_pairs_are_those_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(O, "BLOCK", 3)
     rng = random.Random(5)
     words = [f"call_{i}(arg_{i % 7}, {i})" for i in range(60)]
@@ -352,11 +381,20 @@ def test_candidates_miss_no_pair_of_brute_force(spark, monkeypatch):
         body = [rng.choice("+- ") + rng.choice(words[:25]) for _ in range(8)] if i % 3 else texts[rng.randrange(len(texts))][1].split("\n")[4:-1] if texts else ["+a b c"]
         body = [x if rng.random() > 0.15 else "+" + rng.choice(words) for x in body]
         texts.append((bool(i % 2), patch(*body)))
-    want = {(f"e{i}", f"e{j}") if f"e{i}" < f"e{j}" else (f"e{j}", f"e{i}") for i, (h, a) in enumerate(texts) for j, (g, b) in enumerate(texts) if h and not g and O.same_change(*O.alike(a, b)) and sum((O.Counter(O.body(a)) & O.Counter(O.body(b))).values()) >= 0.7 * max(len(O.body(a)), len(O.body(b)))}
-    assert want and want <= found(spark, texts)
+    want = {(f"e{i}", f"e{j}") if f"e{i}" < f"e{j}" else (f"e{j}", f"e{i}") for i, (h, a) in enumerate(texts) for j, (g, b) in enumerate(texts) if h and not g and naive_same(a, b)}
+    assert want and found(spark, texts) == want
+
+
+def test_no_equal_line_is_needed(spark):
+    lines = [f"+    value_{i} = combine(source_{i}, weights[{i}], limit)" for i in range(12)]
+    edited = [x.replace("limit", f"bound_{i}") for i, x in enumerate(lines)]
+    words = [f"word{i}" for i in range(300)]
+    one, two = "+" + " ".join(words), "+" + " ".join([*words[:150], "other", *words[151:]])
+    same, changed = "+" + "again " * 300, "+" + "again " * 299 + "more"
+    assert found(spark, [(True, patch(*lines)), (False, patch(*edited)), (True, patch(one)), (False, patch(two)), (True, patch(same)), (False, patch(changed))]) == {("e0", "e1"), ("e2", "e3"), ("e4", "e5")}
 
 
-def test_large_changes_are_aligned_like_small_ones():
+def test_one_rule_at_every_size():
     """Shared lines and a shared vocabulary in another order are no same change, however large the diffs are."""
 
     def pair(n):
@@ -364,19 +402,16 @@ def test_large_changes_are_aligned_like_small_ones():
         shared = [f"+shared_{i}(a, b)" for i in range(n)]
         words = [f"w{i}" for i in range(18 * n)]
         own = [["+" + " ".join(rng.sample(words, len(words))[k : k + 6]) for k in range(0, len(words), 6)] for _ in range(2)]
-        return [patch(*shared, *x) for x in own]
+        return [O.Reader().tokens(patch(*shared, *x)) for x in own]
 
-    small, large = (O.alike(*pair(n)) for n in (5, 150))
-    assert not O.same_change(*small) and not O.same_change(*large)
+    assert not O.same_change(*pair(5))[0] and not O.same_change(*pair(150))[0]
 
 
-def test_blocks_are_the_same_at_every_size(monkeypatch):
-    rng = random.Random(1)
-    for direct in (1, 2, 50):
-        monkeypatch.setattr(O, "DIRECT", direct)
-        for _ in range(300):
-            p, q = ([str(rng.randrange(rng.choice((1, 2, 5, 20)))) for _ in range(rng.randrange(40))] for _ in range(2))
-            assert O.aligned(p, q) == sum(k.size for k in O.SequenceMatcher(None, p, q, autojunk=False).get_matching_blocks() if k.size > 1)
+def test_coverage_comes_with_the_pair(spark):
+    half = BASE + [f"+extra_{i}(rows, limit, value, {i})" for i in range(3)]
+    d = spark.createDataFrame([("a", True, patch(*BASE)), ("b", False, patch(*half))], "entry_id string, hold_out boolean, diff string")
+    (r,) = O.covered_pairs(d).collect()
+    assert r.coverage_a == 1.0 and 0.5 < r.coverage_b < 0.8
 
 
 def test_no_entries(spark):
