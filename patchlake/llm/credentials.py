@@ -1,10 +1,12 @@
 """Problem 2: credentials in diffs, source and configuration files, with their place, and the text with them redacted.
 
 A line that names a secret, a known token form, a URL with a password, a header or a key block is read in detail.
-Literals are decoded recursively (base64, hex, percent and backslash escapes, up to DEPTH layers) and rescanned; key
+Literals are decoded recursively (base64, hex, percent and backslash escapes, until nothing decodes any more: every layer
+is shorter than the one around it) and rescanned, however long a line or literal is; key
 containers are told by their grammar (PEM bodies, DER integers of PKCS#1/PKCS#8/SEC1, the OpenSSH frame), so a public
 key or certificate in the same clothes is none.  Redaction replaces the value within its quotes - the whole enclosing
-literal where it was encoded - by a placeholder of the same alphabet and keeps line ends, quotes and diff signs.
+literal where it was encoded - and keeps line ends, quotes and diff signs.  The placeholder has the literal's alphabet, so
+it still decodes: zeros for hex digits, base64 or percent codes of the mask for such literals, else the mask itself.
 
 A credential over several lines counts at the line where its assignment or block begins, or the first one shown.
 Null and empty texts, and null or empty maps, give no row; repeated entries give one row per case.
@@ -16,6 +18,7 @@ import base64
 import binascii
 import re
 import urllib.parse
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, islice
 
@@ -25,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from patchlake.llm.places import places
 from patchlake.session import spread, table
 
-DEPTH = 4
 MASK = "REDACTED"
+MASK_BASE64 = base64.b64encode(MASK[:6].encode()).decode()  # no padding, so fragments of a literal still join
+CONTEXT = 300  # characters before a value in which a call names where the secret is kept
 
 # fixed values: forms of the tokens of public services, and the general form "<issuer>_<kind>_<random>"
 TOKEN = re.compile(
@@ -39,19 +43,23 @@ _NAME = re.compile(rf"(?:^|[._\-\[\]\"'A-Za-z0-9])(?P<word>(?:{_WORDS}))$", re.I
 #: names that hold a secret word but end with it by chance, or are about the secret
 _STRONG = re.compile(r"pass(?:word|wd|phrase|wort)$|(?:^|[._-])(?:pass|pwd|pw)$|(?:admin|root|db|mail|smtp|user)[._-]?(?:pass|pwd|pw)$|(?<![a-z])pwd$|secret$|api[._-]?key$|(?:secret|signing|deploy|private|access|encryption|auth|service|client|shared|master|account|webhook|cert|tls|ssh|license)[._-]?(?:key|token|secret)$|^(?:app\.)?bearer$|(?:^|[._-])(?:auth|access|service|private|refresh|session|bot|api|user)[._-]?token$", re.I)
 _ASSIGN = re.compile(
-    r"""(?P<name>[A-Za-z_][\w.-]*)["'`]?\]?\s*(?::\s*[A-Za-z_][\w.\[\], <>]*?\s*)?(?:\)?\s*(?::=|=>|==?(?!=)|:)\s*)(?:[A-Za-z_][\w.]*\.(?:get|getenv|env|environ|valueOf|from)?\w*\s*(?:\(|\[)\s*["'][\w.-]+["']\s*(?:,|\)\s*or|\]?\s*\|\||\)\s*\|\|)\s*|[\w.]+\s*(?:\|\||or|\?\?)\s*|\w*\s*\(\s*|\[\]byte\()?[rbuf]{0,2}(?P<q>\"\"\"|'{3}|["'`])(?P<value>(?:\\.|(?!(?P=q))[^\n])*)(?P<end>(?P=q)|$)"""
+    r"""(?<![\w.-])[\d.-]*(?P<name>[A-Za-z_][\w.-]*)["'`]?\]?\s*(?::\s*[A-Za-z_][\w.\[\], <>]*?\s*)?(?:\)?\s*(?::=|=>|==?(?!=)|:)\s*)(?:[A-Za-z_][\w.]*\.(?:get|getenv|env|environ|valueOf|from)?\w*\s*(?:\(|\[)\s*["'][\w.-]+["']\s*(?:,|\)\s*or|\]?\s*\|\||\)\s*\|\|)\s*|[\w.]+\s*(?:\|\||or|\?\?)\s*|\w*\s*\(\s*|\[\]byte\()?[rbuf]{0,2}(?P<q>\"\"\"|'{3}|["'`])(?P<value>(?:\\.|(?!(?P=q))[^\n])*)(?P<end>(?P=q)|$)"""
 )
+_JOINED = re.compile(r"""(?<![\w.-])[\d.-]*(?P<name>[A-Za-z_][\w.-]*)["']?\]?\s*(?::=|=|:)\s*(?P<parts>(?:["'`][^"'`\n]*["'`]\s*(?:\+\s*)?)+["'`][^"'`\n]*["'`])""")
+_LOGIN = re.compile(r"""\b(?:user|login|account)\w*["']?\s*[=:]\s*["'][^"'\n]*["']\s*,\s*["']?(?:token|secret|key|pw|pass\w*)["']?\s*[=:]\s*["'](?P<value>[^"'\n]+)["']""", re.I)
 _XML = re.compile(r"""(?:name|key|id)\s*=\s*["'](?P<name>[\w.-]+)["']\s+value\s*=\s*["'](?P<value>[^"'\n]*)["']""", re.I)
 _ELEMENT = re.compile(r"<(?P<name>[\w.-]+)>(?P<value>[^<>\s]+)</(?P=name)>")
 _BARE = re.compile(r"^\s*(?:export\s+|ENV\s+|ARG\s+|set\s+|-\s+)*(?P<name>[A-Za-z_][\w.-]*)\s*[=:]\s*(?P<value>[^\s\"'`].*?)\s*$")
 _BARE_SHELL = re.compile(r"^\s*(?:export\s+|ENV\s+|ARG\s+)(?P<name>[A-Za-z_][\w.-]*)[= ](?P<value>[^\s\"'`]+)\s*$")
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`]*):(?P<value>[^\s@\"'`]+)@[\w.-]")
+_URL = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`]*):(?P<value>[^\s@\"'`]+)@[\w.-]")
+_PIECE = re.compile(r"""["'`]([^"'`\n]*)["'`]""")
 _TEMPLATE = re.compile(r"[{}]|^<.*>$|%\(\w+\)s|^\$\w+$|^[*x.]+$")
 _CONNECTION = re.compile(r";\s*(?:pwd|password|accountkey|sharedaccesskey|secret(?:key)?|access[_ ]?key)\s*=\s*(?P<value>[^;\"'`\s]+)", re.I)
 _CURL = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?[\"']?(?P<user>[\w.@-]+):(?P<value>[^\s\"']+)")
 _HEADER = re.compile(r"(?:authorization|x-(?:api|auth)[\w-]*|api-key|cookie)[\"']?\s*[:=,]\s*[\"'`f]*\s*(?:(?:bearer|token|apikey|key)\s+)?(?P<value>[^\s\"'`{}$<>]{12,})", re.I)
 _SCHEME = re.compile(r"\b(?P<scheme>bearer|token|basic)\s+(?P<value>[A-Za-z0-9+/._~=-]{12,})(?=[\"'`\s]|$)", re.I)
-_SAID = re.compile(r"(?:^\s*(?:;|\*|--)|(?:^|\s)(?:#|//|--\s)|/\*|<!--)[^\n]*?\b(?:password|passwd|passphrase|pass|pwd|pw|secret|token|key)\b(?:\s+(?:is|was)\s+|\s*[:=]\s*|\s+)(?P<value>\S{8,})\s*(?:\*/|-->)?\s*$", re.I)
+_COMMENT = re.compile(r"^\s*(?:;|\*|--)|(?:^|\s)(?:#|//|--\s)|/\*|<!--")
+_SAID = re.compile(r"[^\n]*?\b(?:password|passwd|passphrase|pass|pwd|pw|secret|token|key)\b(?:\s+(?:is|was)\s+|\s*[:=]\s*|\s+)(?P<value>\S{8,})\s*(?:\*/|-->)?\s*$", re.I)
 _PREFIXES = (re.compile(r"(?:>>>|\.\.\.) "), re.compile(r"\s*\d+(?:[:|]|  )"))
 _PEM = re.compile(r"-----(?P<edge>BEGIN|END) (?P<kind>[A-Z0-9 ]*?)(?P<private>PRIVATE KEY(?: BLOCK)?)-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
@@ -59,6 +67,7 @@ _BODY_LINE = re.compile(r"[\"'`\s+(,]*[A-Za-z0-9+/=]{4,}[\"'`\s+\\n,);]*$")
 _LITERAL = re.compile(r"(\"\"\"|'{3}|[\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
 _FRAGMENT = re.compile(r"^\s*[rbuf]{0,2}([\"'`])((?:\\.|(?!\1)[^\\])*)\1\s*(?:[+\\,;)]|\)\s*;?)*\s*$")
 _ENCODED = re.compile(r"[\"'`](?!data:)[A-Za-z0-9+/_-]{20,}={0,2}[\"'`]|%[0-9A-Fa-f]{2}|\\[0-7]{1,3}")
+_ENCODED_BARE = re.compile(r"[=:][ \t]*[A-Za-z0-9+/_-]{24,}={0,2}[ \t\r]*$", re.M)
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){8,}")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # fixed values: what stands where a secret would
@@ -70,12 +79,22 @@ _PLACEHOLDER = re.compile(
 _DIGEST = re.compile(r"^(?:sha\d+[-:]|md5:|\$2[aby]\$|\$argon2|\$\d\$|\{SHA|pbkdf2)", re.I)
 _PATTERN_HINT = re.compile(r"\[[A-Za-z0-9^\\]+-|\\[wdsb]|\{\d+(?:,\d*)?\}|\.\*|\(\?")
 _NEAR = ("passw", "passp", "pass", "pwd", "pw", "secret", "token", "key", "bearer", "basic", "auth", "cred", "dsn", "://", "-----", "akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "glpat", "xox", "aiza", "sk_", "sk-", "npm_", "hf_", "eyj", " -u", "cookie", "_tok", "_srv", ".tok", ".srv", "b64", "base64", "hex", "unquote", "%3a", "%40", "\\x", "\\u00")
+_PASSWORD_NAME = re.compile(r"(?:pass(?:word|wd|phrase|wort)|pwd|(?:^|[._-])(?:pass|pw))$", re.I)
+_WORD_PASSWORD = re.compile(r"[a-z]{7,}|[a-z]{4,}(?:-[a-z]{4,}){2,}")
+_PASSPHRASE = re.compile(r"[a-z]{3,}(?: [a-z]{3,}){3,}")
+# fixed values: words of prompts, messages and names rather than of passphrases
+_PROMPT = re.compile(r"\b(?:enter|your|the|password|passwd|passphrase|secret|please|must|invalid|required|should|cannot|wrong|missing|not|and|for|with|from|this|that|here|environment|vault)\b")
+_WORD_NAMES = re.compile(r"(?:password|passwd|passphrase|required|missing|invalid|hidden|masked|environ|keyring|vault|prompt|input|string|unknown|disabled|optional|encrypted|hashed|plaintext|confirm|reset|forgot|expired|changed)", re.I)
 _CODE = re.compile(r"\.(?:py|pyi|js|mjs|cjs|jsx|ts|tsx|go|java|kt|scala|rb|rs|c|h|cc|cpp|cs|php|swift|css|min\.js)$")
 
 
-def plausible(value: str, strong: bool) -> bool:
-    """Whether a literal could be a secret; ``strong``: its name or place says that it is one."""
+def plausible(value: str, strong: bool, password: bool = False) -> bool:
+    """Whether a literal could be a secret; ``strong``: its name or place says that it is one; ``password``: a quoted one, so words will do."""
     v = value.strip()
+    if password and len(v) >= 6 and (_WORD_PASSWORD.fullmatch(v) and not _WORD_NAMES.search(v) or _PASSPHRASE.fullmatch(v) and not _PROMPT.search(v)) and not _PLACEHOLDER.search(v):
+        return True
+    if not v.replace(MASK_BASE64, "").replace(quoted(MASK), ""):
+        return False
     if len(v) < 6 or _PLACEHOLDER.search(v) or _DIGEST.match(v) or any(c.isspace() for c in v) or _PATTERN_HINT.search(v):
         return False
     if TOKEN.search(v):
@@ -85,7 +104,7 @@ def plausible(value: str, strong: bool) -> bool:
     digits, upper, lower = sum(c.isdigit() for c in v), sum(c.isupper() for c in v), sum(c.islower() for c in v)
     if digits == len(v):
         return False
-    if re.fullmatch(r"(?:[\w-]+\.)+(?:example|invalid|internal|local|com|org|net|test)(?::\d+)?(?:/\S*)?", v) or v.startswith(("/", "./", "../", "http://", "https://")):
+    if re.fullmatch(r"(?:[\w-]+\.)+(?:example|invalid|internal|local|com|org|net|test)(?::\d+)?(?:/\S*)?", v) or v.startswith(("./", "../", "http://", "https://")) or v[0] == "/" and not (len(v) >= 32 and min(digits, upper, lower) >= 3):
         return False
     if not strong:  # the name may end with a secret word by chance
         return len(v) >= 16 and digits >= 2 and upper + lower >= 6 and not re.fullmatch(r"[a-z]+(?:[-_./:][a-z0-9]+)+", v) and not re.fullmatch(r"[A-Z_0-9]+", v)
@@ -97,6 +116,10 @@ def plausible(value: str, strong: bool) -> bool:
     return len(v) >= 8 and (digits > 0 or other > 0 or (upper > 1 and lower > 1))
 
 
+def quoted(text: str) -> str:
+    return "".join(f"%{c:02X}" for c in text.encode())
+
+
 def decoded(value: str) -> Iterator[bytes]:
     """One layer taken off in each way that applies."""
     if "\\" in value:
@@ -105,7 +128,7 @@ def decoded(value: str) -> Iterator[bytes]:
         except UnicodeDecodeError:
             pass
     if "%" in value and re.search(r"%[0-9A-Fa-f]{2}", value):
-        yield urllib.parse.unquote_to_bytes(value)
+        yield urllib.parse.unquote_to_bytes(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", value))  # quoted percent signs are further layers
     if _HEX.fullmatch(value):
         yield bytes.fromhex(value)
     if len(value) >= 16 and _B64.fullmatch(value):
@@ -144,28 +167,45 @@ def container(raw: bytes) -> bool:
         return False
 
 
-def hidden(value: str, depth: int = DEPTH) -> bool:
+def hidden(value: str) -> bool:
     """Whether a literal holds a credential under layers of encoding."""
-    if depth == 0 or len(value) < 16:
-        return False
-    for raw in decoded(value):
-        if container(raw):
-            return True
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if text == value or not text or sum(c.isprintable() or c in "\r\n\t" for c in text) < len(text):
+    todo, seen = [value], {value}
+
+    def look(x: str) -> None:
+        if len(x) >= 16 and x not in seen:
+            seen.add(x)
+            todo.append(x)
+
+    while todo:
+        outer = todo.pop()
+        if len(outer) < 16:
             continue
-        if _PEM.search(text) and len(_BODY.findall(text)) > 1:
-            return True
-        if any(_spans_any(line, False) for line in text.split("\n")) or hidden(text.strip(), depth - 1):
-            return True
+        for raw in decoded(outer):
+            if container(raw):
+                return True
+            try:
+                text = raw.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if text == outer or not text or len(text) > len(outer) or not text.isprintable() and not all(c.isprintable() or c in "\r\n\t" for c in text):
+                continue
+            if _PEM.search(text) and len(_BODY.findall(text)) > 1 or any(plain(line, False) for line in text.split("\n")):
+                return True
+            look(text.strip())
+            for line in text.split("\n"):
+                for m in _LITERAL.finditer(line):
+                    look(m.group(2))
     return False
 
 
 def spans(line: str, bare: bool) -> list[tuple[int, int]]:
-    """Places of credential values in one line; ``bare``: unquoted values count (configuration files)."""
+    """Places of credentials in one line, plain or encoded; ``bare``: unquoted values count (configuration files)."""
+    out = plain(line, bare)
+    return sorted({*out, *_encoded(line, out, bare)})
+
+
+def plain(line: str, bare: bool) -> list[tuple[int, int]]:
+    """Places of credential values that are not encoded."""
     out: list[tuple[int, int]] = []
     if _PATTERN_HINT.search(line) and re.search(r"re\.compile|RegExp|Pattern\.|regexp\.|_PATTERN\b", line):
         return out
@@ -183,7 +223,7 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
             if _NAME.search(name):
                 v = m.group("value")
                 if _STRONG.search(name.replace("authToken", "auth_token")) or "environ" in low or "process.env" in low:
-                    if plausible(v, True) and not _dict_key(line, m):
+                    if plausible(v, True, rx is _ASSIGN and bool(m.group("end")) and bool(_PASSWORD_NAME.search(name))) and not _dict_key(line, m):
                         add(m)
                 elif plausible(v, False):
                     add(m)
@@ -191,6 +231,14 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
         for m in re.finditer(r"""["'](?P<name>[\w.-]+)["']\s*(?::|\]\s*=|,)\s*["'](?P<value>[^"'\n]+)["']""", line):
             if _NAME.search(m.group("name")) and _STRONG.search(m.group("name")) and plausible(m.group("value"), True) and "vault" not in low:
                 add(m)
+        for m in _JOINED.finditer(line):  # one value in several literals
+            parts = list(_PIECE.finditer(line, *m.span("parts")))
+            v = "".join(p.group(1) for p in parts)
+            if len(parts) > 1 and (TOKEN.search(v) and not _PLACEHOLDER.search(v) or _NAME.search(m.group("name")) and _STRONG.search(m.group("name")) and plausible(v, True) and not _dict_key(line, m, "parts")):
+                out.extend(p.span(1) for p in parts if p.group(1))
+        for m in _LOGIN.finditer(line):
+            if plausible(m.group("value"), True):
+                add(m)
     for m in _URL.finditer(line):
         v = m.group("value")
         if not _PLACEHOLDER.search(v) and not _TEMPLATE.search(v):
@@ -217,8 +265,8 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
                     break
         elif (m.start() > 0 and line[m.start() - 1] in "\"'`") and plausible(v, False):
             add(m)
-    if any(w in low for w in ("pass", "pw", "secret", "token", "key")):
-        if m := _SAID.search(line):
+    if any(w in low for w in ("pass", "pw", "secret", "token", "key", "bearer", "auth", "cred", "dsn")):
+        if (c := _COMMENT.search(line)) and (m := _SAID.match(line, c.end())):
             v = m.group("value")
             if plausible(v, True) and not re.fullmatch(r"[\w./-]+", v.rstrip(".")) or (re.search(r"\d", v) and re.search(r"[A-Za-z]", v) and plausible(v, True) and not re.fullmatch(r"\w+=.*|kv/.*|<.*", v)):
                 add(m)
@@ -229,16 +277,20 @@ def spans(line: str, bare: bool) -> list[tuple[int, int]]:
                     strong = bool(_STRONG.search(m.group("name")))
                     if plausible(v, strong) and not _URL.search(v):
                         add(m)
-    return sorted({*out, *_encoded(line, out)})
+    return out
 
 
-def _encoded(line: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _encoded(line: str, known: list[tuple[int, int]], bare: bool) -> list[tuple[int, int]]:
     """Places of literals with a credential under encoding, besides what is ``known`` of the line."""
     out: list[tuple[int, int]] = []
     cuts, first = sorted(set(known)), 0
     ends = list(accumulate((y for _, y in cuts), max))
-    for m in _LITERAL.finditer(line):
-        a, b = m.span(2)
+    if _PATTERN_HINT.search(line) and re.search(r"re\.compile|RegExp|Pattern\.|regexp\.|_PATTERN\b", line):
+        return out
+    literals = [m.span(2) for m in _LITERAL.finditer(line)]
+    if bare and not literals and (m := _BARE.match(line)):
+        literals.append(m.span("value"))
+    for a, b in literals:
         if b - a < 16 or line.startswith("data:", a):
             continue
         while first < len(cuts) and ends[first] <= a:
@@ -255,9 +307,9 @@ def _encoded(line: str, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _dict_key(line: str, m: re.Match) -> bool:
+def _dict_key(line: str, m: re.Match, group: str = "value") -> bool:
     """A call that names where the secret is kept, such as vault.read("kv/...", field="api_key")."""
-    before = line[: m.start("value")]
+    before = line[max(0, m.start(group) - CONTEXT) : m.start(group)]
     return bool(re.search(r"vault|getenv|environ(?:\[|\.get\()[\"'][\w.-]*$|secret_manager|querySelector|\bfield\s*=\s*[\"']$", before) and not re.search(r"(?:,|or|\|\|)\s*[\"'`]$|\]\s*=\s*[\"']$", before))
 
 
@@ -279,8 +331,9 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
             near.add(text.rfind("\n", 0, at) + 1)
             end = text.find("\n", at)
             at = low.find(word, end + 1) if end >= 0 else -1
-    for m in _ENCODED.finditer(text):
-        near.add(text.rfind("\n", 0, m.start()) + 1)
+    for rx in (_ENCODED, _ENCODED_BARE):
+        for m in rx.finditer(text):
+            near.add(text.rfind("\n", 0, m.start()) + 1)
     diff = place == "diff"
     blocks = "PRIVATE KEY" in text or re.search(r"\.(?:key|pem)$|id_[a-z0-9]+$", place)
     if not near and not blocks:
@@ -309,24 +362,24 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
 
     if "PRIVATE KEY" in text:
         _blocks(rows, diff, body, sign, skew, found, taken)
-    bare_by_path: dict[str, bool] = {}
-    path, bare = place, None if diff else config_like(place, text)
-    marks = [i for i, r in enumerate(rows) if r.startswith(("+++ ", "--- "))] if diff else []
+    bare_at: dict[int, bool] = {}
+    bare = None if diff else config_like(place, text)
+    marks = [i for i, r in enumerate(rows) if r.startswith(("+++ ", "--- ")) and "/dev/null" not in r] if diff else []
     for i in sorted(starts[a] for a in near if a in starts):
         if i in taken or diff and rows[i].startswith(("@@", "diff ", "+++ b/", "--- a/", "index ", "rename ")):
             continue
         line = body(i)
         if diff:
-            path = next((rows[k][4:].strip() for k in reversed(marks) if k < i and "/dev/null" not in rows[k]), "")
-            if path not in bare_by_path:
-                own = "\n".join(r[1:] for r in rows if r[:1] in ("+", " ", "-"))
-                bare_by_path[path] = not _CODE.search(path) or (len(set(marks)) <= 2 and config_like(path, own))
-            bare = bare_by_path[path]
-        got = _spans_any(line, bare)
+            at = bisect_right(marks, i - 1)
+            if at not in bare_at:
+                shown = rows[marks[at - 1] if at else 0 : marks[at] if at < len(marks) else len(rows)]
+                bare_at[at] = config_like(rows[marks[at - 1]][4:].strip() if at else "", "\n".join(r[1:] for r in shown if r[:1] in ("+", " ", "-") and not r.startswith(("+++ ", "--- "))))
+            bare = bare_at[at]
+        got = spans(line, bare)
         if got:
             k = skew(i)
             found.setdefault(i, []).extend((i, a + k, b + k) for a, b in got)
-        if (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)[\"']?\]?\s*(?::=|=|:)\s*(?:\w*\(|\(|\\|[\"'`]{0,3})?\s*\\?$", line)) or (m := re.search(r"(?P<name>[A-Za-z_][\w.-]*)\s*=\s*[\w.]+\(\s*[\"']{0,3}$", line)):
+        if (m := re.search(r"(?<![\w.-])[\d.-]*(?P<name>[A-Za-z_][\w.-]*)[\"']?\]?\s*(?::=|=|:)\s*(?:\w*\(|\(|\\|[\"'`]{0,3})?\s*\\?$", line)) or (m := re.search(r"(?<![\w.-])[\d.-]*(?P<name>[A-Za-z_][\w.-]*)\s*=\s*[\w.]+\(\s*[\"']{0,3}$", line)):
             parts, j = [], i + 1
             while j < len(rows):
                 if diff and rows[j].startswith(("@@", "diff ", "+++ ", "--- ")):
@@ -350,18 +403,6 @@ def scan(text: str, place: str) -> list[tuple[int, list[tuple[int, int, int]]]]:
     return sorted(found.items())
 
 
-def _spans_any(line: str, bare: bool) -> list[tuple[int, int]]:
-    return spans(line, bare) if len(line) < 20_000 else _spans_wide(line, bare)
-
-
-def _spans_wide(line: str, bare: bool) -> list[tuple[int, int]]:
-    """Overlapping windows of a very long line, so every pattern sees its surroundings; literals also as a whole."""
-    out: set[tuple[int, int]] = set()
-    for a in range(0, len(line), 8000):
-        out |= {(a + x, a + y) for x, y in spans(line[a : a + 12_000], bare)}
-    return sorted({*out, *_encoded(line, list(out))})
-
-
 def _blocks(rows: list[str], diff: bool, body, sign, skew, found: dict, taken: set) -> None:
     """PEM private keys, also those of which only a part is shown."""
     i = 0
@@ -394,7 +435,7 @@ def _blocks(rows: list[str], diff: bool, body, sign, skew, found: dict, taken: s
                 if b.strip():
                     parts.append((j, skew(j), len(b) + skew(j)))
                 j += 1
-            if any(body(p[0]).strip() != MASK for p in parts):
+            if any(body(p[0]).strip() not in (MASK, MASK_BASE64) for p in parts):
                 first = i
                 before = body(i - 1) if i else ""
                 if line.strip(" \t\"'`+") .startswith("-----BEGIN") and re.search(r"[\w\"'\]]\s*(?::=|=|:)\s*(?:\(|\\|\||>|[\"'`]{1,3}|\|-|>-)?\s*$", before) and not before.lstrip().startswith(("#", "//")) and (not diff or not rows[i - 1].startswith(("@@", "+++", "---", "diff"))):
@@ -405,7 +446,7 @@ def _blocks(rows: list[str], diff: bool, body, sign, skew, found: dict, taken: s
         else:  # the beginning is not shown
             j = i - 1
             parts = []
-            while j >= 0 and not (diff and rows[j].startswith(("@@", "diff ", "+++ ", "--- "))) and j not in taken and (b := body(j)).strip() and _BODY_LINE.match(b.strip()) and len(b.strip()) >= 8 and b.strip() != MASK:
+            while j >= 0 and not (diff and rows[j].startswith(("@@", "diff ", "+++ ", "--- "))) and j not in taken and (b := body(j)).strip() and _BODY_LINE.match(b.strip()) and len(b.strip()) >= 8 and b.strip() not in (MASK, MASK_BASE64):
                 parts.append((j, skew(j), len(b) + skew(j)))
                 j -= 1
             if parts:
@@ -415,23 +456,43 @@ def _blocks(rows: list[str], diff: bool, body, sign, skew, found: dict, taken: s
             i += 1
 
 
+def mask_of(value: str) -> str:
+    """What to write for a credential, in the alphabet of its literal."""
+    if re.fullmatch(r"[0-9a-fA-F]{8,}", value) and re.search(r"\d", value):
+        return "0" * len(value)
+    if hidden(value):
+        if _B64.fullmatch(value):
+            return MASK_BASE64
+        if re.fullmatch(r"(?:%[0-9A-Fa-f]{2}|[\w.~!*'()-])+", value):
+            return quoted(MASK)
+    return MASK
+
+
 def redact(text: str, found: list[tuple[int, list[tuple[int, int, int]]]]) -> str:
     """The text with every credential replaced; names, quotes, line ends and diff signs stay."""
     rows = text.split("\n")
-    by_line: dict[int, list[tuple[int, int]]] = {}
+    by_line: dict[int, list[tuple[int, int, str]]] = {}
     for _, parts in found:
+        several = len({i for i, _, _ in parts}) > 1
+        whole = mask_of("".join(rows[i][a:b] for i, a, b in parts)) if several else ""
         for i, a, b in parts:
-            by_line.setdefault(i, []).append((a, b))
+            by_line.setdefault(i, []).append((a, b, whole))
     for i, cuts in by_line.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(cuts):
+        merged: list[list] = []
+        for a, b, whole in sorted(cuts):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
-                merged.append([a, b])
-        for a, b in reversed(merged):
-            tail = re.search(r"[\"'`\s+\\,);]*$", rows[i][a:b]).group()
-            rows[i] = rows[i][:a] + MASK + tail + rows[i][b:]
+                merged.append([a, b, whole])
+        out, at = [], 0
+        for a, b, whole in merged:
+            value = rows[i][a:b]
+            tail = re.search(r"""(?:["'`][\s+\\,);"'`]*|[\s\\,);]+[+\s]*)?$""", value).group()
+            value = value[: len(value) - len(tail)]
+            mask = "0" * len(value) if whole[:1] == "0" else whole or mask_of(value)
+            out += [rows[i][at:a], mask, tail]
+            at = b
+        rows[i] = "".join(out) + rows[i][at:]
     return "\n".join(rows)
 
 

@@ -3,6 +3,7 @@
 import ast
 import base64
 import random
+import time
 import unicodedata
 import warnings
 
@@ -83,7 +84,7 @@ def test_encoded_literals_beside_plain_ones_are_redacted():
     key = "ghp_" + "aB3dE6gH9j" * 4
     b64, hexed = base64.b64encode(key.encode()).decode(), key.encode().hex()
     line = f'{{"password": "Tr0ub4dor&3x", "blob": "{b64}", "other": "{hexed}", "name": "plain words"}}'
-    kept = '{"password": "REDACTED", "blob": "REDACTED", "other": "REDACTED", "name": "plain words"}'
+    kept = '{"password": "REDACTED", "blob": "UkVEQUNU", "other": "' + "0" * len(hexed) + '", "name": "plain words"}'
     assert K.redact(line, K.scan(line, "a.json")) == kept
     wide = line + " " * 25_000 + line
     assert K.redact(wide, K.scan(wide, "a.json")) == kept + " " * 25_000 + kept
@@ -91,6 +92,62 @@ def test_encoded_literals_beside_plain_ones_are_redacted():
     assert b64 not in K.redact(begun, K.scan(begun, "a.py"))
 
 
+SECRET = "ghp_" + "a1B2c3D4e5F6g7H8i9J0kLmNoPqRsTuVwXyZ"
+
+
+def layered(times):
+    value = SECRET.encode()
+    for _ in range(times):
+        value = base64.b64encode(value)
+    return value.decode()
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        f'blob = "{layered(5)}"',
+        f'blob = "{layered(9)}"',
+        'data = "' + base64.b64encode(b"x = 1\n" * 3300 + f"token = '{SECRET}'\n".encode()).decode() + '"',
+        'url = f("' + "".join(f"%{c:02X}" for c in SECRET.encode()) + '")',
+        'url = f("' + "".join(f"%2525{c:02X}" for c in SECRET.encode()) + '")',
+        's = "' + "".join(f"\\{c:03o}" for c in SECRET.encode()) + '"',
+        f'k = bytes.fromhex("{SECRET.encode().hex()}")',
+        'password = "sunshine"',
+        'password = "correct-horse-battery-staple"',
+        'password = "correct horse battery staple"',
+        "api_key = 'glpat-azyi' + 'Ea53JEzzrWnRkD30'",
+        "def login(user='svc', token='sign-scope-joint-36339'): return user",
+        "key = os.environ.get('SECRET_KEY', '/7KvcONHGQZuklpH6o1dR2xtRQe0/+f745jzEXQO')",
+    ],
+)
+def test_no_layer_length_or_form_hides_a_credential(line):
+    got = K.scan("a = 1\n" + line, "app.py")
+    assert [i for i, _ in got] == [1]
+    out = K.redact("a = 1\n" + line, got)
+    assert ast.parse(out) and not K.scan(out, "app.py") and not any(x in out for x in (SECRET, "sunshine", "horse", "Ea53", "36339", "7Kvc"))
+
+
+def test_masks_have_the_alphabet_of_their_literal():
+    lines = [f'a = bytes.fromhex("{SECRET.encode().hex()}")', f'b = base64.b64decode("{layered(1)}").decode()', 'c = urllib.parse.unquote("' + "".join(f"%{c:02x}" for c in SECRET.encode()) + '")']
+    text = "import base64, urllib.parse\n" + "\n".join(lines)
+    out = K.redact(text, K.scan(text, "app.py"))
+    names: dict = {}
+    exec(out, names)  # redacted literals still decode
+    assert set(names["a"]) == {0} and len(names["a"]) == len(SECRET) and names["b"] == "REDACT" and names["c"] == "REDACTED"
+
+
+def test_prompts_and_names_are_no_passwords():
+    for line in ('password = "please enter your password"', 'password = "required"', 'passwordField = "passwordinput"', 'password = "changeme"', 'title = "correct horse battery staple"', 'password = ""'):
+        assert not K.scan(line, "app.py")
+
+
+def test_long_lines_take_linear_time():
+    begun = time.perf_counter()
+    for text in ("a.b-c_" * 30_000, "http" * 40_000, "# key " * 30_000, 'x = "' + "A" * 200_000 + '"'):
+        K.scan(text + " secret", "app.js")
+    assert time.perf_counter() - begun < 20
+
+
 def test_every_fragment_of_a_literal_is_redacted():
     encoded = base64.b64encode(("filler " * 3000 + "password = 'Tr0ub4dor&3x'").encode()).decode()
     pieces = [encoded[k : k + 40] for k in range(0, len(encoded), 40)]
