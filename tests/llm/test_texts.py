@@ -293,26 +293,73 @@ def test_other_languages(ext, good, bad):
 
 
 def test_repair_is_least_and_located():
-    f = S.examine("x = 1\ny = (2\nz = 3\n", "py", True)
+    f = S.examine("x = 1\ny = (2\nz = 3\n", "py")
     assert f.edits
-    g = S.examine("def f(a)\n    return a\n", "py", True)
+    g = S.examine("def f(a)\n    return a\n", "py")
     assert (g.edits[0]) == (1, 1)
     assert S.reason("x = 1\n<<<<<<< a\n", S.examine("x = 1\n<<<<<<< a\n", "py")) == "conflict"
     t = "def f(x):\n    return g(x,\n"
     assert S.reason(t, S.examine(t, "py")) == "truncation"
+    t = "def f(x):\n    y = 1\n    return g(x) g\n"
+    assert S.reason(t, S.examine(t, "py")) == "slip"
+
+
+def edited(s, terminals):
+    return {y for i in range(len(s) + 1) for y in [*(s[:i] + (t,) + s[i:] for t in terminals), *([s[:i] + s[i + 1 :], *(s[:i] + (t,) + s[i + 1 :] for t in terminals)] if i < len(s) else [])]}
+
+
+def brute_cost(g, s, terminals, most):
+    level, k = {s}, 0
+    while k < most and not any(g.accepts(x)[0] for x in level):
+        level, k = set().union(*(edited(x, terminals) for x in level)), k + 1
+    return k
 
 
 def test_repair_cost_equals_brute_force():
     g = Grammar("e: t | e '+' t\nt: N | '(' e ')' | f\nf: N '[' (e (',' e)*)? ']'", ("e",))
     terminals = ["N", "+", "(", ")", "[", "]", ","]
     rng = random.Random(7)
-    for _ in range(40):
+    for _ in range(60):
         s = tuple(rng.choice(terminals) for _ in range(rng.randint(0, 5)))
-        level, k = {s}, 0
-        while k < 3 and not any(g.accepts(x)[0] for x in level):
-            level = {y for x in level for i in range(len(x) + 1) for y in [*(x[:i] + (t,) + x[i:] for t in terminals), *([x[:i] + x[i + 1 :], *(x[:i] + (t,) + x[i + 1 :] for t in terminals)] if i < len(x) else [])]}
-            k += 1
-        assert min(3, g.repair(s, "e")[0]) == k
+        cost = g.repair(s)[0]
+        assert min(3, cost) == brute_cost(g, s, terminals, 3) and g.at_least(s, 9) <= cost
+        limited = g.repair(s, 2)[0]
+        assert limited == cost if cost <= 2 else 2 < limited <= cost
+
+
+@pytest.mark.parametrize(
+    "name, starts, units",
+    [
+        ("python", None, ["for N inn N :", "if N N :", "N N :", "N = = 1", "return , N", "N . . N", "lambda N N", "del", "N N N", "import N as", "from N N", "if N else N", "N CMP", "with N as :"]),
+        ("json", ("value",), ["S : 1", "1 1", ", 1"]),
+        ("json", ("object",), ["S : 1 , ,", "S 1", "S : 1 S : 1", "1 : 1"]),
+        ("go", ("statement",), ["N := := 1", "if N N {block}", "for := N {block}", "return N N", "N . = 1"]),
+        ("java", ("stmt",), ["return N N ;", "N = ;", "if N ;", "throw ;", "N N N ;"]),
+        ("javascript", ("line",), ["const = 1 ;", "N N ;", "return return ;", "N = = 1", "let N N = 1"]),
+    ],
+)
+def test_repair_is_least_in_the_real_grammars(name, starts, units):
+    """No repair with fewer edits: over all terminals for one edit, over those that the grammar's rules hold."""
+    from patchlake.llm import grammars
+
+    g = S.grammar(name).only(*(starts or grammars.PYTHON_STARTS))
+    terminals = sorted({x for alts in g.rules.values() for a in alts for x in a if x not in g.rules})
+    for unit in units:
+        s = tuple(unit.split())
+        cost, at, kinds = g.repair(s)
+        want = 0 if g.accepts(s)[0] else 1 if any(g.accepts(x)[0] for x in edited(s, terminals)) else 2
+        assert min(cost, 2) == want and (cost == 0 or kinds) and 0 <= at <= len(s)
+
+
+@pytest.mark.parametrize("line, cost", [("for x inn y:\n    pass\n", 1), ("if x y:\n    pass\n", 1), ("whille x:\n    pass\n", 1), ("def f(a)\n    return a\n", 1), ("retrun x\n", 1), ("a b c d e f\n", 3), ("x = (1 2)\n", 1), ("x = 1\n", 0)])
+def test_cost_of_slips(line, cost):
+    f = S.examine(line, "py")
+    assert sum(c for _, c in f.edits) == cost and f.exact
+
+
+def test_input_far_from_the_language_has_a_lower_bound():
+    f = S.examine("a b c 1 1 1 = = = d e f 1 1 = = g 1 h = = 2\n", "py")
+    assert not f.exact and sum(c for _, c in f.edits) > S.FLAG_EDITS
 
 
 # --- encoding ---------------------------------------------------------------------------------------------------------
