@@ -1,30 +1,49 @@
 """Problem 1: percentiles per group within a stated rank error, from deterministic mergeable summaries.
 
 A summary of n values is a sorted list of rank-interval tuples (v, lo, hi): at least ``lo`` of the values are <= v and at
-most ``hi`` are < v.  Leaf summaries are exact and then compressed by the permitted uncertainty; merged summaries add
-the bounds of their parts, so the error that was accumulated can be read off the tuples and is returned as ``rank_error``.
+most ``hi`` are < v.  The rows of a system and day meet in one leaf (of several, by a hash of score_id, where a count
+found more than ``LEAF_ROWS`` of them), so a leaf is as large as its group.  Every level compresses by its part of the
+permitted uncertainty: the leaves, the merge of a day's leaves, the merge of ``BLOCK_DAYS`` days, the merge of all; a
+summary then has at most 2 / epsilon tuples however many values it stands for.  Within a level at most ``FAN`` summaries
+are held: so many are merged to one of the next rank, which is compressed by half of what the rank before was allowed.
+Merged summaries add the bounds of their parts, so the error that was accumulated is read off the tuples and returned as
+``rank_error``.  Leaves, levels and their order depend on keys alone, so the rows do not depend on partitions.
 
 Nulls and NaN are counted but have no rank; negative and infinite values are values.  ``system`` is compared trimmed and
-in lower case; a null system is a group of its own.  A ``score_id`` delivered again counts once.  An empty table gives
-no rows; a group without values gives null percentiles.
+in lower case; a null system is a group of its own, and so is a null day.  A ``score_id`` delivered again for the same
+system and day counts once (with its least values, should they differ), rows without score_id each count.  An empty
+table gives no rows; a group without values gives null percentiles.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patchlake.session import checkpoint, table
+from patchlake.session import BROADCAST_ROWS, checkpoint, ship, table
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 METRICS = ("latency_seconds", "cost_usd")
 EPSILON = 0.002
-_LEAF_ROWS = 400_000
-_FAN = 64
-_SCHEMA = "system string, day date, metric string, n bigint, n_null bigint, n_nan bigint, v array<double>, lo array<bigint>, hi array<bigint>"
+LEAF_ROWS = 400_000  # rows of a group from which it has several leaves
+BLOCK_DAYS = 16
+FAN = 64  # summaries that are held at once
+_SCHEMA = "system string, day date, metric string, part bigint, parts bigint, n bigint, n_null bigint, n_nan bigint, v binary, lo binary, hi binary"
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
+
+
+def packed(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Tuples as bytes: values, steps of lo, and lo - hi; the latter two are mostly ones and shrink to little."""
+    return v.astype("<f8").tobytes(), zlib.compress(np.diff(lo, prepend=0).astype("<i8").tobytes(), 1), zlib.compress((lo - hi).astype("<i8").tobytes(), 1)
+
+
+def unpacked(v: bytes, lo: bytes, hi: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    upper = np.frombuffer(zlib.decompress(lo), "<i8").cumsum()
+    return np.frombuffer(v, "<f8"), upper, upper - np.frombuffer(zlib.decompress(hi), "<i8")
 
 
 def leaf(values: np.ndarray, epsilon: float) -> tuple:
@@ -72,88 +91,143 @@ def query(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: float) -> tuple[floa
     return float(v[i]), int(error[i])
 
 
-def _leaves(rows: pd.DataFrame, metrics: tuple[str, ...], epsilon: float) -> Iterator[tuple]:
-    for key, part in rows.groupby(["system", "day"], dropna=False, sort=False):
-        for metric in metrics:
-            x = part[metric].to_numpy(np.float64)
-            missing = part[metric + "_null"].to_numpy(bool)
-            nan = np.isnan(x) & ~missing
-            v, lo, hi = leaf(x[~missing & ~nan], epsilon)
-            yield (*key, metric, int(len(x) - missing.sum() - nan.sum()), int(missing.sum()), int(nan.sum()), v, lo, hi)
+class Merger:
+    """Summaries of one key, in their order: ``FAN`` of a rank become one of the next, compressed by half as much."""
+
+    def __init__(self, epsilon: float):
+        self.epsilon, self.ranks = epsilon, [[]]
+
+    def add(self, summary: tuple) -> None:
+        rank = 0
+        self.ranks[0].append(summary)
+        while len(self.ranks[rank]) == FAN:
+            whole = merge(self.ranks[rank], self.epsilon / 4 / 2**rank)
+            self.ranks[rank] = []
+            rank += 1
+            if rank == len(self.ranks):
+                self.ranks.append([])
+            self.ranks[rank].append(whole)
+
+    def result(self) -> tuple:
+        return merge([x for r in self.ranks for x in r], self.epsilon / 2)
+
+
+def _same(b: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Whether each row but the first has the keys of the row before, nulls being equal."""
+    out = np.ones(len(b) - 1, bool)
+    for c in columns:
+        x = b[c]
+        null = x.isna().to_numpy()
+        y = x.to_numpy()
+        out &= (null[1:] & null[:-1]) | ((y[1:] == y[:-1]) & ~null[1:] & ~null[:-1])
+    return out
+
+
+def _key(row: pd.Series) -> tuple:
+    return (row["system"] if isinstance(row["system"], str) else None, None if pd.isna(row["day"]) else row["day"])
 
 
 def delivered(scores: DataFrame) -> DataFrame:
-    """Each score_id once; rows without one each count."""
-    return scores.where("score_id is not null").dropDuplicates(["score_id"]).unionByName(scores.where("score_id is null"))
+    """Each score_id of a system and day once, with its least values; rows without one each count."""
+    rows = scores.select(F.lower(F.trim("system")).alias("system"), F.to_date("scored_at").alias("day"), "score_id", *METRICS)
+    known = rows.where("score_id is not null").groupBy("system", "day", "score_id").agg(*[F.min(m).alias(m) for m in METRICS])
+    return known.unionByName(rows.where("score_id is null"))
 
 
 def summaries(scores: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """One summary per partition, system, day and metric."""
-    rows = delivered(scores).select(
-        F.lower(F.trim("system")).alias("system"),
-        F.to_date("scored_at").alias("day"),
-        *METRICS,
-        *[F.col(m).isNull().alias(m + "_null") for m in METRICS],
-    )
+    """One compressed summary per leaf (system, day, part) and metric."""
+    ship(scores.sparkSession)
+    rows = scores.select(F.lower(F.trim("system")).alias("system"), F.to_date("scored_at").alias("day"), "score_id", *METRICS)
+    hot = rows.groupBy("system", "day").agg(F.ceil(F.count("*") / LEAF_ROWS).alias("parts")).where("parts > 1").select(F.col("system").alias("h_system"), F.col("day").alias("h_day"), "parts")
+    small = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cut = rows.join(F.broadcast(hot) if small else hot, F.col("system").eqNullSafe(F.col("h_system")) & F.col("day").eqNullSafe(F.col("h_day")), "left").drop("h_system", "h_day").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.when(F.col("score_id").isNull(), F.xxhash64(*METRICS)).otherwise(F.xxhash64("score_id")), F.col("parts")))
+    for m in METRICS:
+        cut = cut.withColumn(m + "_null", F.col(m).isNull())
+    leaves = cut.repartition("system", "day", "part").sortWithinPartitions("system", "day", "part", "score_id", *METRICS)
+
+    def rows_of(group: pd.DataFrame) -> list:
+        ids = group["score_id"]
+        once = group[~_repeated(ids)]
+        system, day = _key(group.iloc[0])
+        out = []
+        for metric in METRICS:
+            x = once[metric].to_numpy(np.float64)
+            missing = once[metric + "_null"].to_numpy(bool)
+            nan = np.isnan(x) & ~missing
+            out.append((system, day, metric, int(group["part"].iloc[0]), int(group["parts"].iloc[0]), int(len(x) - missing.sum() - nan.sum()), int(missing.sum()), int(nan.sum()), *packed(*leaf(x[~missing & ~nan], epsilon))))
+        return out
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        names = [x.split()[0] for x in _SCHEMA.split(", ")]
-
-        def flush() -> pd.DataFrame:
-            found = pd.DataFrame(list(_leaves(pd.concat(held), METRICS, epsilon / 4)), columns=names)
-            return found.assign(**{c: found[c].astype(object).where(found[c].notna(), None) for c in ("system", "day")})
-
+        held: list[pd.DataFrame] = []
         for b in batches:
-            held.append(b)
-            n += len(b)
-            if n >= _LEAF_ROWS:
-                yield flush()
-                held, n = [], 0
+            if not len(b):
+                continue
+            keys = ["system", "day", "part"]
+            cuts = [0, *(np.flatnonzero(~_same(b, keys)) + 1), len(b)]
+            out = []
+            for x, y in zip(cuts, cuts[1:]):
+                piece = b.iloc[x:y]
+                if held and x == 0 and not _same(pd.concat([held[-1].iloc[-1:], piece.iloc[:1]]), keys)[0] or held and x:
+                    out += rows_of(pd.concat(held) if len(held) > 1 else held[0])
+                    held = []
+                held.append(piece)
+            if out:
+                yield pd.DataFrame(out, columns=_NAMES)
         if held:
-            yield flush()
+            yield pd.DataFrame(rows_of(pd.concat(held) if len(held) > 1 else held[0]), columns=_NAMES)
 
-    return rows.mapInPandas(build, _SCHEMA)
+    return leaves.mapInPandas(build, _SCHEMA)
 
 
-def combine(found: DataFrame, keys: list[str], epsilon: float) -> DataFrame:
-    """Merge summaries that share ``keys``; the rest of system, day and metric becomes null.
+def _repeated(ids: pd.Series) -> np.ndarray:
+    """Of sorted ids, those equal to the one before; a null id is equal to none."""
+    out = np.zeros(len(ids), bool)
+    x = ids.to_numpy()
+    out[1:] = (x[1:] == x[:-1]) & ids.notna().to_numpy()[1:]
+    return out
 
-    Two levels, by key and salt and then by key, so a hot group's many partition summaries meet in several tasks first.
-    Within a task the sorted rows of a key are merged as they stream by, at most ``_FAN`` at a time.
-    """
-    if "day" not in keys:
-        found = found.withColumn("day", F.lit(None).cast("date"))
+
+def _level(found: DataFrame, by: list, epsilon: float) -> DataFrame:
+    """One summary per key ``by``, its parts merged in the order of day and part as the sorted rows stream by."""
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in _SCHEMA.split(", ")]
-        key, counts, held = None, None, []
+        key, counts, held = None, [0, 0, 0], Merger(epsilon)
 
         def row() -> list:
-            return [*key, *counts, *merge(held, epsilon / 2)]
+            return [*key, 1, *counts, *packed(*held.result())]
 
         for b in batches:
             out = []
-            for r in b[names].itertuples(index=False):
-                k = (r.system if isinstance(r.system, str) else None, None if pd.isna(r.day) else r.day, r.metric)
+            for r in b.itertuples(index=False):
+                k = (r.system if isinstance(r.system, str) else None, None if pd.isna(r.k_day) else r.k_day, r.metric, int(r.k_part))
                 if k != key:
                     if key is not None:
                         out.append(row())
-                    key, counts, held = k, [0, 0, 0], []
+                    key, counts, held = k, [0, 0, 0], Merger(epsilon)
                 counts = [counts[0] + r.n, counts[1] + r.n_null, counts[2] + r.n_nan]
-                held.append((np.asarray(r.v), np.asarray(r.lo), np.asarray(r.hi)))
-                if len(held) == _FAN:
-                    held = [merge(held, 0.0)]
+                held.add(unpacked(r.v, r.lo, r.hi))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=_NAMES)
         if key is not None:
-            yield pd.DataFrame([row()], columns=names)
+            yield pd.DataFrame([row()], columns=_NAMES)
+
+    return found.repartition("system", "metric", *by).sortWithinPartitions("system", "k_day", "metric", "k_part", "day", "part").mapInPandas(merged, _SCHEMA)
 
-    def level(df: DataFrame, by: list) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions("system", "day", "metric").mapInPandas(merged, _SCHEMA)
 
-    salt = F.pmod(F.spark_partition_id(), F.lit(8))
-    return level(level(found, [*keys, salt]), keys)
+def combine(found: DataFrame, keys: list[str], epsilon: float) -> DataFrame:
+    """Merge summaries that share ``keys``; a day that is no key becomes null.
+
+    By day, only groups of several leaves move.  Over days, ``BLOCK_DAYS`` of them are merged first, so what meets in a
+    last task is bounded by the number of blocks over epsilon, not by the values.
+    """
+    if "day" in keys:
+        whole = found.where("parts = 1")
+        return whole.unionByName(_level(found.where("parts > 1").withColumns({"k_day": F.col("day"), "k_part": F.lit(0)}), ["k_day"], epsilon))
+    block = F.coalesce(F.floor(F.unix_date("day") / BLOCK_DAYS), F.lit(-1))
+    none = F.lit(None).cast("date")
+    blocks = _level(found.withColumns({"k_day": none, "k_part": block}), ["k_part"], epsilon / 2)
+    return _level(blocks.withColumns({"k_day": none, "k_part": F.lit(0)}), [], epsilon / 2)
 
 
 def percentiles(found: DataFrame, scope: str, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -162,7 +236,7 @@ def percentiles(found: DataFrame, scope: str, quantiles: tuple[float, ...] = QUA
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [[query(np.asarray(v), np.asarray(lo), np.asarray(hi), q) for q in quantiles] for v, lo, hi in zip(b["v"], b["lo"], b["hi"])]
+            got = [[query(*s, q) for q in quantiles] for s in map(unpacked, b["v"], b["lo"], b["hi"])]
             out = b[["system", "day", "metric", "n", "n_null", "n_nan"]].copy()
             out.insert(0, "scope", scope)
             for i, c in enumerate(names):
@@ -175,15 +249,16 @@ def percentiles(found: DataFrame, scope: str, quantiles: tuple[float, ...] = QUA
 
 def p1_percentiles(spark: SparkSession, sf_dir: str, epsilon: float = EPSILON) -> DataFrame:
     """Per system and day (scope day), and per system over all days (scope all), built from the same day summaries."""
-    days = checkpoint(combine(summaries(table(spark, sf_dir, "entry_scores"), epsilon / 2), ["system", "day", "metric"], epsilon / 4))
-    return percentiles(days, "day").unionByName(percentiles(combine(days, ["system", "metric"], epsilon / 4), "all"))
+    leaves = checkpoint(summaries(table(spark, sf_dir, "entry_scores"), epsilon / 4))
+    days = combine(leaves, ["system", "day", "metric"], epsilon / 4)
+    return percentiles(days, "day").unionByName(percentiles(combine(days, ["system", "metric"], epsilon / 2), "all"))
 
 
 def p1_within_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """system, metric, n, within_bound: whether the true rank of each whole-period percentile is within its rank_error, and that within epsilon."""
     total = p1_percentiles(spark, sf_dir).where("scope = 'all'")
     names = [f"p{round(q * 100)}" for q in QUANTILES]
-    scores = delivered(table(spark, sf_dir, "entry_scores")).select(F.lower(F.trim("system")).alias("system"), F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "x"))
+    scores = delivered(table(spark, sf_dir, "entry_scores")).select("system", F.explode(F.create_map(*[x for m in METRICS for x in (F.lit(m), F.col(m))])).alias("metric", "x"))
     scores = scores.where(F.col("x").isNotNull() & ~F.isnan("x")).withColumn("system", F.coalesce("system", F.lit("")))
     joined = scores.join(F.broadcast(total.withColumn("system", F.coalesce("system", F.lit("")))), ["system", "metric"])  # a few rows: one per system and metric
     counts = joined.groupBy("system", "metric").agg(

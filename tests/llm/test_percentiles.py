@@ -59,3 +59,36 @@ def test_empty_table(spark):
 def test_rows_without_id_each_count(spark):
     s = spark.createDataFrame([(None, "a", 1.0, 1.0, None)] * 3, "score_id bigint, system string, latency_seconds double, cost_usd double, scored_at timestamp_ntz")
     assert {r.n for r in P.percentiles(P.combine(P.summaries(s), ["system", "metric"], 0.001), "all").collect()} == {3}
+
+
+def test_hot_group_is_cut_and_rows_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAF_ROWS", 500)
+    monkeypatch.setattr(P, "FAN", 3)
+    rng = np.random.default_rng(4)
+    t = datetime.datetime(2025, 1, 1)
+    rows = [("hot" if i % 3 else f"s{i % 4}", float(x), float(y), t + datetime.timedelta(days=int(i % 40 if i % 3 else 0))) for i, (x, y) in enumerate(zip(rng.normal(size=9000), rng.integers(0, 5, 9000)))]
+    rows += [("hot", float(x), 1.0, t) for x in rng.normal(size=3000)]
+    scores, _ = table(spark, rows)
+    got = []
+    for layout in (scores, scores.repartition(7, "n", "score_id")):
+        leaves = P.summaries(layout, 0.005)
+        assert leaves.where("parts > 1").count() > 4
+        days = P.combine(leaves, ["system", "day", "metric"], 0.005)
+        every = P.percentiles(days, "day").unionByName(P.percentiles(P.combine(days, ["system", "metric"], 0.01), "all"))
+        got.append({tuple(r) for r in every.collect()})
+    assert got[0] == got[1]
+    values = np.array([l for s, l, _, _ in rows if s == "hot"])
+    (r,) = [x for x in got[0] if x[0] == "all" and x[1] == "hot" and x[3] == "latency_seconds"]
+    assert r[4] == len(values) and r[-1] <= 0.02 * len(values)
+    for q, v in zip(P.QUANTILES, r[7:11]):
+        assert true_error(values, v, q) <= r[-1]
+
+
+def test_merged_summaries_are_compressed():
+    rng = np.random.default_rng(1)
+    m = P.Merger(0.004)
+    for _ in range(300):
+        m.add(P.leaf(rng.normal(size=1000), 0.001))
+    v, lo, hi = m.result()
+    assert lo[-1] == 300_000 and len(v) < 1100 and max(P.query(v, lo, hi, q)[1] for q in P.QUANTILES) <= 0.005 * 300_000
+    assert all((x == y).all() for x, y in zip(P.unpacked(*P.packed(v, lo, hi)), (v, lo, hi)))
