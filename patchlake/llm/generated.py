@@ -2,9 +2,11 @@
 
 Attribute files (.gitattributes of the snapshot or added by the diff) declare paths as generated or vendored, or take
 that back; within a file the last matching line wins, and a file in a deeper directory wins over one above it.  Paths
-that no attribute file speaks of fall under the equivalent patterns: DEFAULTS (in the same syntax) and patterns mined
-from the corpus, that is name and directory patterns nearly all of whose files show evidence in their lines.  Evidence
-is a generator's or upstream's mark in a comment, minified lines, or lines of mere data.
+that no attribute file speaks of fall under the equivalent patterns mined from the corpus: of every file that is declared
+or shows evidence in its lines the name, the extensions, the words at its ends and the directories are counted, and a
+pattern with ``SUPPORT`` files nearly all of which (``PRECISION``) are such files holds for the others too.  Then come the
+conventional patterns (DEFAULTS, in the syntax of attribute files), then the file's own lines.  Evidence is a generator's
+or upstream's mark in a comment anywhere in the lines shown, minified lines, or lines of mere data.
 
 An entry without a diff, with a diff without files, and deleted files give no row; a path touched twice gives one.
 """
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake.session import BROADCAST_ROWS, checkpoint, spread, table
 
-# fixed values: conventional names of generated and vendored files, as an attribute file
+# fixed values: conventional names of generated and vendored files, as an attribute file; external and deps are taken for
+# vendored only at the root and for the copies in a folder of their own there, one per package
 DEFAULTS = """
 Cargo.lock generated
 poetry.lock generated
@@ -56,8 +59,8 @@ third-party/** vendored
 thirdparty/** vendored
 node_modules/** vendored
 bower_components/** vendored
-external/** vendored
-deps/** vendored
+/external/*/** vendored
+/deps/*/** vendored
 *-[0-9]*.[0-9]*.[0-9]*.js vendored
 *-[0-9]*.[0-9]*.[0-9]*.css vendored
 """
@@ -75,7 +78,7 @@ _MARK = re.compile(
 )
 _UPSTREAM = re.compile(r"\s*(?://+|#+|/\*+!?|\*).{0,80}?(?:\bcopied (?:unchanged |verbatim )?from (?:the )?(?:upstream|http)|\bvendored from\b|\bupstream: ?https?://|\bimported unchanged from\b)", re.I)
 _TAKEN_BACK = re.compile(r"used to be|no longer|kept by hand|by hand since|hand[- ](?:written|maintained|edited)|was once", re.I)
-_DATA = re.compile(r"\s*(?:(?:0x[0-9a-f]+|\d{1,3})(?:\s*,\s*(?:0x[0-9a-f]+|\d{1,3}))+\s*,?|INSERT INTO \S+ .*VALUES\s*\(.*\)[;,]?|\(.*\),|[A-Za-z0-9+/]{60,}={0,2})\s*", re.I)
+_DATA = re.compile(r"\s*(?:[\[({]?\s*(?:0x[0-9a-f]+|-?\d{1,3}|-?\d*\.\d+(?:e[+-]?\d+)?)(?:\s*,\s*(?:0x[0-9a-f]+|-?\d{1,3}|-?\d*\.\d+(?:e[+-]?\d+)?))+\s*[\])}]?\s*,?|INSERT INTO \S+ .*VALUES\s*\(.*\)[;,]?|\(.*\),|[A-Za-z0-9+/]{60,}={0,2})\s*", re.I)
 _HEX = re.compile(r"\s*(?:0x[0-9a-f]{1,4}\s*,\s*){3,}", re.I)
 _SECTION = re.compile(r"(?:^diff --git [^\n]*\n(?:(?!diff --git |--- |@@)[^\n]*\n)*)?^--- [^\n]*\n\+\+\+ ([^\n]*)", re.M)
 _PACKED = re.compile(r"\.(?:m?[jt]sx?|cjs|css|html?|svg|json|vue|php)$", re.I)
@@ -99,12 +102,9 @@ def files(diff: str) -> list[tuple[str, list[str]]]:
 def evidence(path: str, body: list[str]) -> str | None:
     """What the visible lines show: generated, vendored, minified, data or None."""
     shown = [x[1:] if x[:1] in ("+", " ") else x for x in body if x[:1] not in ("-", "\\")]  # stray lines lack a sign
-    for x in shown[:60]:
-        if len(x) < 400 and not _TAKEN_BACK.search(x):
-            if _MARK.match(x):
-                return "generated"
-            if _UPSTREAM.match(x):
-                return "vendored"
+    for x in shown:
+        if (m := _MARK.match(x) or _UPSTREAM.match(x)) and not _TAKEN_BACK.search(x, 0, m.end() + 200):
+            return "vendored" if m.re is _UPSTREAM else "generated"
     size = sum(map(len, shown)) or 1
     wide = sum(len(x) for x in shown if len(x) > 250)
     if wide > 0.8 * size and _PACKED.search(path):
@@ -175,7 +175,9 @@ def candidates(path: str) -> list[str]:
     """Patterns of which the path is an instance: by word and extension, by leading word, by extension chain, by directory."""
     *dirs, name = path.split("/")
     stem, dot, ext = name.partition(".")
-    out = {f"dir:{d}/" for d in dirs}
+    out = {f"dir:{d}/" for d in dirs} | {name}
+    if dot and "." in ext:
+        out.add(f"*.{ext}")
     words = re.split(r"[_-]", stem)
     if dot and len(words) > 1:
         out |= {f"*_{words[-1]}.{ext}", f"{words[0]}_*.{ext}"}
@@ -184,8 +186,8 @@ def candidates(path: str) -> list[str]:
     return sorted(out)
 
 
-def classified(entries: DataFrame) -> DataFrame:
-    """entry_id, path, kind, basis for every file of every diff; kind null for hand-written files."""
+def examined(entries: DataFrame) -> DataFrame:
+    """entry_id, path, declared (kind, or none where taken back), shown (kind by its lines), usual (kind by DEFAULTS), like."""
 
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -196,23 +198,34 @@ def classified(entries: DataFrame) -> DataFrame:
                 own += [(p.rpartition("/")[0], "\n".join(x[1:] for x in body if x[:1] in "+ ")) for p, body in touched if p.rpartition("/")[2] == ".gitattributes"]
                 found = [r for d, t in sorted(own, key=lambda x: len(x[0])) for r in rules(t or "", d)]
                 for path, body in touched:
-                    kind, basis = declared(path, found) if found else None, "attributes"
-                    if kind is None:
-                        kind, basis = declared(path, _DEFAULT_RULES) or None, "pattern"
-                    if kind is None:
-                        kind, basis = evidence(path, body), "content"
-                    rows.append((entry, path, kind or None, basis if kind or kind is False else None, candidates(path) if basis != "attributes" else []))
-            yield pd.DataFrame(rows, columns=["entry_id", "path", "kind", "basis", "like"])
+                    said = declared(path, found) if found else None
+                    rows.append((entry, path, "none" if said is False else said, evidence(path, body), declared(path, _DEFAULT_RULES) or None, candidates(path)))
+            yield pd.DataFrame(rows, columns=["entry_id", "path", "declared", "shown", "usual", "like"])
 
     attributes = F.transform(F.filter(F.coalesce(F.map_entries("base_files"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["key"].rlike(r"(^|/)\.gitattributes$")), lambda e: F.array(e["key"], e["value"]))
-    found = checkpoint(spread(entries.where("diff is not null").select("entry_id", "diff", attributes.alias("attributes"))).mapInPandas(fn, "entry_id string, path string, kind string, basis string, like array<string>"))
-    patterns = found.select(F.explode("like").alias("pattern"), F.col("kind").isNotNull().alias("hit")).groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("part"))
-    mined = patterns.where(f"n >= {SUPPORT} and part >= {PRECISION} and part < 1").select("pattern")
-    bare = found.where("kind is null and basis is null").select("entry_id", "path", F.explode("like").alias("pattern"))
-    small = mined.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    more = bare.join(F.broadcast(mined) if small else mined, "pattern", "left_semi").select("entry_id", "path", F.lit("generated").alias("kind"), F.lit("mined").alias("basis"))
-    plain = found.select("entry_id", "path", "kind", "basis").unionByName(more)
-    return plain.groupBy("entry_id", "path").agg(F.max("kind").alias("kind"), F.max(F.when(F.col("kind").isNotNull(), F.col("basis"))).alias("basis"))
+    return spread(entries.where("diff is not null").select("entry_id", "diff", attributes.alias("attributes"))).mapInPandas(fn, "entry_id string, path string, declared string, shown string, usual string, like array<string>")
+
+
+def mined(found: DataFrame) -> DataFrame:
+    """pattern, kind, n, part: patterns whose files are declared or show evidence but for ``1 - PRECISION`` of them."""
+    label = F.coalesce("declared", "shown")
+    known = found.select(F.explode("like").alias("pattern"), F.when(label != "none", label).alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("hits"), F.max_by("kind", F.struct(F.when(F.col("kind").isNotNull(), F.col("n")).alias("n"), "kind")).alias("kind"))
+    return sizes.where(F.col("n") >= SUPPORT).withColumn("part", F.col("hits") / F.col("n")).where(F.col("part") >= PRECISION).select("pattern", "kind", "n", F.round("part", 6).alias("part"))
+
+
+def classified(entries: DataFrame) -> DataFrame:
+    """entry_id, path, kind, basis for every file of every diff; kind null for hand-written files."""
+    found = checkpoint(examined(entries))
+    patterns = checkpoint(mined(found))
+    small = patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    silent = found.where("declared is null").select("entry_id", "path", F.explode("like").alias("pattern"))
+    like = silent.join(F.broadcast(patterns) if small else patterns, "pattern").select("entry_id", "path", F.struct("part", "n", F.col("kind").alias("mined")).alias("by"))
+    each = found.select("entry_id", "path", "declared", "shown", "usual", F.lit(None).cast("struct<part:double,n:bigint,mined:string>").alias("by")).unionByName(like, allowMissingColumns=True)
+    whole = each.groupBy("entry_id", "path").agg(F.max("declared").alias("declared"), F.max("by")["mined"].alias("mined"), F.max("usual").alias("usual"), F.max("shown").alias("shown"))
+    kind = F.coalesce("declared", "mined", "usual", "shown")
+    basis = F.when(F.col("declared").isNotNull(), "attributes").when(F.col("mined").isNotNull(), "mined").when(F.col("usual").isNotNull(), "pattern").when(F.col("shown").isNotNull(), "content")
+    return whole.select("entry_id", "path", F.when(kind != "none", kind).alias("kind"), basis.alias("basis"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,3 +235,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, basis, files; hand-written files under kind null."""
     return classified(table(spark, sf_dir, "benchmark_entries")).groupBy("kind", "basis").agg(F.count("*").alias("files"))
+
+
+def p5_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pattern, kind, n, part: the patterns mined from the corpus, with their support and precision."""
+    return mined(examined(table(spark, sf_dir, "benchmark_entries")))

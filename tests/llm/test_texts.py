@@ -243,6 +243,30 @@ def test_attribute_files_win(spark):
     assert G.classified(e.where("false")).count() == 0
 
 
+def test_marks_are_read_on_every_line():
+    late = ["x = 1"] * 200 + ["# Code generated by protoc. DO NOT EDIT."]
+    assert G.evidence("a.py", ["+" + x for x in late]) == "generated"
+    assert G.evidence("a.js", ["+// Code generated by tool " + "x" * 900]) == "generated"
+    assert G.evidence("w.py", ["+W = ["] + ["+    0.3562968, 0.5559513, 0.4057647, 0.0651520, 0.7545374, 0.0324616, 0.7221242,"] * 8 + ["+]"]) == "data"
+
+
+@pytest.mark.parametrize("path, kind", [("src/deps/mine.py", None), ("external/client.py", None), ("external/quilljs/core.js", "vendored"), ("deps/tansy/a.go", "vendored"), ("lib/external/x/y.js", None)])
+def test_a_name_alone_is_no_evidence(path, kind):
+    assert (G.declared(path, G._DEFAULT_RULES) or None) == kind
+
+
+def test_patterns_are_mined_and_applied(spark):
+    made = [added(f"api/m{i}_stub.py", "# Code generated by stubber. DO NOT EDIT.", "x = 1") for i in range(25)]
+    bare = added("api/other_stub.py", "x = 2") + added("lib/hand.py", "y = 1")
+    kept = added("api/mine_stub.py", "z = 1")
+    rows = [(f"e{i}", d, {}) for i, d in enumerate([*made, bare])] + [("k", kept, {"api/.gitattributes": "mine_*.py -linguist-generated"})]
+    e = spark.createDataFrame(rows, "entry_id string, diff string, base_files map<string,string>")
+    got = {(r.entry_id, r.path): (r.kind, r.basis) for r in G.classified(e).collect()}
+    assert got["e25", "api/other_stub.py"] == ("generated", "mined") and got["e25", "lib/hand.py"] == (None, None) and got["k", "api/mine_stub.py"] == (None, "attributes")
+    patterns = {r.pattern: (r.kind, r.n) for r in G.mined(G.examined(e)).collect()}
+    assert patterns["*_stub.py"] == ("generated", 27) and "dir:lib/" not in patterns
+
+
 # --- syntax -----------------------------------------------------------------------------------------------------------
 
 PY_GOOD = [
