@@ -256,15 +256,15 @@ def test_a_name_alone_is_no_evidence(path, kind):
 
 
 def test_patterns_are_mined_and_applied(spark):
-    made = [added(f"api/m{i}_stub.py", "# Code generated by stubber. DO NOT EDIT.", "x = 1") for i in range(25)]
+    made = [added(f"api/m{i}_stub.py", "# Code generated by stubber. DO NOT EDIT.", "x = 1") for i in range(60)]
     bare = added("api/other_stub.py", "x = 2") + added("lib/hand.py", "y = 1")
     kept = added("api/mine_stub.py", "z = 1")
     rows = [(f"e{i}", d, {}) for i, d in enumerate([*made, bare])] + [("k", kept, {"api/.gitattributes": "mine_*.py -linguist-generated"})]
     e = spark.createDataFrame(rows, "entry_id string, diff string, base_files map<string,string>")
     got = {(r.entry_id, r.path): (r.kind, r.basis) for r in G.classified(e).collect()}
-    assert got["e25", "api/other_stub.py"] == ("generated", "mined") and got["e25", "lib/hand.py"] == (None, None) and got["k", "api/mine_stub.py"] == (None, "attributes")
+    assert got["e60", "api/other_stub.py"] == ("generated", "mined") and got["e60", "lib/hand.py"] == (None, None) and got["k", "api/mine_stub.py"] == (None, "attributes")
     patterns = {r.pattern: (r.kind, r.n) for r in G.mined(G.examined(e)).collect()}
-    assert patterns["*_stub.py"] == ("generated", 27) and "dir:lib/" not in patterns
+    assert patterns["*_stub.py"] == ("generated", 62) and "dir:lib/" not in patterns
 
 
 # --- syntax -----------------------------------------------------------------------------------------------------------
