@@ -1,10 +1,13 @@
 """Problem 10: one form for texts that look the same.
 
 Every character is reduced to a prototype class; each class has the set of scripts in which it can be written.  The sets
-are intersected over the letters of a token; the first script of the intersection (Latin, Cyrillic, Greek, Armenian)
-gives the token's spelling, so mixed-script and whole-script look-alikes fall together and words of one script stay as
-they are.  A token that no single script can write takes the first spelling of each letter.  The remaining forms are
-normalised: full- and half-width forms, ligatures and Roman numerals to plain letters, all spaces to a blank, line ends
+are intersected over the letters of a token; the first script of the intersection (Latin, Cyrillic, Greek, Armenian,
+Cherokee, Coptic, Lisu) gives the token's spelling, so mixed-script and whole-script look-alikes fall together and words
+of one script stay as they are.  A token that no single script can write takes the first spelling of each letter.  A
+letter of a script without look-alikes (ideographs, kana, Hangul, Arabic, ..) ends the token, so a word beside it is
+resolved on its own.  Letters that differ in a visible mark are no look-alikes, so a dotless i stays.  The remaining
+forms are normalised: full- and half-width forms, ligatures, Roman numerals, letters of mathematical fonts and radicals
+to plain letters and ideographs, minus and special hyphens to the hyphen, all spaces to a blank, line ends
 to \\n, combining accents to composed letters; invisible characters go, unless they shape what is seen (joiners between
 emoji or in Arabic and Indic words, selectors after emoji, direction overrides).  Blanks at line ends cannot be seen and
 go.  Accents, case, digits, raised digits and visible signs stay.
@@ -18,6 +21,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,12 +32,16 @@ from patchlake.session import checkpoint, spread, table
 CYRILLIC = {"a": "а", "c": "с", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "ј", "l": "ӏ", "o": "о", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ѵ", "w": "ԝ", "x": "х", "y": "у", "A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "Q": "Ԛ", "S": "Ѕ", "T": "Т", "V": "Ѵ", "W": "Ԝ", "X": "Х", "Y": "Ү"}
 GREEK = {"o": "ο", "v": "ν", "c": "ϲ", "j": "ϳ", "A": "Α", "B": "Β", "E": "Ε", "H": "Η", "I": "Ι", "J": "Ϳ", "K": "Κ", "M": "Μ", "N": "Ν", "O": "Ο", "P": "Ρ", "T": "Τ", "X": "Χ", "Y": "Υ", "Z": "Ζ"}
 ARMENIAN = {"o": "օ", "h": "հ", "n": "ո", "u": "ս", "g": "ց", "q": "զ", "O": "Օ", "S": "Տ", "U": "Ս"}
-LATIN = {"g": "ɡ", "a": "ɑ"}
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
-
-_SPELL = {"Latin": {}, "Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}
+CHEROKEE = {"A": "Ꭺ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "P": "Ꮲ", "R": "Ꭱ", "S": "Ꮪ", "T": "Ꭲ", "V": "Ꮩ", "W": "Ꮃ", "Y": "Ꮍ", "Z": "Ꮓ", "b": "Ꮟ", "d": "Ꮷ", "h": "Ꮒ"}
+COPTIC = {"C": "Ⲥ", "H": "Ⲏ", "I": "Ⲓ", "K": "Ⲕ", "M": "Ⲙ", "N": "Ⲛ", "O": "Ⲟ", "P": "Ⲣ", "T": "Ⲧ", "X": "Ⲭ", "Y": "Ⲩ", "c": "ⲥ", "o": "ⲟ", "p": "ⲣ"}
+LISU = {"A": "ꓮ", "B": "ꓐ", "C": "ꓚ", "D": "ꓓ", "E": "ꓰ", "F": "ꓝ", "G": "ꓖ", "H": "ꓧ", "I": "ꓲ", "J": "ꓙ", "K": "ꓗ", "L": "ꓡ", "M": "ꓟ", "N": "ꓠ", "O": "ꓳ", "P": "ꓑ", "R": "ꓣ", "S": "ꓢ", "T": "ꓔ", "U": "ꓴ", "V": "ꓦ", "W": "ꓪ", "X": "ꓫ", "Y": "ꓬ", "Z": "ꓜ"}
+LATIN = {"g": "ɡ", "a": "ɑ", "c": "ᴄ", "o": "ᴏ", "s": "ꜱ", "v": "ᴠ", "w": "ᴡ", "z": "ᴢ"}
+MORE = {"Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S"}  # further letters of a script that has one for the prototype already
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")
+
+_SPELL = {"Latin": {}, "Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Coptic": COPTIC, "Lisu": LISU}
 #: letter -> its prototype
-_PROTO = {v: k for m in (CYRILLIC, GREEK, ARMENIAN, LATIN) for k, v in m.items()}
+_PROTO = {v: k for m in (*_SPELL.values(), LATIN) for k, v in m.items()} | MORE
 _CLASS_SCRIPTS = {k: frozenset(["Latin", *(s for s, m in _SPELL.items() if k in m)]) for k in set(_PROTO.values())}
 
 
@@ -46,11 +54,12 @@ def _fold_table() -> dict[int, str | None]:
             out[c] = " "
             continue
         d = unicodedata.decomposition(ch)
-        if d.startswith(("<wide>", "<narrow>")) or 0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F:
+        letter = d.startswith("<font>") or d.startswith("<compat>") and 0x2E80 <= c <= 0x2FDF  # mathematical fonts; radicals
+        if d.startswith(("<wide>", "<narrow>")) or letter or 0xFB00 <= c <= 0xFB06 or 0x2160 <= c <= 0x217F:
             out[c] = unicodedata.normalize("NFKC", ch)
         elif unicodedata.category(ch) == "Cf" and c not in (0x200C, 0x200D, 0x202D, 0x202E) and not 0x600 <= c <= 0x8E2 and not 0x13430 <= c <= 0x1343F:
             out[c] = None
-    out |= {0x2010: "-", 0x2011: "-", 0xB5: "μ", 0x180E: None, 0x34F: None, 0x115F: None, 0x1160: None, 0x3164: None, 0xFFA0: None, 0x17B4: None, 0x17B5: None}
+    out |= {0x2010: "-", 0x2011: "-", 0x2212: "-", 0xB5: "μ", 0x180E: None, 0x34F: None, 0x115F: None, 0x1160: None, 0x3164: None, 0xFFA0: None, 0x17B4: None, 0x17B5: None}
     out |= {c: None for c in (*range(0x180B, 0x180E), *range(0xE0000, 0xE1000))}
     return out
 
@@ -75,42 +84,46 @@ _JOINERS = re.compile(
     "|(?<![©®‼⁉™ℹ←-⇿⌀-⯿〰〽㊗㊙\U0001f000-\U0001faff0-9#*])[︀-️]+"
 )
 _TOKEN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
-_FOREIGN = re.compile("[ɑɡͰ-֏]")
+_FOREIGN = re.compile("[ɑɡᴄᴏꜱᴠᴡᴢͰ-֏\u13a0-\u13ff\u2c80-\u2cff\ua4d0-\ua4ff]")
 _TRAIL = re.compile(r"[ \t\f\v]+(?=\n|\Z)")
 
 
+@cache
 def _script(ch: str) -> frozenset[str] | None:
-    """Scripts that can write the letter's class; None for what has no script."""
+    """Scripts that can write the letter's class, by its name in the character database; empty for a script without
+    look-alikes, None for what has no script."""
     p = _PROTO.get(ch, ch)
     if p in _CLASS_SCRIPTS:
         return _CLASS_SCRIPTS[p]
-    c = ord(ch)
-    if c < 0x250:
-        return frozenset(["Latin"]) if ch.isalpha() else None
-    if 0x370 <= c < 0x400:
-        return frozenset(["Greek"])
-    if 0x400 <= c < 0x530:
-        return frozenset(["Cyrillic"])
-    if 0x530 <= c < 0x590:
-        return frozenset(["Armenian"])
-    return None
+    if not ch.isalpha():
+        return None
+    name = unicodedata.name(ch, "").split(" ")[0].capitalize()
+    return frozenset([name]) & frozenset(SCRIPTS)
 
 
 def _spell(m: re.Match) -> str:
     token = m.group()
     if not _FOREIGN.search(token):
         return token
-    able = frozenset(SCRIPTS)
+    out, run = [], []
     for ch in token:
+        if _script(ch) == frozenset():
+            out += [*_spell_run(run), ch]
+            run = []
+        else:
+            run.append(ch)
+    return "".join([*out, *_spell_run(run)])
+
+
+def _spell_run(run: list[str]) -> list[str]:
+    """Letters in the first script that can write them all, else each in its first spelling."""
+    able = frozenset(SCRIPTS)
+    for ch in run:
         if (s := _script(ch)) is not None:
             able &= s
     chosen = next((s for s in SCRIPTS if s in able), None)
     spell = _SPELL.get(chosen, {})
-    out = []
-    for ch in token:
-        p = _PROTO.get(ch, ch)
-        out.append(spell.get(p, p) if chosen else p)
-    return "".join(out)
+    return [spell.get(p, p) for p in (_PROTO.get(ch, ch) for ch in run)]
 
 
 def normalize(text: str | None) -> str | None:
