@@ -77,20 +77,48 @@ def test_mixture_reaches_shares_under_caps(spark):
     rng = random.Random(2)
     rows = [(i, "word " * rng.randrange(1, 40), rng.choice("aaab"), rng.choice(["en", "EN", None]), rng.choice(["x", None])) for i in range(400)] + [(900, None, "a", None, None), (901, "", "b", None, None), (902, "only", None, None, None), (903, "text", "untargeted", None, None)]
     targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.4, 2), ("absent", 0.1, 9)], "source string, target_share double, max_repeats int")
-    used, report = M.mixture(documents(spark, rows), targets)
+    used, report, marginals = M.mixture(documents(spark, rows), targets)
     got = {r.source: r for r in report.collect()}
     assert abs(got["a"].actual_share - 5 / 9) < 0.01 and abs(got["b"].actual_share - 4 / 9) < 0.01 and got["absent"].actual_share == 0
     docs = used.collect()
     assert max(r.repeats for r in docs if r.source == "a") <= 3 and max(r.repeats for r in docs if r.source == "b") <= 2
     assert not {r.doc_id for r in docs} & {900, 901, 902, 903} and len({r.doc_id for r in docs}) == len(docs)
+    shares = {(r.dimension, r.value): r for r in marginals.collect()}
+    assert {d for d, _ in shares} == {"language", "topic"} and set(v for d, v in shares if d == "language") == {"en", "und"}
+    assert all(abs(r.actual_share - r.corpus_share) < 0.03 for r in shares.values())  # raked to the documents' own shares
     # the source that is shortest of its share is used up to its cap
     assert {r.repeats for r in docs if r.source == "b"} == {2}
 
 
 def test_mixture_of_nothing(spark):
     targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int")
-    used, report = M.mixture(documents(spark, []), targets)
-    assert used.count() == 0 and report.first().actual_share == 0
+    used, report, marginals = M.mixture(documents(spark, []), targets)
+    assert used.count() == 0 and report.first().actual_share == 0 and marginals.count() == 0
+
+
+def test_raking_reaches_all_marginals_and_stops():
+    import pandas as pd
+
+    rng = random.Random(3)
+    cells = pd.DataFrame([(s, l, t, rng.randrange(100, 900)) for s in "abc" for l in ("en", "de") for t in "xyz"], columns=["source", "language", "topic", "tokens"])
+    asked = {"a": (0.5, 50), "b": (0.3, 50), "c": (0.2, 50)}
+    w = M.rake(cells, asked)
+    got = cells.assign(t=w * cells["tokens"])
+    total = got["t"].sum()
+    for s, (share, _) in asked.items():
+        assert abs(got.loc[got["source"] == s, "t"].sum() / total - share) < 1e-4
+    for c in ("language", "topic"):
+        wanted = cells.groupby(c)["tokens"].sum() / cells["tokens"].sum()
+        assert (abs(got.groupby(c)["t"].sum() / total - wanted) < 1e-4).all()
+    assert (abs(M.rake(cells, asked, 5000) - w) < 1e-9).all()
+
+
+def test_rare_topics_are_raked_as_one(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOPICS", 2)
+    rows = [(i, "word " * 5, "a", "en", "xxxyyz"[i % 6]) for i in range(60)]
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    used, _, marginals = M.mixture(documents(spark, rows), targets)
+    assert used.count() == 60 and {r.value for r in marginals.where("dimension = 'topic'").collect()} == {"x", "y", "other topics"}
 
 
 def test_text_operators_on_null_empty_and_repeated_rows(spark):
