@@ -1,49 +1,89 @@
 """Unified diffs as tables: files, hunks, numbered lines, ranges, groups, and back to text.
 
-Everything is windows over the lines of one diff, so the only shuffle is on the diff's key.  A header is read as one
-only where a header can stand (before the first hunk of a file, or where ``---``, ``+++`` and ``@@`` follow one another), so removed
-lines that begin with ``-- `` stay lines.
+The lines of a diff are in one row, so they are read there in one Arrow pass, without a shuffle of text; only counts per
+file and runs of lines meet by key.  A header is read as one only where a header can stand (before the first hunk of a
+file, or where ``---``, ``+++`` and ``@@`` follow one another), so removed lines that begin with ``-- `` stay lines.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from patchlake.functions import columns as C
-
-_GIT_HEADER = r"^(?:diff --git |index |new file mode|deleted file mode|old mode|new mode|similarity index|dissimilarity index|rename (?:from|to)|copy (?:from|to)|Binary files)"
-
-
-def raw_lines(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
-    """key, pos, line; a final line end opens no further line, carriage returns at line ends go."""
-    parts = F.split(F.regexp_replace(F.col(text), r"\n$", ""), "\n", -1)
-    return entries.where(F.col(text).rlike(r"\S")).select(key, F.posexplode(parts).alias("pos", "raw")).select(key, "pos", F.regexp_replace("raw", r"\r$", "").alias("line"))
+from patchlake.session import ship, spread
+
+_GIT_HEADER = ("diff --git ", "index ", "new file mode", "deleted file mode", "old mode", "new mode", "similarity index", "dissimilarity index", "rename from", "rename to", "copy from", "copy to", "Binary files")
+_HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
+_LINE = "pos int, line string, file_idx bigint, hunk_idx bigint, role string, old_line int, new_line int"
+ROWS = 50_000  # of lines that leave the pass together
+
+
+def read_lines(diff: str) -> Iterator[tuple]:
+    """(pos, line, file_idx, hunk_idx, role, old_line, new_line) of a diff; hunk_idx is 0 in headers."""
+    rows = [x.removesuffix("\r") for x in diff.removesuffix("\n").split("\n")]
+    n, file, hunk, old, new = len(rows), 0, 0, 0, 0
+    for pos, line in enumerate(rows):
+        if line.startswith("diff --git ") or line.startswith("--- ") and pos + 2 < n and rows[pos + 1].startswith("+++ ") and rows[pos + 2].startswith("@@ -") and not (pos and rows[pos - 1].startswith(_GIT_HEADER)):
+            file, hunk = file + 1, 0
+        m = _HUNK.match(line) if file else None
+        if m:
+            hunk, old, new = hunk + 1, int(m.group(1)), int(m.group(2))
+            yield pos, line, file, hunk, "hunk", None, None
+        elif not hunk:
+            yield pos, line, file, hunk, "header", None, None
+        elif line[:1] == "+":
+            yield pos, line, file, hunk, "added", None, new
+            new += 1
+        elif line[:1] == "-":
+            yield pos, line, file, hunk, "removed", old, None
+            old += 1
+        elif line[:1] == "\\":
+            yield pos, line, file, hunk, "marker", None, None
+        else:
+            yield pos, line, file, hunk, "context", old, new
+            old, new = old + 1, new + 1
 
 
 def marked(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
-    """Lines with file_idx, hunk_idx (0 in headers) and their role."""
-    by = Window.partitionBy(key).orderBy("pos")
-    line = F.col("line")
-    rows = raw_lines(entries, key, text).withColumn("_next", F.lead("line").over(by)).withColumn("_then", F.lead("line", 2).over(by)).withColumn("_prev", F.lag("line").over(by))
-    git = line.startswith("diff --git ")
-    plain = line.startswith("--- ") & F.coalesce(F.col("_next").startswith("+++ ") & F.col("_then").startswith("@@ -"), F.lit(False)) & ~F.coalesce(F.col("_prev").rlike(_GIT_HEADER), F.lit(False))
-    rows = rows.withColumn("_file", (git | plain).cast("int")).withColumn("file_idx", F.sum("_file").over(by))
-    in_file = Window.partitionBy(key, "file_idx").orderBy("pos")
-    rows = rows.withColumn("_hunk", ((F.col("file_idx") > 0) & line.rlike(r"^@@ -\d+(,\d+)? \+\d+(,\d+)? @@")).cast("int")).withColumn("hunk_idx", F.sum("_hunk").over(in_file))
-    role = F.when(F.col("hunk_idx") == 0, "header").when(F.col("_hunk") == 1, "hunk").when(line.startswith("+"), "added").when(line.startswith("-"), "removed").when(line.startswith("\\"), "marker").otherwise("context")
-    return rows.select(key, "pos", "line", "file_idx", "hunk_idx", role.alias("role"))
+    """Lines with file_idx, hunk_idx (0 in headers), their role and numbers; a final line end opens no further line,
+    carriage returns at line ends go, blank texts have no lines."""
+    ship(entries.sparkSession)
+    rows = entries.where(F.col(text).rlike(r"\S")).select(F.col(key), F.col(text).alias("_text"))
+    names = [key, *(x.split()[0] for x in _LINE.split(", "))]
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names).astype({"old_line": "Int64", "new_line": "Int64"})
+
+        for b in batches:
+            out: list[tuple] = []
+            for k, t in zip(b[key], b["_text"]):
+                for row in read_lines(t):
+                    out.append((k, *row))
+                    if len(out) >= ROWS:
+                        yield frame()
+                        out = []
+            if out:
+                yield frame()
+
+    return spread(rows).mapInPandas(fn, StructType([rows.schema[key], *StructType.fromDDL(_LINE)]))
 
 
 def files(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """key, file_idx, path, old_path, status, language, hunks, added, removed."""
     m = marked(entries, key, text).where("file_idx > 0")
     head = F.col("role") == "header"
-    path = lambda prefix, side: F.max(F.when(head & F.col("line").startswith(prefix), F.regexp_replace(F.split(F.substring(F.col("line"), 5, 100000), "\t")[0], f"^{side}/", "")))
+    path = lambda prefix, side: F.max(F.when(head & F.col("line").startswith(prefix), F.regexp_replace(F.split(F.expr("substring(line, 5)"), "\t")[0], f"^{side}/", "")))
     f = m.groupBy(key, "file_idx").agg(
         path("--- ", "a").alias("_old"),
         path("+++ ", "b").alias("_new"),
         F.max(F.when(head & F.col("line").startswith("diff --git "), F.regexp_extract("line", r" b/(.+)$", 1))).alias("_git"),
-        F.max(F.when(head & F.col("line").startswith("rename from "), F.substring("line", 13, 100000))).alias("_from"),
+        F.max(F.when(head & F.col("line").startswith("rename from "), F.expr("substring(line, 13)"))).alias("_from"),
         F.bool_or(head & F.col("line").startswith("new file mode")).alias("_is_new"),
         F.bool_or(head & F.col("line").startswith("deleted file mode")).alias("_is_deleted"),
         F.max("hunk_idx").alias("hunks"),
@@ -58,14 +98,8 @@ def files(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> Data
 
 def numbered(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """key, file_idx, hunk_idx, pos, kind, text, old_line, new_line: the central table of changed and context lines."""
-    m = marked(entries, key, text).where("hunk_idx > 0 and role <> 'marker'")
-    hunk = Window.partitionBy(key, "file_idx", "hunk_idx")
-    start = lambda g: F.max(F.when(F.col("role") == "hunk", F.regexp_extract("line", r"^@@ -(\d+)(?:,\d+)? \+(\d+)", g).cast("int"))).over(hunk)
-    before = hunk.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lambda without: F.coalesce(F.sum(F.when(~F.col("role").isin("hunk", without), 1).otherwise(0)).over(before), F.lit(0))
-    body = F.when(F.substring("line", 1, 1).isin("+", "-", " "), F.substring("line", 2, 1000000)).otherwise(F.col("line"))
-    rows = m.withColumn("_o", start(1)).withColumn("_n", start(2)).withColumn("old_line", F.when(F.col("role") != "added", F.col("_o") + seen("added")).cast("int")).withColumn("new_line", F.when(F.col("role") != "removed", F.col("_n") + seen("removed")).cast("int"))
-    return rows.where("role <> 'hunk'").select(key, "file_idx", "hunk_idx", "pos", F.col("role").alias("kind"), body.alias("text"), "old_line", "new_line")
+    body = F.when(F.substring("line", 1, 1).isin("+", "-", " "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
+    return marked(entries, key, text).where("role in ('added', 'removed', 'context')").select(key, "file_idx", "hunk_idx", "pos", F.col("role").alias("kind"), body.alias("text"), "old_line", "new_line")
 
 
 def hunks(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
