@@ -102,9 +102,9 @@ def compare(baseline: DataFrame, candidate: DataFrame, tolerance: float = TOLERA
 
 
 def table_rows(metrics: DataFrame) -> DataFrame:
-    """One text row per system, a dash for what is null."""
+    """One text row of ten columns per system, a dash for what is null."""
     cell = lambda c: F.coalesce(F.col(c).cast("decimal(20,4)").cast("string"), F.lit("-"))
-    return metrics.select("system", F.concat_ws(" | ", "system", *[cell(m) for m in METRICS[:7]]).alias("row"))
+    return metrics.select("system", F.concat_ws(" | ", "system", *[cell(m) for m in METRICS[:9]]).alias("row"))
 
 
 def leaks(entries: DataFrame) -> DataFrame:

@@ -29,9 +29,9 @@ def weighted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     n = documents.count()  # one number, from the files' footers
     df = document_frequency(tf)
     w = tf.join(df, "token").withColumn("w", F.col("tf") * idf(F.lit(n), F.col("df")))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    v = w.withColumn("idx", C.hashed_index(F.col("token"), DIMENSION)).withColumn("w", F.col("w") * C.hashed_sign(F.col("token")))
-    return v.groupBy(key, "idx").agg(F.sum("w").alias("w")).join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("weight"))
+    v = w.select(key, C.hashed_index(F.col("token"), DIMENSION).alias("idx"), (F.col("w") * C.hashed_sign(F.col("token"))).alias("w"), (F.col("w") * F.col("w")).alias("_sq"))
+    v = v.repartition(key).groupBy(key, "idx").agg(F.sum("w").alias("w"), F.sum("_sq").alias("_sq"))  # one shuffle by document for both sums
+    return v.select(key, "idx", (F.col("w") / F.sqrt(F.sum("_sq").over(Window.partitionBy(key)))).alias("weight"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 1000) -> DataFrame:
@@ -51,11 +51,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block: int =
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
-def prefix_budget(rows: DataFrame, by: str, order: list[str], size: Column, budget: int, overshoot: bool = False) -> DataFrame:
-    """Rows in order up to the budget: all that fit in it together, or all that begin before it is used up."""
-    w = Window.partitionBy(by).orderBy(*order)
-    used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1 if overshoot else 0))
-    return rows.withColumn("used", F.coalesce(used, F.lit(0))).where(F.col("used") < budget if overshoot else F.col("used") <= budget)
+def bin_of(column: str, width: int = 1000) -> Column:
+    """A coarse bin of an integer column, in its order."""
+    return F.floor(F.col(column) / width)
+
+
+def prefix_budget(rows: DataFrame, by: str, order: list[str], size: Column, budget: int, overshoot: bool = False, bin: Column | None = None) -> DataFrame:
+    """Rows in order up to the budget: all that fit in it together, or all that begin before it is used up.
+
+    With ``bin``, a function of the order that never falls, sums of the bins come first: a bin that begins beyond the
+    budget is dropped before any row is sorted, and a hot group is spread over its bins.
+    """
+    if bin is None:
+        w = Window.partitionBy(by).orderBy(*order)
+        used = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1 if overshoot else 0))
+        return rows.withColumn("used", F.coalesce(used, F.lit(0))).where(F.col("used") < budget if overshoot else F.col("used") <= budget)
+    sized = rows.withColumn("_bin", bin).withColumn("_size", size)
+    sums = sized.groupBy(F.col(by).alias("_by"), F.col("_bin").alias("_b")).agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.withColumn("_begun", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where(F.col("_begun") <= budget).drop("_sum")
+    near = sized.join(begun, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bin") == F.col("_b")))
+    within = Window.partitionBy(by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if overshoot else 0)
+    used = near.withColumn("used", F.col("_begun") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    return used.where(F.col("used") < budget if overshoot else F.col("used") <= budget).select(*rows.columns, "used")
 
 
 def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,7 +104,7 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
 def knowledge(documents: DataFrame) -> DataFrame:
     """Documents as knowledge entries: title is the first line, the rest content, with the content id."""
     text = F.coalesce("text", F.lit(""))
-    title, content = F.substring(F.regexp_extract(text, r"^([^\r\n]*)", 1), 1, 120), F.coalesce("text", F.lit(""))
+    title, content = F.regexp_extract(text, r"^([^\r\n]*)", 1), F.coalesce("text", F.lit(""))
     e = documents.select("doc_id", "kind", title.alias("title"), content.alias("content"), "repository", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("source", F.lit("")).alias("source"), "created_at")
     return e.withColumn("content_id", C.content_id(F.col("kind"), F.col("title"), F.col("content"), F.col("repository"), F.col("category")))
 
@@ -101,21 +119,26 @@ def not_dismissed(findings: DataFrame, dismissals: DataFrame, least: int = 3) ->
     """Findings that no dismissal of their repository (or of none) suppresses: same category or none, and same file or ``least`` shared identifiers."""
     key = ["review_id", "ord"]
     f = findings.select(*key, "repository", "category", "file_path", C.identifier_tokens(F.concat_ws(" ", "title", "description")).alias("f_tokens"))
-    d = dismissals.select(F.col("repository").alias("d_repository"), F.col("category").alias("d_category"), F.col("source_file"), C.identifier_tokens(F.concat_ws(" ", "title", "content")).alias("d_tokens"))
-    scope = F.coalesce(F.col("d_repository"), F.lit("")) == ""
-    category = (F.coalesce(F.col("d_category"), F.lit("")) == "") | (F.col("d_category") == F.col("category"))
-    near = (F.coalesce(F.col("source_file"), F.lit("")) != "") & (F.col("source_file") == F.col("file_path")) | (C.overlap(F.col("f_tokens"), F.col("d_tokens")) >= least)
-    of_repository = f.join(d.where(~scope), F.col("d_repository") == F.col("repository")).where(category & near)
-    by_token = d.where(scope).withColumn("_id", F.monotonically_increasing_id())
-    shared = f.select(*key, "category", F.explode("f_tokens").alias("t")).join(by_token.select("_id", "d_category", F.explode("d_tokens").alias("t")), "t").where(category).groupBy(*key, "_id").count().where(F.col("count") >= least)
-    by_file = f.join(by_token, F.col("source_file") == F.col("file_path")).where(category)
-    gone = of_repository.select(*key).unionByName(shared.select(*key)).unionByName(by_file.select(*key)).distinct()
+    d = dismissals.select(F.coalesce("repository", F.lit("")).alias("d_repository"), F.coalesce("category", F.lit("")).alias("d_category"), F.coalesce("source_file", F.lit("")).alias("source_file"), C.identifier_tokens(F.concat_ws(" ", "title", "content")).alias("d_tokens"))
+    d = d.withColumn("_id", F.sha2(F.concat_ws("\0", "d_repository", "d_category", "source_file", F.array_join("d_tokens", " ")), 256)).dropDuplicates(["_id"])
+    category = (F.col("d_category") == "") | (F.col("d_category") == F.col("category"))
+    seen = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce("repository", F.lit(""))))).alias("d_repository")  # its own dismissals and those of no repository
+    asked = f.select("*", seen)
+    # joined on token or file besides the repository, so a hot repository's findings never meet all of its dismissals
+    tokens = asked.select(*key, "category", "d_repository", F.explode("f_tokens").alias("t")).join(d.select("_id", "d_repository", "d_category", F.explode("d_tokens").alias("t")), ["d_repository", "t"])
+    shared = tokens.where(category).groupBy(*key, "_id").count().where(F.col("count") >= least)
+    by_file = asked.join(d.where("source_file <> ''").select("d_repository", "d_category", F.col("source_file").alias("file_path")), ["d_repository", "file_path"]).where(category)
+    gone = shared.select(*key).unionByName(by_file.select(*key)).distinct()
     return findings.join(gone, key, "left_anti")
 
 
-def rendered(entries: DataFrame, by: str, order: list[str], snippet: int = 200, block: int = 1200) -> DataFrame:
-    """Entries of a group as one block: a line each with a cut snippet, the block cut as well."""
+def rendered(entries: DataFrame, by: str, order: list[str], snippet: int = 200, block: int = 1200, bin: Column | None = None) -> DataFrame:
+    """Entries of a group as one block: a line each with a cut snippet, the block cut as well.
+
+    Only lines that begin within the block, and one more, are collected: no group is larger than a block.
+    """
     cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.rtrim(F.substring(c, 1, n)), F.lit("..."))).otherwise(c)
     line = F.concat(F.lit("- ["), F.col("kind"), F.lit("] "), F.col("title"), F.lit(": "), cut(F.regexp_replace("content", r"\s+", " "), snippet))
-    rows = entries.select(by, F.struct(*order, line.alias("line")).alias("x"))
+    lines = prefix_budget(entries.withColumn("line", line), by, order, F.length("line") + 1, block + 2, overshoot=True, bin=bin)
+    rows = lines.select(by, F.struct(*order, "line").alias("x"))
     return rows.groupBy(by).agg(cut(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"), block).alias("block"))

@@ -75,7 +75,7 @@ _TERMS = f"t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS token FROM doc
 _HASH = "(('0x' || substring(md5(token), 1, 8))::BIGINT % 1024)"
 _SIGN = "CASE WHEN ('0x' || substring(md5(token), 9, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END"
 _NORM = "coalesce(nullif(sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))), 0), 1)"
-_TITLE = r"substring(regexp_extract(coalesce(text, ''), '^([^\r\n]*)', 1), 1, 120)"
+_TITLE = r"regexp_extract(coalesce(text, ''), '^([^\r\n]*)', 1)"
 _KNOW = f"k AS (SELECT doc_id, kind, {_TITLE} AS title, coalesce(text, '') AS content, repository, coalesce(category, '') AS category, coalesce(source, '') AS source FROM documents), ki AS (SELECT *, substring(sha256(kind || chr(0) || title || chr(0) || content || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM k)"
 _E = "e AS (SELECT DISTINCT ON (event_no) * FROM workflow_events ORDER BY event_no, received_at)"
 _U = "u AS (SELECT *, coalesce((payload->>'input_tokens')::BIGINT, 0) AS it, coalesce((payload->>'calls')::BIGINT, 0) AS ca FROM e WHERE kind = 'usage')"
@@ -128,12 +128,12 @@ SQL = {
     "x9_derived_severity": f"WITH {F} SELECT review_id, ord, {DERIVED} AS severity FROM f",
     "x11_status_maps": f"WITH {F} SELECT verification_status, evidence_status, {case('evidence_status', C.STATUS_OF_EVIDENCE, 'unverified')} AS status_of_evidence, count(*) AS n FROM f GROUP BY ALL",
     "x17_finding_ids": f"WITH {F} SELECT review_id, ord, file_path || ':' || coalesce(start_line::VARCHAR, 'None') || ':' || category AS finding_id FROM f",
-    "k1_json_documents": f"WITH {F} SELECT review_id, count(*) AS findings, min(ord) AS first_ord FROM f GROUP BY 1",
-    "k2_sarif": f"WITH {F} SELECT review_id, '2.1.0' AS version, count(*) AS results, count(DISTINCT {RULE}) AS rules FROM f GROUP BY 1",
+    "k1_json_documents": f"WITH {F} SELECT review_id, count(*) AS findings, min(ord) AS first_ord, md5(string_agg(title || '|' || file_path || '|' || severity || '|' || coalesce(start_line, 0), chr(10) ORDER BY title || '|' || file_path || '|' || severity || '|' || coalesce(start_line, 0))) AS digest FROM f GROUP BY 1",
+    "k2_sarif": f"WITH {F} SELECT review_id, '2.1.0' AS version, count(*) AS results, count(DISTINCT {RULE}) AS rules, md5(string_agg({RULE} || '|' || {LEVEL}, chr(10) ORDER BY {RULE} || '|' || {LEVEL})) AS digest FROM f GROUP BY 1",
     "k2_sarif_levels": f"WITH {F} SELECT review_id, {LEVEL} AS level, count(*) AS results, count(DISTINCT {RULE}) AS rules FROM f GROUP BY 1, 2",
     "k3_markdown": f"WITH {F} SELECT review_id, '# Review ' || review_id || chr(10) || string_agg('- [' || severity || '] ' || title || ' (' || file_path || ':' || coalesce(start_line::VARCHAR, '-') || ')', chr(10) ORDER BY {SEV} DESC, confidence, ord) AS document FROM f GROUP BY review_id",
     "k5_comments": f"""WITH {F}, r AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY {SEV} DESC, confidence DESC, {STA} DESC, ord) AS rank FROM f)
-        SELECT review_id, rank, file_path AS path, start_line AS line, least(65000, length(concat_ws(chr(10) || chr(10), title, description, recommendation))) AS n_chars FROM r WHERE rank <= 20 AND file_path <> '' AND start_line IS NOT NULL""",
+        SELECT review_id, rank, file_path AS path, start_line AS line, md5(substring(concat_ws(chr(10) || chr(10), title, description, recommendation), 1, 65000)) AS digest FROM r WHERE rank <= 20 AND file_path <> '' AND start_line IS NOT NULL""",
     "k11_redacted_meta": f"WITH {_E}, x AS (SELECT unnest(map_entries(meta)) AS m FROM e) SELECT m.key AS key, CASE WHEN regexp_matches(m.key, '(?i)(key|token|secret|password|authorization|cookie)') THEN '***' ELSE m.value END AS value, count(*) AS n FROM x GROUP BY 1, 2",
     "d1_diff_files": f"WITH {DIFF} SELECT entry_id, file_idx, path, old_path, status, language, hunks, added, removed FROM files",
     "d2_numbered_lines": f"WITH {DIFF} SELECT entry_id, pos, kind, text, old_line, new_line FROM lines",
@@ -153,24 +153,24 @@ SQL = {
         l AS (SELECT *, CASE WHEN noc THEN 'missing' WHEN nob THEN 'extra' WHEN candidate IS NULL THEN 'regressed' WHEN worse > 0.02 THEN 'regressed' WHEN worse < 0 THEN 'improved' WHEN delta = 0 THEN 'unchanged' ELSE 'tolerated' END AS label FROM k)
         SELECT system, metric, baseline, candidate, delta, label = 'regressed' AS regressed, label FROM l""",
     "u4_system_differences": f"WITH {_S}, a AS (SELECT DISTINCT system FROM s WHERE run_id LIKE '%-0'), b AS (SELECT DISTINCT system FROM s WHERE run_id LIKE '%-1') SELECT system, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT system, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
-    "k12_result_rows": f"WITH {_S}, {_metrics('m')} SELECT system, system || ' | ' || {' || chr(32) || chr(124) || chr(32) || '.join(f'''coalesce({m}::DECIMAL(20, 4)::VARCHAR, '-')''' for m in ev.METRICS[:7])} AS row FROM m",
+    "k12_result_rows": f"WITH {_S}, {_metrics('m')} SELECT system, system || ' | ' || {' || chr(32) || chr(124) || chr(32) || '.join(f'''coalesce({m}::DECIMAL(20, 4)::VARCHAR, '-')''' for m in ev.METRICS[:9])} AS row FROM m",
     "j9_gold_matches": f"WITH {DIFF}, {_GOLD} SELECT entry_id, pred, matched, negative FROM mt",
     "g5_entry_scores": f"WITH {DIFF}, {_GOLD} SELECT entry_id, count(*) FILTER (matched) AS true_positives, count(*) FILTER (NOT matched) AS false_positives, bool_or(matched) AS detected, NOT bool_or(matched) AND NOT bool_or(negative) AS missed_gold, bool_or(matched AND severity = gold_severity) AS severity_correct FROM mt GROUP BY 1",
     "f8_leakage_guard": "SELECT count(*) AS entries, count(*) FILTER (NOT hold_out) AS not_held_out, count(*) FILTER (NOT hold_out) = 0 AS allowed FROM benchmark_entries",
     "j11_entries_by_system": f"WITH {_S}, h AS (SELECT entry_id FROM benchmark_entries WHERE hold_out), y AS (SELECT DISTINCT system FROM s), n AS (SELECT entry_id, system, count(*) AS scores FROM s GROUP BY 1, 2) SELECT entry_id, system, coalesce(scores, 0) AS scores FROM h CROSS JOIN y LEFT JOIN n USING (entry_id, system)",
-    "x1_identifier_tokens": f"SELECT doc_id, len({IDENT.format('text')}) AS tokens FROM documents",
+    "x1_identifier_tokens": f"SELECT doc_id, md5(array_to_string(list_sort({IDENT.format('text')}), ' ')) AS tokens FROM documents",
     "x4_token_estimate": "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents WHERE text IS NOT NULL",
     "g12_document_frequency": f"WITH {_TERMS} SELECT token, df FROM df",
     "g13_term_counts": f"WITH {_TERMS} SELECT doc_id, token, tf FROM tf",
     "x5_idf": f"WITH {_TERMS} SELECT token, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM df",
     "x6_hashed_features": f"WITH {_TERMS} SELECT token, {_HASH} AS idx, {_SIGN} AS sign FROM df",
     "x7_tfidf_vectors": f"""WITH {_TERMS}, w AS (SELECT doc_id, token, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token)), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1),
-        v AS (SELECT doc_id, {_HASH} AS idx, sum(w * {_SIGN}) AS w FROM w GROUP BY 1, 2) SELECT doc_id, count(*) AS features, round(sum(abs(v.w / n.n)), 4) AS l1 FROM v JOIN n USING (doc_id) GROUP BY 1""",
+        v AS (SELECT doc_id, {_HASH} AS idx, sum(w * {_SIGN}) AS w FROM w GROUP BY 1, 2) SELECT doc_id, count(*) AS features, min(idx) AS first_idx, max(idx) AS last_idx, round(sum(abs(v.w / n.n)), 4) AS l1, round(sum(v.w / n.n), 4) AS total, round(sum(v.w / n.n * idx / 1024), 4) AS moment FROM v JOIN n USING (doc_id) GROUP BY 1""",
     "x18_slugs": r"SELECT entry_id, regexp_replace(repository, '[^A-Za-z0-9_.\-]', '_', 'g') AS slug FROM benchmark_entries",
     "x20_directories": f"WITH {F} SELECT review_id, ord, regexp_extract(file_path, '^(.*)/', 1) AS directory FROM f",
     "x21_query_text": f"WITH {DIFF}, a AS (SELECT entry_id, string_agg(text, chr(10) ORDER BY pos) AS added FROM lines WHERE kind = 'added' GROUP BY 1) SELECT entry_id, md5(substring(concat_ws(chr(10), bug_description, added), 1, 8000)) AS digest FROM benchmark_entries LEFT JOIN a USING (entry_id)",
     "r2_nearest_vectors": f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / ({_NORM.format('q.embedding')} * {_NORM.format('v.embedding')}), 4) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, score FROM r WHERE rank <= 6""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 6""",
     "w4_budget_prefix": "WITH x AS (SELECT repository, doc_id, sum(length(text)) OVER (PARTITION BY repository ORDER BY doc_id) AS used FROM documents WHERE text IS NOT NULL) SELECT * FROM x WHERE used <= 24000",
     "s7_budget_overshoot": "WITH x AS (SELECT repository, doc_id, coalesce(sum(length(text)) OVER (PARTITION BY repository ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents WHERE text IS NOT NULL AND trim(text) <> '') SELECT * FROM x WHERE used < 24000",
     "s11_knowledge_scope": "SELECT repository, kind, count(*) AS entries FROM documents GROUP BY 1, 2",
@@ -188,21 +188,23 @@ SQL = {
     "e1_stage_stats": f"WITH {_E} SELECT stage, {', '.join(f'count(*) FILTER (kind = {k!r}) AS {k}' for k in ('stage_start', 'stage_done', 'stage_failed', 'stage_skipped', 'usage'))}, round(avg(stage_seconds) FILTER (kind = 'stage_done'), 3) AS mean_seconds, max(stage_seconds) AS max_seconds FROM e WHERE stage <> '' GROUP BY 1",
     "e2_stream_usage": f"WITH {_E}, {_U} SELECT review_id, sum(it) AS input_tokens, sum(ca) AS calls, count(*) AS usages FROM u GROUP BY 1",
     "e3_stream_status": f"WITH {_E} SELECT review_id, stage, arg_max(kind, (event_ts, event_no)) AS status, max(event_ts) AS at FROM e WHERE stage <> '' GROUP BY 1, 2",
+    "e6_stream_severities": f"WITH {F} SELECT severity, count(*) AS n FROM f GROUP BY 1",
     "e6_stream_counts": f"WITH {_E} SELECT kind, count(*) AS n FROM e GROUP BY 1",
     "e7_stream_daily_counts": f"WITH {_E} SELECT date_trunc('day', event_ts)::TIMESTAMP AS day, kind, count(*) AS n FROM e GROUP BY 1, 2",
     "f2_plain_rule_hits": f"WITH {DIFF}, a AS (SELECT entry_id, text FROM lines WHERE kind = 'added'), h AS ({_rules_sql()}) SELECT category, rule_id, count(*) AS lines, count(DISTINCT entry_id) AS entries FROM h GROUP BY 1, 2",
     "j8_not_dismissed": f"""WITH {F}, {_KNOW}, {_DIS} SELECT review_id, ord FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE (coalesce(d.repository, '') = '' OR d.repository = f.repository) AND (d.category = '' OR d.category = f.category)
         AND ((d.source_file <> '' AND d.source_file = f.file_path) OR len(list_intersect({IDENT.format("concat_ws(' ', f.title, f.description)")}, {IDENT.format("concat_ws(' ', d.title, d.content)")})) >= 3))""",
     "s12_sections": f"""WITH {_LINES_OF_DOCS}, h AS (SELECT *, regexp_matches(line, '^#{{1,6}} +\\S') AS is_h FROM dl), x AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
-        SELECT doc_id, section, length(regexp_replace(max(line) FILTER (is_h), '^#{{1,6}} +|\\s+$', '', 'g')) AS title_chars FROM x WHERE section > 0 GROUP BY 1, 2 HAVING trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), '')) <> ''""",
+        SELECT doc_id, section, regexp_replace(max(line) FILTER (is_h), '^#{{1,6}} +|\\s+$', '', 'g') AS title, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), ''))) AS digest FROM x WHERE section > 0 GROUP BY 1, 2 HAVING trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), '')) <> ''""",
     "x16_rendered": f"""WITH {_KNOW}, r AS (SELECT repository, doc_id, '- [' || kind || '] ' || title || ': ' || regexp_replace(content, '\\s+', ' ', 'g') AS whole, regexp_replace(content, '\\s+', ' ', 'g') AS flat FROM k WHERE kind = 'rule'),
         l AS (SELECT repository, doc_id, CASE WHEN length(flat) > 200 THEN substring(whole, 1, length(whole) - length(flat)) || rtrim(substring(flat, 1, 200)) || '...' ELSE whole END AS line FROM r),
-        b AS (SELECT repository, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1) SELECT repository, CASE WHEN length(block) > 1200 THEN length(rtrim(substring(block, 1, 1200))) + 3 ELSE length(block) END AS n_chars FROM b""",
+        b AS (SELECT repository, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1) SELECT repository, md5(CASE WHEN length(block) > 1200 THEN rtrim(substring(block, 1, 1200)) || '...' ELSE block END) AS digest FROM b""",
     "f5_applicable_entries": "SELECT entry_id, trim(coalesce(bug_description, '')) <> '' AS applicable FROM benchmark_entries",
     "f6_sane_checks": f"WITH {F} SELECT review_id, coalesce(string_agg(DISTINCT category, ',' ORDER BY category) FILTER (category IN ({', '.join(f"'{c}'" for c in C.CHECKS)})), 'correctness') AS checks FROM f GROUP BY 1",
     "f7_applicable_knowledge": "SELECT repository, count(*) + (SELECT count(*) FROM documents WHERE repository = '') AS entries FROM documents WHERE repository <> '' GROUP BY 1",
     "f13_listing": "SELECT kind, coalesce(category, '') AS category, count(*) AS entries, min(doc_id) AS first FROM documents GROUP BY 1, 2",
-    "g11_merged_summaries": "SELECT repository, md5(coalesce(string_agg(bug_fix, ' | ' ORDER BY entry_id) FILTER (bug_fix <> ''), '')) AS purposes, count(*) AS changes, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM benchmark_entries GROUP BY 1",
+    "g11_merged_summaries": """SELECT repository, count(*) AS changes, count(*) FILTER (bug_fix <> '') AS purposes, coalesce(sum(length(bug_fix)) FILTER (bug_fix <> ''), 0) AS n_chars, arg_min(bug_fix, entry_id) FILTER (bug_fix <> '') AS first_fix,
+        arg_max(bug_fix, entry_id) FILTER (bug_fix <> '') AS last_fix, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM benchmark_entries GROUP BY 1""",
     "g15_costs": f"WITH {_E}, {_U} SELECT review_id, round(sum(it) / 1e6 * 3.0, 6) AS cost FROM u GROUP BY 1",
     "s16_file_history": "WITH x AS (SELECT entry_id, repository, unnest(list_distinct(affected_files)) AS path FROM benchmark_entries), r AS (SELECT *, row_number() OVER (PARTITION BY repository, path ORDER BY entry_id DESC) AS n FROM x) SELECT entry_id, repository, path FROM r WHERE n <= 5",
     "s3_repository_names": r"SELECT link_id, regexp_extract(old_repository, '[/:]([^/:]+/[^/]+?)(?:\.git)?/?$', 1) AS name FROM repo_links",

@@ -164,14 +164,16 @@ def x17_finding_ids(spark, d):
 
 @query
 def k1_json_documents(spark, d):
-    return sinks.json_documents(_findings(spark, d)).select("review_id", F.size(F.from_json("document", "findings array<struct<ord: bigint>>")["findings"]).alias("findings"), F.get_json_object("document", "$.findings[0].ord").cast("bigint").alias("first_ord"))
+    found = F.from_json("document", "findings array<struct<ord: bigint, title: string, file_path: string, severity: string, start_line: int>>")["findings"]
+    line = lambda x: F.concat_ws("|", x["title"], x["file_path"], x["severity"], F.coalesce(x["start_line"], F.lit(0)).cast("string"))
+    return sinks.json_documents(_findings(spark, d)).select("review_id", found.alias("f")).select("review_id", F.size("f").alias("findings"), F.col("f")[0]["ord"].alias("first_ord"), F.md5(F.array_join(F.array_sort(F.transform("f", line)), "\n")).alias("digest"))
 
 
 @query
 def k2_sarif(spark, d):
     s = sinks.sarif(_findings(spark, d))
     run = F.from_json("document", "version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<ruleId: string, level: string>>>>")
-    return s.select("review_id", run.alias("r")).select("review_id", F.col("r.version").alias("version"), F.size(F.col("r.runs")[0]["results"]).alias("results"), F.size(F.col("r.runs")[0]["tool"]["driver"]["rules"]).alias("rules"))
+    return s.select("review_id", run.alias("r")).select("review_id", F.col("r.version").alias("version"), F.size(F.col("r.runs")[0]["results"]).alias("results"), F.size(F.col("r.runs")[0]["tool"]["driver"]["rules"]).alias("rules"), F.md5(F.array_join(F.array_sort(F.transform(F.col("r.runs")[0]["results"], lambda x: F.concat_ws("|", x["ruleId"], x["level"]))), "\n")).alias("digest"))
 
 
 @query
@@ -186,7 +188,7 @@ def k3_markdown(spark, d):
 
 @query
 def k5_comments(spark, d):
-    return sinks.comments(fi.rank(_findings(spark, d))).select("review_id", "rank", "path", "line", F.length("body").alias("n_chars"))
+    return sinks.comments(fi.rank(_findings(spark, d))).select("review_id", "rank", "path", "line", F.md5("body").alias("digest"))
 
 
 @query
@@ -362,7 +364,7 @@ def _documents(spark, d):
 
 @query
 def x1_identifier_tokens(spark, d):
-    return _documents(spark, d).select("doc_id", F.size(C.identifier_tokens(F.col("text"))).alias("tokens"))
+    return _documents(spark, d).select("doc_id", F.md5(F.array_join(F.sort_array(C.identifier_tokens(F.col("text"))), " ")).alias("tokens"))
 
 
 @query
@@ -393,7 +395,7 @@ def x6_hashed_features(spark, d):
 
 @query
 def x7_tfidf_vectors(spark, d):
-    return rt.weighted(_documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("features"), F.round(F.sum(F.abs("weight")), 4).alias("l1"))
+    return rt.weighted(_documents(spark, d)).groupBy("doc_id").agg(F.count("*").alias("features"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.round(F.sum(F.abs("weight")), 4).alias("l1"), F.round(F.sum("weight"), 4).alias("total"), F.round(F.sum(F.col("weight") * F.col("idx") / 1024), 4).alias("moment"))
 
 
 @query
@@ -424,24 +426,24 @@ def x24_import_names(spark, d):
 @query
 def r2_nearest_vectors(spark, d):
     v = table(spark, d, "embeddings")
-    return rt.nearest(v, v.where("vec_id % 50 = 0")).select("query_id", "rank", "score")
+    return rt.nearest(v, v.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score")
 
 
 @query
 def w4_budget_prefix(spark, d):
     rows = _documents(spark, d).where("text is not null")
-    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000).select("repository", "doc_id", "used")
+    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000, bin=rt.bin_of("doc_id")).select("repository", "doc_id", "used")
 
 
 @query
 def s7_budget_overshoot(spark, d):
     rows = _documents(spark, d).where("text is not null and trim(text) <> ''")
-    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000, overshoot=True).select("repository", "doc_id", "used")
+    return rt.prefix_budget(rows, "repository", ["doc_id"], F.length("text"), 24_000, overshoot=True, bin=rt.bin_of("doc_id")).select("repository", "doc_id", "used")
 
 
 @query
 def s12_sections(spark, d):
-    return rt.sections(_documents(spark, d)).select("doc_id", "section", F.length("title").alias("title_chars"))
+    return rt.sections(_documents(spark, d)).select("doc_id", "section", "title", F.md5("content").alias("digest"))
 
 
 @query
@@ -479,7 +481,7 @@ def r4_knowledge_search(spark, d):
 @query
 def x16_rendered(spark, d):
     k = rt.knowledge(_documents(spark, d)).where("kind = 'rule'")
-    return rt.rendered(k, "repository", ["doc_id"]).select("repository", F.length("block").alias("n_chars"))
+    return rt.rendered(k, "repository", ["doc_id"], bin=rt.bin_of("doc_id")).select("repository", F.md5("block").alias("digest"))
 
 
 # --- events -----------------------------------------------------------------------------------------------------------
@@ -521,22 +523,27 @@ def e1_stage_stats(spark, d):
 
 @query
 def e2_stream_usage(spark, d):
-    return stream.run(stream.usage_totals(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+    return stream.run(stream.usage_totals(stream.read(spark, f"{d}/workflow_events.parquet")), ["review_id"])
 
 
 @query
 def e3_stream_status(spark, d):
-    return stream.run(stream.latest_status(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+    return stream.run(stream.latest_status(stream.read(spark, f"{d}/workflow_events.parquet")), ["review_id", "stage"])
 
 
 @query
 def e6_stream_counts(spark, d):
-    return stream.run(stream.kind_counts(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+    return stream.run(stream.kind_counts(stream.read(spark, f"{d}/workflow_events.parquet")), ["kind"])
+
+
+@query
+def e6_stream_severities(spark, d):
+    return stream.run(stream.severity_counts(stream.read_findings(spark, f"{d}/findings.parquet")), ["severity"])
 
 
 @query
 def e7_stream_daily_counts(spark, d):
-    return stream.run(stream.windowed_counts(stream.read(spark, f"{d}/workflow_events.parquet")), "complete")
+    return stream.run(stream.windowed_counts(stream.read(spark, f"{d}/workflow_events.parquet")), ["day", "kind"])
 
 
 # --- smaller operators ------------------------------------------------------------------------------------------------
@@ -560,8 +567,8 @@ def f6_sane_checks(spark, d):
 def f7_applicable_knowledge(spark, d):
     """Entries that apply to each repository: its own and those of none."""
     k = rt.knowledge(table(spark, d, "documents")).groupBy("repository").agg(F.count("*").alias("n"))
-    everywhere = F.max(F.when(F.col("repository") == "", F.col("n"))).over(Window.partitionBy())  # one row per repository
-    return k.withColumn("n_global", F.coalesce(everywhere, F.lit(0))).where("repository <> ''").select("repository", (F.col("n") + F.col("n_global")).alias("entries"))
+    everywhere = k.agg(F.coalesce(F.max(F.when(F.col("repository") == "", F.col("n"))), F.lit(0)).alias("n_global"))  # one row
+    return k.where("repository <> ''").join(F.broadcast(everywhere)).select("repository", (F.col("n") + F.col("n_global")).alias("entries"))
 
 
 @query
@@ -571,9 +578,14 @@ def f13_listing(spark, d):
 
 @query
 def g11_merged_summaries(spark, d):
-    """Purposes of a repository's changes joined in order, languages together, the first fix kept."""
-    e = _entries(spark, d).select("repository", F.struct("entry_id", "bug_fix", "language").alias("x"))
-    return e.groupBy("repository").agg(F.array_sort(F.collect_list("x")).alias("x")).select("repository", F.md5(F.array_join(F.transform(F.filter("x", lambda v: v["bug_fix"] != ""), lambda v: v["bug_fix"]), " | ")).alias("purposes"), F.size("x").alias("changes"), F.array_join(F.array_sort(F.array_distinct(F.transform("x", lambda v: v["language"]))), ",").alias("languages"))
+    """What the summaries of a repository's changes come to: how many and how long, the first and the last fix in order, languages together."""
+    e = _entries(spark, d)
+    said = F.col("bug_fix") != ""
+    return e.groupBy("repository").agg(
+        F.count("*").alias("changes"), F.count_if(said).alias("purposes"), F.coalesce(F.sum(F.when(said, F.length("bug_fix"))), F.lit(0)).alias("n_chars"),
+        F.min_by(F.when(said, F.col("bug_fix")), F.when(said, F.col("entry_id"))).alias("first_fix"), F.max_by(F.when(said, F.col("bug_fix")), F.when(said, F.col("entry_id"))).alias("last_fix"),
+        F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages"),
+    )
 
 
 @query
@@ -616,9 +628,9 @@ def u6_task_order(spark, d):
 @query
 def w5_inflated_budget(spark, d):
     """Budget that counts a file before testing it, so it stays used up after the first that does not fit."""
-    rows = table(spark, d, "documents").where("text is not null")
-    used = F.sum(F.length("text")).over(Window.partitionBy("repository").orderBy("doc_id"))
-    return rows.withColumn("used", used).groupBy("repository").agg(F.count_if(F.col("used") <= 24_000).alias("taken"), F.max("used").alias("used"))
+    rows = table(spark, d, "documents").where("text is not null").select("repository", "doc_id", F.length("text").alias("size"))
+    taken = rt.prefix_budget(rows, "repository", ["doc_id"], F.col("size"), 24_000, bin=rt.bin_of("doc_id")).groupBy("repository").agg(F.count("*").alias("taken"))
+    return rows.groupBy("repository").agg(F.sum("size").alias("used")).join(taken, "repository", "left").select("repository", F.coalesce("taken", F.lit(0)).alias("taken"), "used")
 
 
 @query

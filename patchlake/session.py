@@ -38,22 +38,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for all executors; one of this machine only where the session runs on it alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="patchlake-shared-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return shared.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (``spark.checkpoint.dir``), so a lost executor loses nothing."""
+    """Cut lineage through the shared checkpoint folder (``spark.checkpoint.dir``), so a lost executor loses nothing.
+
+    The files of a checkpoint go when its DataFrame does, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="patchlake-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before a Python stage, where the scan has fewer partitions than there are cores.
 
-    A large table has more partitions than cores and stays as it is.
+    A large table has more partitions than cores and stays as it is.  As Python stages begin here, the executors get
+    this package first.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -30,8 +30,14 @@ def _struct(schema: str) -> str:
 
 
 def knowledge(spark: SparkSession, path: str, repository: str | None = None) -> DataFrame:
-    """Knowledge lines; corrupt lines are left out; with a repository its own and the global ones."""
-    rows = spark.read.schema(KNOWLEDGE).option("mode", "DROPMALFORMED").json(path)
+    """Knowledge lines; a corrupt line ends the reading of its file, what stands before it is kept; with a repository its own and the global ones.
+
+    The files are split by lines; where a file's first corrupt line stands is one number per file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("at")).where(F.trim("value") != "")
+    parsed = lines.withColumn("_r", F.from_json("value", KNOWLEDGE + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})).withColumn("_stop", F.col("_r._bad").isNotNull())
+    stops = parsed.where("_stop").groupBy("file").agg(F.min("at").alias("_end"))
+    rows = parsed.join(stops, "file", "left").where("_end is null or at < _end").select("_r.*").drop("_bad")
     return rows if repository is None else rows.where((F.coalesce("repository", F.lit("")) == "") | (F.col("repository") == repository))
 
 
@@ -42,9 +48,10 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """Last ``limit`` lines of a history file that are JSON, in the order of their time."""
-    rows = spark.read.text(path).select(F.col("value"), F.get_json_object("value", "$.ts").alias("ts")).where("ts is not null")
-    return rows.orderBy(F.desc("ts")).limit(limit)
+    """Of the last ``limit`` lines of a history file those that are JSON, newest first: lines are appended, so the last stand at its end."""
+    rows = spark.read.text(path).select("value", F.get_json_object("value", "$.ts").alias("ts"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    last = rows.orderBy(F.desc("_file"), F.desc("_block"), F.desc("_at")).limit(limit)
+    return last.where(F.get_json_object("value", "$").isNotNull()).select("value", "ts")
 
 
 def folder(spark: SparkSession, path: str, file_bytes: int = 1_000_000, total_bytes: int = 2_000_000) -> DataFrame:
@@ -52,9 +59,11 @@ def folder(spark: SparkSession, path: str, file_bytes: int = 1_000_000, total_by
     root = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_replace(F.col("path"), "^.*?" + root.replace("\\", "\\\\") + "/", "")
-    rows = files.select(name.alias("path"), "length", "content").where(~F.col("path").rlike(r"(^|/)\.") & (F.col("path").rlike(r"\.(" + "|".join(SNAPSHOT_ENDINGS) + ")$") | ~F.col("path").rlike(r"\.[^/]*$")) & (F.col("length") <= file_bytes))
-    used = F.sum("length").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))  # one bounded folder
-    return rows.withColumn("used", used).where(F.col("used") <= total_bytes).select("path", F.decode("content", "UTF-8").alias("content"))
+    every = files.select(name.alias("path"), "length", "content")
+    rows = every.select("path", "length").where(~F.col("path").rlike(r"(^|/)\.") & (F.col("path").rlike(r"\.(" + "|".join(SNAPSHOT_ENDINGS) + ")$") | ~F.col("path").rlike(r"\.[^/]*$")) & (F.col("length") <= file_bytes))
+    used = F.sum("length").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))  # over names and sizes only
+    taken = rows.withColumn("used", used).where(F.col("used") <= total_bytes).select("path")
+    return every.join(taken, "path", "left_semi").select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def diffs(spark: SparkSession, path: str) -> DataFrame:

@@ -7,12 +7,13 @@ final state can be held against the batch operator.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from patchlake.functions import columns as C
 from patchlake.operators import events as batch
+from patchlake.session import shared_folder
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -20,21 +21,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Without a watermark no row is late; the numbers seen are kept as state for the whole replay.
     """
+    return _files(spark, path).withColumn("received_at", F.col("received_at").cast("timestamp")).dropDuplicates(["event_no"])
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of finding events: every finding once, whole rows delivered again count once."""
+    return _files(spark, path).withColumn("category", C.category()).dropDuplicates()
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, name = (path, "*.parquet") if os.path.isdir(path) else os.path.split(path)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(folder)
-    stream = stream.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    return stream.dropDuplicates(["event_no"])
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 64).parquet(folder)
+
 
+def run(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run until all input is read and return the last row of every key.
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run until all input is read and return the last state (complete) or the rows written (append, update)."""
+    In update mode every batch adds the rows that it changed to a table in the shared folder, so neither the state nor
+    the result meets on the driver; reading it back, the newest batch of a key counts.
+    """
     spark = stream.sparkSession
-    name = "s_" + uuid.uuid4().hex
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="patchlake-stream-")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def each(rows: DataFrame, number: int) -> None:
+        rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/_batch_dir={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(f"{stream.schema.toDDL()}, _batch bigint").option("recursiveFileLookup", "true").parquet(f"{root}/rows") if q.lastProgress else spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    rest = [c for c in stream.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")
 
 
 def usage_totals(stream: DataFrame) -> DataFrame:
@@ -51,6 +68,11 @@ def kind_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("kind").count().withColumnRenamed("count", "n")
 
 
+def severity_counts(stream: DataFrame) -> DataFrame:
+    """The live counter of findings by severity."""
+    return stream.groupBy("severity").agg(F.count("*").alias("n"))
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 day") -> DataFrame:
     """Events of each kind by day of event time; an extension over the batch operators."""
     return stream.groupBy(F.window("event_ts", width).alias("w"), "kind").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "kind", "n")
@@ -68,6 +90,5 @@ def fan_out(stream: DataFrame, *sinks) -> None:
                 continue
         batch_rows.unpersist()
 
-    root = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="patchlake-stream-")
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}/{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
