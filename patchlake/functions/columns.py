@@ -64,6 +64,11 @@ def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("bigint")
 
 
+def experiment_slug(c: Column) -> Column:
+    """A name for a folder: lower case, runs of other signs to one dash, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9_.\-]", "_")
 

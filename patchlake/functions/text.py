@@ -33,6 +33,12 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
+def section(template: Column | str, name: str) -> Column:
+    """The text of a template under the heading ``## name``, up to the next heading of that level; '' without one."""
+    t = F.lit(template) if isinstance(template, str) else template
+    return F.regexp_replace(F.regexp_extract(t, rf"(?s)(?:^|\n)## {name}[ \t]*\n(.*?)(?=\n## |$)", 1), r"^\s+|\s+$", "")
+
+
 def retry_schedule(df: DataFrame, attempts: int = 3, backoff: float = 2.0) -> DataFrame:
     """Rows times attempts with the seconds to wait before each further one."""
     return df.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("wait", F.lit(backoff) * F.pow(F.lit(2.0), F.col("attempt")) + 0.1 * F.col("attempt"))

@@ -7,11 +7,12 @@ that does not parse gives no facts.
 from __future__ import annotations
 
 import ast
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C
 from patchlake.session import spread
@@ -44,8 +45,16 @@ SYMBOLS = {
     "java": [("class", r"^\s*(?:public|protected|private)?\s*(?:abstract\s+|final\s+|static\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:public\s+)?interface\s+(\w+)"), ("method", r"^\s*(?:public|protected|private|static|final|synchronized|abstract|\w+\[\]|\w+)\s+(\w+)\s*\([^;{]*\)\s*(?:throws\s+[\w, ]+)?\{")],
     "rust": [("function", r"^(?:pub(?:\([^)]*\))?\s+)?fn\s+(\w+)"), ("struct", r"^(?:pub\s+)?struct\s+(\w+)"), ("enum", r"^(?:pub\s+)?enum\s+(\w+)"), ("trait", r"^(?:pub\s+)?trait\s+(\w+)")],
     "ruby": [("class", r"^\s*class\s+(\w+)"), ("module", r"^\s*module\s+(\w+)"), ("method", r"^\s*def\s+(\w+)")],
-    "shell": [("function", r"^\s*(\w+)\s*\(\)\s*\{")],
-}
+    "shell": [("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")],
+    "typescript": [
+        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)[^=]*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"),
+        ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
+    ],
+    "c": [("struct", r"^(?:typedef\s+)?(?:struct|union|enum)\s+(\w+)\s*\{?\s*$"), ("function", r"^(?!\s|#|return\b|else\b|if\b|for\b|while\b|switch\b)[\w\s*]+?\b(\w+)\s*\([^;]*$")],
+    "cpp": [("class", r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(\w+)[^;]*$"), ("namespace", r"^\s*namespace\s+(\w+)"), ("function", r"^(?!\s|#|return\b|else\b|if\b|for\b|while\b|switch\b)[\w\s*&:<>,~]+?\b([\w~]+)\s*\([^;]*$")],
+    "kotlin": [("class", r"^\s*(?:(?:public|private|internal|open|abstract|sealed|data|enum)\s+)*(?:class|object|interface)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|internal|protected|override|open|suspend|inline)\s+)*fun\s+(?:<[^>]+>\s*)?(?:\w+\.)?(\w+)")],
+    "swift": [("type", r"^\s*(?:(?:public|private|internal|open|final|fileprivate)\s+)*(?:class|struct|enum|protocol|extension|actor)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|internal|open|static|class|override|mutating|fileprivate)\s+)*func\s+(\w+)")],
+}
 _BROAD = ("correctness", "maintainability", "data_integrity", "security", "performance", "reliability", "resource_lifecycle")
 _HANDLING = ("error_handling", "observability", "reliability")
 #: categories of findings that a flaw of the syntax tree on their line confirms
@@ -120,6 +129,9 @@ def facts_of(text: str) -> list[tuple[str, str, int, str]]:
         for t in s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []:
             if isinstance(t, ast.Name):
                 out.append(("variable", t.id, s.lineno, ""))
+    out += [("summary", name, 0, json.dumps(s)) for name, s in summaries(tree).items()]
+    if re.search(r"(?:^|\n)\s*(?:async\s+)?def test_", text):
+        out += [("test", n.name, n.lineno, "") for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name.startswith("test_")]
     out += taint(tree, handlers)
     return out
 
@@ -160,16 +172,48 @@ def _function_flaws(node: ast.AST, out: list) -> None:
     out.extend(("unused-local", k, line, node.name) for k, line in stored.items() if k not in read and not k.startswith("_"))
 
 
-def _summary(fn: ast.AST) -> dict[int, set[str]]:
-    """Kinds of sink that a parameter reaches directly."""
-    names = [a.arg for a in fn.args.args]
-    out: dict[int, set[str]] = {}
-    for call in ast.walk(fn):
-        if isinstance(call, ast.Call) and (kind := _sink(dotted(call.func))):
-            for n in ast.walk(call):
-                if isinstance(n, ast.Name) and n.id in names:
-                    out.setdefault(names.index(n.id), set()).add(kind)
-    return out
+def _summary(fn: ast.AST, known: dict[str, dict]) -> dict:
+    """Kinds of sink that each parameter reaches, through functions known so far too, and the parameters that are returned."""
+    names = [a.arg for a in [*fn.args.posonlyargs, *fn.args.args]]
+    held: dict[str, set[int]] = {n: {i} for i, n in enumerate(names)}  # locals by the parameters in them
+
+    def parameters(node: ast.AST) -> set[int]:
+        return set().union(*(held.get(n.id, ()) for n in ast.walk(node) if isinstance(n, ast.Name)))
+
+    for n in ast.walk(fn):
+        if isinstance(n, ast.Assign) and not (isinstance(n.value, ast.Call) and dotted(n.value.func) in SANITIZERS) and (found := parameters(n.value)):
+            for t in n.targets:
+                if isinstance(t, ast.Name):
+                    held[t.id] = held.get(t.id, set()) | found
+    sinks: dict[int, set[str]] = {}
+    returned: set[int] = set()
+    for n in ast.walk(fn):
+        if isinstance(n, ast.Call):
+            name = dotted(n.func)
+            kind = _sink(name)
+            if kind and not _parameterized(kind, n):
+                for i in parameters(ast.Tuple(elts=[*n.args, *[k.value for k in n.keywords]], ctx=ast.Load())):
+                    sinks.setdefault(i, set()).add(kind)
+            for at, kinds in known.get(name, {}).get("sinks", {}).items():
+                if at < len(n.args):
+                    for i in parameters(n.args[at]):
+                        sinks.setdefault(i, set()).update(kinds)
+        elif isinstance(n, ast.Return) and n.value is not None and not (isinstance(n.value, ast.Call) and dotted(n.value.func) in SANITIZERS):
+            returned |= parameters(n.value)
+    return {"sinks": {i: sorted(k) for i, k in sorted(sinks.items())}, "returns": sorted(returned)}
+
+
+def summaries(tree: ast.AST, outside: dict[str, dict] | None = None) -> dict[str, dict]:
+    """name -> summary of the functions of a file, the last first, so what a function calls further down is known; of a
+    name the first definition counts, and a file's own before those from ``outside``."""
+    known = dict(outside or {})
+    for f in reversed([n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]):
+        known[f.name] = _summary(f, known)
+    return known
+
+
+def _parameterized(kind: str, call: ast.Call) -> bool:
+    return kind == "sql" and (len(call.args) >= 2 or any(k.arg in ("params", "parameters") for k in call.keywords))
 
 
 def _sink(name: str) -> str:
@@ -178,11 +222,16 @@ def _sink(name: str) -> str:
     return next((k for s, k in _SINK_OF.items() if name == s or name.endswith("." + s)), "")
 
 
-def taint(tree: ast.AST, handlers: set) -> list[tuple[str, str, int, str]]:
-    """("taint", kind of sink, line, chain of names) for what a source reaches without a sanitizer, over one call too."""
+def route_handlers(tree: ast.AST) -> set:
+    return {n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and any(isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in HTTP_METHODS for d in n.decorator_list)}
+
+
+def taint(tree: ast.AST, handlers: set, outside: dict[str, dict] | None = None) -> list[tuple[str, str, int, str]]:
+    """("taint", kind of sink, line, chain of names) for what a source reaches without a sanitizer, through calls of
+    functions that are summarised too; what such a function does not return is not tainted by its arguments."""
     out: list[tuple[str, str, int, str]] = []
     functions = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-    known = {f.name: _summary(f) for f in reversed(functions)}
+    known = summaries(tree, outside)
 
     def dirty(node: ast.AST, env: dict[str, str]) -> str:
         """Chain by which the expression is tainted, '' if it is clean."""
@@ -192,8 +241,11 @@ def taint(tree: ast.AST, handlers: set) -> list[tuple[str, str, int, str]]:
             name = dotted(node)
             return name if name in SOURCES else dirty(node.value, env)
         if isinstance(node, ast.Call):
-            if dotted(node.func) in SANITIZERS:
+            name = dotted(node.func)
+            if name in SANITIZERS:
                 return ""
+            if name in known:
+                return next((f"{c} > {name}()" for i in known[name]["returns"] if i < len(node.args) and (c := dirty(node.args[i], env))), "")
             return next((c for a in [*node.args, *[k.value for k in node.keywords]] if (c := dirty(a, env))), "") or dirty(node.func, env)
         return next((c for n in ast.iter_child_nodes(node) if (c := dirty(n, env))), "")
 
@@ -230,10 +282,10 @@ def taint(tree: ast.AST, handlers: set) -> list[tuple[str, str, int, str]]:
                 continue
             name = dotted(call.func)
             kind = _sink(name)
-            if kind and not (kind == "sql" and (len(call.args) >= 2 or any(k.arg in ("params", "parameters") for k in call.keywords))):
+            if kind and not _parameterized(kind, call):
                 if chain := next((c for a in [*call.args, *[k.value for k in call.keywords]] if (c := dirty(a, env))), ""):
                     out.append(("taint", kind, call.lineno, f"{chain} > {name}"))
-            for i, kinds in known.get(name, {}).items():
+            for i, kinds in known.get(name, {}).get("sinks", {}).items():
                 if i < len(call.args) and (chain := dirty(call.args[i], env)):
                     out.extend(("taint", k, call.lineno, f"{chain} > {name}()") for k in sorted(kinds))
             if re.search(r"(?:^|\.)(?:log|logger|logging)\.\w+$", name) and any(isinstance(n, ast.Name) and n.id in SENSITIVE for a in call.args for n in ast.walk(a)):
@@ -263,6 +315,43 @@ def facts(files: DataFrame) -> DataFrame:
     return spread(python.select("entry_id", "path", "content")).mapInPandas(fn, FACTS)
 
 
+def cross_file_taint(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Facts with taint through functions of other files of the snapshot: the first definition of a name, by path, counts.
+
+    Only files that call a function which another file of their snapshot summarises are parsed again; their flows are then
+    those of the second pass, which knows what such a function returns.
+    """
+    made = found.where("fact = 'summary'").groupBy("entry_id", "name").agg(F.min_by(F.struct("path", "detail"), "path").alias("s")).select("entry_id", "name", F.col("s.path").alias("def_path"), F.col("s.detail").alias("detail"))
+    calls = found.where("fact = 'call'").select("entry_id", "path", "name").distinct()
+    needed = calls.join(made, ["entry_id", "name"]).where("path <> def_path").groupBy("entry_id", "path").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "detail")))).alias("outside"))
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for e, p, t, o in zip(b["entry_id"], b["path"], b["content"], b["outside"]):
+                outside = {n: {"sinks": {int(i): k for i, k in s["sinks"].items()}, "returns": s["returns"]} for n, s in ((n, json.loads(d)) for n, d in json.loads(o).items())}
+                try:
+                    tree = ast.parse(t)
+                    rows += [(e, p, *x) for x in taint(tree, route_handlers(tree), outside)]
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in FACTS.split(", ")])
+
+    again = files.join(needed, ["entry_id", "path"]).select("entry_id", "path", "content", "outside").mapInPandas(fn, FACTS)
+    kept = found.where("fact = 'taint'").join(needed.select("entry_id", "path"), ["entry_id", "path"], "left_anti").select(*found.columns)
+    return found.where("fact <> 'taint'").unionByName(kept).unionByName(again.distinct())
+
+
+def imported_names(text: Column) -> Column:
+    """Names that an import line of Python, JavaScript or TypeScript binds; none for other lines."""
+    part = lambda rx: F.nullif(F.regexp_extract(text, rx, 1), F.lit(""))
+    python = F.coalesce(part(r"^\s*from\s+\S+\s+import\s+\(?([\w ,.]+)\)?\s*(?:#.*)?$"), part(r"^\s*import\s+([\w ,.]+?)\s*(?:#.*)?$"))
+    script = F.coalesce(part(r"^\s*import\s+(?:type\s+)?([^'\"]+?)\s+from\s+['\"]"), part(r"^\s*(?:const|let|var)\s+(\{[^}]*\}|\w+)\s*=\s*require\("))
+    names = lambda clause, rename: F.transform(F.split(clause, ","), lambda p: F.regexp_extract(F.trim(F.regexp_replace(p, rename, "")), r"^([A-Za-z_$][\w$]*)", 1))
+    found = F.when(script.isNotNull(), names(F.translate(script, "{}", "  "), r"^.*(?:\bas\s|:)")).when(python.isNotNull(), names(python, r"^.* as "))
+    return F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda n: n != "")
+
+
 def unused_imports(found: DataFrame) -> DataFrame:
     """Imports whose name is loaded nowhere in the snapshot."""
     used = found.where("fact in ('load', 'call')").select("entry_id", "name").distinct()
@@ -377,6 +466,34 @@ def flaws(found: DataFrame, lines: DataFrame) -> DataFrame:
     return named.where(F.col("rule_id").isin(*FLAW_CATEGORIES)).select("entry_id", "path", "line", F.explode(categories[F.col("rule_id")]).alias("category"), "rule_id").distinct()
 
 
+def line_text(places: DataFrame, lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The places (entry_id, path, line) with their text: the first diff line of that new number, else the snapshot's line."""
+    shown = lines.where("new_line is not null").groupBy("entry_id", "path", F.col("new_line").alias("line")).agg(F.min_by("text", "pos").alias("shown"))
+    held = files.join(places.select("entry_id", "path", "line").distinct(), ["entry_id", "path"]).select("entry_id", "path", "line", F.get(F.split("content", r"\r\n|\n|\r", -1), F.col("line") - 1).alias("held"))
+    return places.join(shown, ["entry_id", "path", "line"], "left").join(held, ["entry_id", "path", "line"], "left").withColumn("text", F.coalesce("shown", "held")).drop("shown", "held")
+
+
+def dead_code(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """entry_id, path, line, rule_id, name, confidence: imports added and named nowhere else, locals of touched functions
+    that are never read, and statements on changed lines that nothing reaches.
+
+    An import counts as used if any other shown line of the diff, or any reference of the snapshot in any file, names it.
+    """
+    added = lines.where("kind = 'added'")
+    imports = added.select("entry_id", "path", F.col("new_line").alias("line"), F.explode(imported_names(F.col("text"))).alias("name"))
+    words = lines.where("kind <> 'removed'").select("entry_id", F.col("path").alias("at_path"), F.col("new_line").alias("at_line"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+    shown = imports.join(words, ["entry_id", "name"]).where("path <> at_path or line <> at_line").select("entry_id", "path", "line", "name").distinct()
+    held = found.where("fact in ('load', 'call')").select("entry_id", "name").distinct()
+    unused = imports.join(shown, ["entry_id", "path", "line", "name"], "left_anti").join(held, ["entry_id", "name"], "left_anti")
+    touched = added.select("entry_id", "path", "new_line").distinct()
+    spans = found.where("fact = 'span'").select("entry_id", "path", F.col("name").alias("function"), F.col("line").alias("first"), F.col("detail").cast("int").alias("last"))
+    functions = spans.join(touched, ["entry_id", "path"]).where("new_line between first and last").select("entry_id", "path", "function", "first", "last").distinct()
+    local = found.where("fact = 'unused-local'").withColumnRenamed("detail", "function").join(functions, ["entry_id", "path", "function"]).where("line between first and last")
+    gone = found.where("fact = 'unreachable'").join(touched.withColumnRenamed("new_line", "line"), ["entry_id", "path", "line"])
+    row = lambda df, rule, sure: df.select("entry_id", "path", "line", F.lit(rule).alias("rule_id"), "name", F.lit(sure).alias("confidence"))
+    return row(unused, "unused-import", 0.8).unionByName(row(local, "unused-local", 0.85)).unionByName(row(gone, "unreachable", 0.85)).distinct()
+
+
 def verify(findings: DataFrame, lines: DataFrame, file_rows: DataFrame, snapshot: DataFrame, evidence: DataFrame, key: str = "entry_id", found: DataFrame | None = None) -> DataFrame:
     """Evidence status of findings (key, ord, file_path, start_line, title, description, category).
 

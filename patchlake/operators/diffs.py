@@ -150,15 +150,43 @@ def group_descriptions(groups: DataFrame, key: str = "entry_id") -> DataFrame:
     return groups.groupBy(key, "grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "path"))), lambda x: x["path"]), ", ").alias("files"), F.sum("tokens").alias("tokens"))
 
 
+def added_texts(lines: DataFrame, key: str = "entry_id") -> DataFrame:
+    """key, file_idx, text: the added lines of each file joined, so rules that go over a line end can meet them."""
+    rows = lines.where("kind = 'added'").groupBy(key, "file_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x"))
+    return rows.select(key, "file_idx", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("text"))
+
+
+def limited(kept: DataFrame, sizes: DataFrame, max_chars: int, key: str = "entry_id") -> DataFrame:
+    """Of the files kept for a category (key, category, file_idx) those whose texts, in order, stay within ``max_chars``; the
+    first always stays, to be cut.  ``sizes``: key, file_idx, chars."""
+    w = Window.partitionBy(key, "category").orderBy("file_idx")
+    used = kept.join(sizes, [key, "file_idx"]).withColumn("_used", F.sum("chars").over(w)).withColumn("_n", F.row_number().over(w))
+    return used.where((F.col("_used") <= max_chars) | (F.col("_n") == 1)).select(key, "category", "file_idx", F.least("chars", F.lit(max_chars)).alias("chars"))
+
+
 def focused(lines: DataFrame, hits: DataFrame, key: str = "entry_id") -> DataFrame:
     """key, category, file_idx: files whose added text meets a category's rules, or all files where none does."""
     every = lines.select(key, "file_idx").distinct()
-    met = hits.select(key, "category", "file_idx").distinct()
+    met = hits.select(key, "category", "file_idx").distinct()  # hits of rules in a file's joined added text
     categories = F.broadcast(hits.sparkSession.createDataFrame([(c,) for c in C.CHECKS], "category string"))
     some = met.groupBy(key, "category").agg(F.lit(True).alias("some"))
     return every.join(categories).join(some, [key, "category"], "left").join(met.withColumn("met", F.lit(True)), [key, "category", "file_idx"], "left").where("some is null or met").select(key, "category", "file_idx")
 
 
+def commit_files(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
+    """key, files: the changed paths of a commit in the order of its diff, each once."""
+    f = files(entries, key, text).where("path is not null").groupBy(key, "path").agg(F.min("file_idx").alias("at"))
+    return f.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "path"))), lambda x: x["path"]), "\n").alias("files"))
+
+
+def imported(instances: DataFrame) -> DataFrame:
+    """Benchmark entries of recorded instances (instance_id, repo, base_commit, patch, problem_statement, snapshot map):
+    touched files and language come from the parsed patch; an instance whose patch has no file gives no entry."""
+    rows = instances.select(F.col("instance_id").alias("entry_id"), F.col("repo").alias("repository"), F.col("base_commit").alias("parent_commit"), F.col("problem_statement").alias("bug_description"), F.col("patch").alias("diff"), F.col("snapshot").alias("base_files"))
+    touched = files(rows).where("path is not null").groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "path"))), lambda x: x["path"]).alias("affected_files"), F.min_by("language", "file_idx").alias("language"))
+    return rows.join(touched, "entry_id").withColumn("hold_out", F.lit(True)).withColumn("base_files", F.map_filter("base_files", lambda p, _: F.array_contains("affected_files", p)))
+
+
 def repository_name(remote: str = "remote") -> Column:
     """owner/name of a remote address."""
     return F.regexp_extract(remote, r"[/:]([^/:]+/[^/]+?)(?:\.git)?/?$", 1)

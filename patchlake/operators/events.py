@@ -45,6 +45,13 @@ def capped_history(events: DataFrame, keep: int = 1000) -> DataFrame:
     return done.orderBy(F.desc("finished"), "review_id").limit(keep)
 
 
+def stage_versions(events: DataFrame, stages: tuple[str, ...], key: str = "model") -> DataFrame:
+    """review_id, versions: for each of the listed stages the last value that its events name under ``key``, as stage=value."""
+    named = events.where(F.col("stage").isin(*stages)).withColumn("_v", F.try_element_at("meta", F.lit(key))).where("_v is not null")
+    last = named.groupBy("review_id", "stage").agg(F.max_by("_v", F.struct("event_ts", "event_no")).alias("v"))
+    return last.groupBy("review_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "stage", "v"))), ",").alias("versions"))
+
+
 def stage_stats(events: DataFrame) -> DataFrame:
     return events.where(F.col("stage") != "").groupBy("stage").agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("stage_start", *DONE, "usage")],

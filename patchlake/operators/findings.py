@@ -179,3 +179,8 @@ def verification_summary(findings: DataFrame) -> DataFrame:
 
 def finding_id() -> Column:
     return F.concat_ws(":", F.col("file_path"), F.coalesce(F.col("start_line").cast("string"), F.lit("None")), F.col("category"))
+
+
+def embedded_patches(findings: DataFrame) -> DataFrame:
+    """Findings whose recommendation carries a patch, with it: from its first header to a fence, a blank line or the end."""
+    return findings.withColumn("patch", F.regexp_extract(F.coalesce("recommendation", F.lit("")), r"(?s)(diff --git .*?)(?:```|\n\n|$)", 1)).where("patch <> ''")

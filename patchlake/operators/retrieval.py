@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C
@@ -76,6 +78,61 @@ def prefix_budget(rows: DataFrame, by: str, order: list[str], size: Column, budg
     return used.where(F.col("used") < budget if overshoot else F.col("used") <= budget).select(*rows.columns, "used")
 
 
+def snapshot(files: DataFrame, changed: DataFrame, budget: int, most: int = 60, key: str = "entry_id") -> DataFrame:
+    """key, path, place, used: files of a snapshot as they are fetched, changed ones first in their order, then by path.
+
+    ``files`` are (key, path, content), ``changed`` (key, ord, path).  Blank files are skipped, at most ``most`` taken, and
+    the last one taken is that which begins before the budget of characters is used up.
+    """
+    first = changed.groupBy(key, "path").agg(F.min("ord").alias("_ord"))
+    rows = files.where(F.trim(F.coalesce("content", F.lit(""))) != "").select(key, "path", F.length("content").alias("_size")).join(first, [key, "path"], "left")
+    w = Window.partitionBy(key).orderBy(F.col("_ord").asc_nulls_last(), "path")
+    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("used", F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.where((F.col("place") <= most) & (F.col("used") < budget)).select(key, "path", "place", "used")
+
+
+#: how texts become vectors: (rows, key, text) -> key, idx, weight
+Embedder = Callable[[DataFrame, str, str], DataFrame]
+
+
+def hashed_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, idx, weight: signed hashed term counts of unit length; needs no corpus, so new texts can be embedded alone."""
+    tf = terms(rows, key, text)
+    v = tf.select(key, C.hashed_index(F.col("token"), DIMENSION).alias("idx"), (F.col("tf") * C.hashed_sign(F.col("token"))).alias("w")).repartition(key).groupBy(key, "idx").agg(F.sum("w").alias("w"))
+    return v.where("w <> 0").select(key, "idx", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))).alias("weight"))
+
+
+EMBEDDERS: dict[str, Embedder] = {"hashed-counts": hashed_counts, "tf-idf": weighted}
+
+
+def index(chunks: DataFrame, embedder: str = "hashed-counts", scope: str = "entry_id") -> DataFrame:
+    """scope, path, first_line, chunk, idx, weight: the chunks of (scope, path, first_line, text) embedded.  Spark feeds the
+    embedder in Arrow or row batches of its own, so there is no batch size here."""
+    named = chunks.withColumn("chunk", F.sha2(F.concat_ws("\0", scope, "path", F.col("first_line").cast("string"), "text"), 256)).dropDuplicates(["chunk"])
+    vectors = EMBEDDERS[embedder](named.select("chunk", "text"), "chunk", "text")
+    return vectors.join(named.select("chunk", scope, "path", "first_line"), "chunk").select(scope, "path", "first_line", "chunk", "idx", "weight")
+
+
+def retrieve(indexed: DataFrame, questions: DataFrame, k: int = TOP_K, embedder: str = "hashed-counts", scope: str = "entry_id") -> DataFrame:
+    """scope, rank, path, first_line, score: the ``k`` chunks of each question's own scope (scope, text) with the highest
+    cosine; only chunks that share a feature with the question are met."""
+    asked = EMBEDDERS[embedder](questions.select(scope, "text"), scope, "text").select(scope, "idx", F.col("weight").alias("_q"))
+    met = indexed.join(asked, [scope, "idx"]).groupBy(scope, "chunk").agg(F.first("path").alias("path"), F.first("first_line").alias("first_line"), F.round(F.sum(F.col("weight") * F.col("_q")), 6).alias("score"))
+    best = Window.partitionBy(scope).orderBy(F.desc("score"), "path", "first_line", "chunk")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(scope, "rank", "path", "first_line", "score")
+
+
+def removed(store: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries that stay, entries that go) when those with the content ids ``ids`` are removed."""
+    return store.join(ids.select("content_id"), "content_id", "left_anti"), store.join(ids.select("content_id").distinct(), "content_id", "left_semi")
+
+
+def dismissal(findings: DataFrame) -> DataFrame:
+    """Findings as entries that dismiss their like: review_id, ord, kind, title, content, repository, category, source_file, content_id."""
+    title, content = F.concat(F.lit("Dismissed: "), F.col("title")), F.concat_ws("\n", "description", F.concat(F.lit("File: "), "file_path"))
+    return findings.select("review_id", "ord", F.lit("dismissed").alias("kind"), title.alias("title"), content.alias("content"), "repository", "category", F.col("file_path").alias("source_file"), C.content_id(F.lit("dismissed"), title, content, F.col("repository"), F.col("category")).alias("content_id"))
+
+
 def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, section, title, content: one row per markdown heading with text under it; what precedes the first is dropped."""
     rows = documents.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, r"\r\n|\n|\r", -1)).alias("pos", "line"))

@@ -188,6 +188,32 @@ SQL = {
     "e1_stage_stats": f"WITH {_E} SELECT stage, {', '.join(f'count(*) FILTER (kind = {k!r}) AS {k}' for k in ('stage_start', 'stage_done', 'stage_failed', 'stage_skipped', 'usage'))}, round(avg(stage_seconds) FILTER (kind = 'stage_done'), 3) AS mean_seconds, max(stage_seconds) AS max_seconds FROM e WHERE stage <> '' GROUP BY 1",
     "e2_stream_usage": f"WITH {_E}, {_U} SELECT review_id, sum(it) AS input_tokens, sum(ca) AS calls, count(*) AS usages FROM u GROUP BY 1",
     "e3_stream_status": f"WITH {_E} SELECT review_id, stage, arg_max(kind, (event_ts, event_no)) AS status, max(event_ts) AS at FROM e WHERE stage <> '' GROUP BY 1, 2",
+    "d9_plain_focused_files": f"""WITH {DIFF}, a AS (SELECT entry_id, file_idx, string_agg(text, chr(10) ORDER BY pos) AS text FROM lines WHERE kind = 'added' GROUP BY 1, 2), h AS ({_rules_sql().replace('entry_id FROM a', 'entry_id, file_idx FROM a')}), fi AS (SELECT DISTINCT entry_id, file_idx FROM lines),
+        c AS (SELECT unnest([{', '.join(f"'{x}'" for x in C.CHECKS)}]) AS category), mt AS (SELECT DISTINCT entry_id, category, file_idx FROM h), kept AS (SELECT fi.entry_id, c.category, fi.file_idx FROM fi CROSS JOIN c WHERE (fi.entry_id, c.category) NOT IN (SELECT entry_id, category FROM mt) OR (fi.entry_id, c.category, fi.file_idx) IN (SELECT entry_id, category, file_idx FROM mt)),
+        z AS (SELECT k.*, coalesce(length(a.text), 0) AS chars FROM kept k LEFT JOIN a USING (entry_id, file_idx)), u AS (SELECT *, sum(chars) OVER w AS used, row_number() OVER w AS n FROM z WINDOW w AS (PARTITION BY entry_id, category ORDER BY file_idx))
+        SELECT category, count(*) AS files, sum(least(chars, 400)) AS chars FROM u WHERE used <= 400 OR n = 1 GROUP BY 1""",
+    "j3_line_texts": f"""WITH {DIFF}, {_FILES}, l AS (SELECT entry_id, path, arg_min(text, pos) AS shown FROM lines JOIN files USING (entry_id, file_idx) WHERE new_line = 12 GROUP BY 1, 2),
+        x AS (SELECT entry_id, path, coalesce(shown, string_split_regex(content, '\r\n|\n|\r')[12]) AS text FROM bf LEFT JOIN l USING (entry_id, path)) SELECT entry_id, path, md5(text) AS digest FROM x WHERE text IS NOT NULL""",
+    "s6_commit_files": f"WITH {DIFF}, x AS (SELECT entry_id, path, min(file_idx) AS nth FROM files WHERE path IS NOT NULL GROUP BY 1, 2) SELECT entry_id, md5(string_agg(path, chr(10) ORDER BY nth, path)) AS digest FROM x GROUP BY 1",
+    "s7_snapshots": f"""WITH {_FILES}, a AS (SELECT entry_id, generate_subscripts(affected_files, 1) AS o, unnest(affected_files) AS path FROM benchmark_entries), c AS (SELECT entry_id, path, min(o) AS o FROM a GROUP BY 1, 2),
+        x AS (SELECT entry_id, path, row_number() OVER w AS place, coalesce(sum(length(content)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM bf LEFT JOIN c USING (entry_id, path) WHERE trim(coalesce(content, '')) <> '' WINDOW w AS (PARTITION BY entry_id ORDER BY o NULLS LAST, path))
+        SELECT entry_id, path, place, used FROM x WHERE place <= 3 AND used < 1500""",
+    "s9_merged_pages": f"WITH {_FILES} SELECT entry_id, row_number() OVER (PARTITION BY entry_id ORDER BY path) AS place, path AS item FROM bf",
+    "s15_imported": f"""WITH {DIFF}, {_FILES}, t AS (SELECT entry_id, count(*) AS files, arg_min(language, file_idx) AS language FROM files WHERE path IS NOT NULL GROUP BY 1), h AS (SELECT entry_id, count(*) AS held FROM bf WHERE (entry_id, path) IN (SELECT entry_id, path FROM files WHERE path IS NOT NULL) GROUP BY 1)
+        SELECT entry_id, repository, t.language, files, coalesce(held, 0) AS held FROM benchmark_entries b JOIN t USING (entry_id) LEFT JOIN h USING (entry_id)""",
+    "f4_enabled_findings": f"WITH {F} SELECT review_id, ord, category FROM f WHERE category NOT IN ('testing', 'i18n')",
+    "z9_models": f"WITH {F} SELECT DISTINCT category, CASE WHEN category IN ('security', 'concurrency') THEN 'large' ELSE 'small' END AS model FROM f",
+    "z8_retried": f"""WITH {_S}, x AS (SELECT *, row_number() OVER (PARTITION BY entry_id, system ORDER BY scored_at, score_id) AS n FROM s), y AS (SELECT * FROM x WHERE n <= 3),
+        e AS (SELECT entry_id, system, coalesce(min(n) FILTER (success OR coalesce(error = 'budget_exceeded', FALSE)), max(n)) AS tries FROM y GROUP BY 1, 2)
+        SELECT entry_id, system, tries, CASE WHEN success THEN 'answered' ELSE 'failed' END AS outcome, CASE WHEN NOT success THEN error END AS error FROM e JOIN y USING (entry_id, system) WHERE n = tries""",
+    "k4_exports": f"WITH {F} SELECT format, count(DISTINCT review_id) AS documents, count(DISTINCT review_id) AS filled FROM f, (VALUES ('markdown'), ('json'), ('sarif')) v(format) GROUP BY 1",
+    "k8_removed": f"WITH {_KNOW}, g AS (SELECT DISTINCT arg_min(content_id, doc_id) AS content_id FROM ki GROUP BY category) SELECT kind, count(*) AS entries, max(doc_id) AS last FROM ki WHERE content_id NOT IN (SELECT content_id FROM g) GROUP BY 1",
+    "k11_redacted_payloads": f"WITH {_E} SELECT event_no, CASE WHEN payload->>'input_tokens' IS NOT NULL THEN '***' END AS input_tokens, payload->>'calls' AS calls, '***' AS api_key FROM e WHERE payload IS NOT NULL",
+    "g17_stage_versions": f"""WITH {_E}, x AS (SELECT review_id, stage, arg_max(meta['model'], (event_ts, event_no)) AS v FROM e WHERE stage IN ('planner', 'aggregator', 'verifier', 'checks') AND meta['model'] IS NOT NULL GROUP BY 1, 2)
+        SELECT review_id, string_agg(stage || '=' || v, ',' ORDER BY stage) AS versions FROM x GROUP BY 1""",
+    "x15_sections": "SELECT doc_id, regexp_replace('Review ' || coalesce(repository, ''), '\s+$', '') AS task, coalesce(kind, '') AS rules, '' AS absent FROM documents",
+    "x18_experiment_slugs": "SELECT entry_id, regexp_replace(regexp_replace(lower(repository), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark_entries",
+    "x22_dismissals": f"""WITH {F} SELECT review_id, ord, 'Dismissed: ' || title AS title, substring(sha256('dismissed' || chr(0) || 'Dismissed: ' || title || chr(0) || concat_ws(chr(10), description, 'File: ' || file_path) || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM f WHERE evidence_status = 'rejected'""",
     "e6_stream_severities": f"WITH {F} SELECT severity, count(*) AS n FROM f GROUP BY 1",
     "e6_stream_counts": f"WITH {_E} SELECT kind, count(*) AS n FROM e GROUP BY 1",
     "e7_stream_daily_counts": f"WITH {_E} SELECT date_trunc('day', event_ts)::TIMESTAMP AS day, kind, count(*) AS n FROM e GROUP BY 1, 2",

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from patchlake.functions import columns as C, rules, text
 from patchlake.operators import code, diffs, evaluation as ev, events, findings as fi, retrieval as rt
-from patchlake.plans import pipeline
-from patchlake.sources import sinks
+from patchlake.plans import fixtures, pipeline
+from patchlake.sources import readers, sinks
 from patchlake.session import checkpoint, table
 from patchlake.streaming import events as stream
 
@@ -243,10 +243,20 @@ def d8_to_text(spark, d):
 @query
 def d9_focused_files(spark, d):
     lines = diffs.numbered(_entries(spark, d))
-    hits = rules.rule_hits(lines.where("kind = 'added'").select("entry_id", "file_idx", "text"))
+    hits = rules.rule_hits(diffs.added_texts(lines))
     return diffs.focused(lines, hits).groupBy("category").agg(F.count("*").alias("files"), F.countDistinct("entry_id").alias("entries"))
 
 
+@query
+def d9_plain_focused_files(spark, d):
+    """The same for the rules that SQL can check, file by file and cut to 400 characters of added text per category."""
+    lines = diffs.numbered(_entries(spark, d))
+    texts = diffs.added_texts(lines)
+    kept = diffs.focused(lines, rules.rule_hits(texts, rules=[r for r in rules.RULES if "(?!" not in r[3]]))
+    sizes = lines.select("entry_id", "file_idx").distinct().join(texts.select("entry_id", "file_idx", F.length("text").alias("n")), ["entry_id", "file_idx"], "left").select("entry_id", "file_idx", F.coalesce("n", F.lit(0)).alias("chars"))
+    return diffs.limited(kept, sizes, 400).groupBy("category").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
+
+
 @query
 def d10_reversed(spark, d):
     return diffs.reversed_lines(diffs.numbered(_entries(spark, d))).groupBy("kind").agg(F.count("*").alias("lines"), F.sum("old_line").alias("old_sum"), F.sum("new_line").alias("new_sum"))
@@ -255,8 +265,7 @@ def d10_reversed(spark, d):
 @query
 def d11_embedded_patches(spark, d):
     """Recommendations that carry a patch, and where it begins."""
-    f = _findings(spark, d)
-    return f.select("review_id", "ord", F.regexp_extract("recommendation", r"(?s)(diff --git .*?)(?:```|\n\n|$)", 1).alias("patch")).where("patch <> ''")
+    return fi.embedded_patches(_findings(spark, d)).select("review_id", "ord", "patch")
 
 
 def _sizes(spark, d):
@@ -417,10 +426,9 @@ def x21_query_text(spark, d):
 
 @query
 def x24_import_names(spark, d):
-    """Names that added Python import lines bind."""
+    """Names that added import lines of Python, JavaScript and TypeScript bind."""
     a = diffs.numbered(_entries(spark, d)).where("kind = 'added'")
-    clause = F.coalesce(F.nullif(F.regexp_extract("text", r"^\s*from\s+\S+\s+import\s+\(?([\w ,.]+)", 1), F.lit("")), F.nullif(F.regexp_extract("text", r"^\s*import\s+([\w ,.]+)$", 1), F.lit("")))
-    return a.select("entry_id", "pos", clause.alias("clause")).where("clause is not null").select("entry_id", "pos", F.explode(F.split("clause", ",")).alias("part")).select("entry_id", "pos", F.regexp_extract(F.trim(F.regexp_replace("part", r"^.* as ", "")), r"^([A-Za-z_]\w*)", 1).alias("name")).where("name <> ''")
+    return a.select("entry_id", "pos", F.explode(code.imported_names(F.col("text"))).alias("name"))
 
 
 @query
@@ -666,11 +674,14 @@ def x22_knowledge_of_findings(spark, d):
 
 @query
 def j14_callers_digest(spark, d):
-    """At most six call sites of at most twelve symbols of each snapshot, as text."""
-    calls = code.callers(code.facts(_files(spark, d)))
+    """At most six call sites of at most twelve symbols of at most twenty changed files of each entry, as text."""
+    changed = sinks.first_rows(_entries(spark, d).select("entry_id", F.posexplode("affected_files").alias("at", "path")).groupBy("entry_id", "path").agg(F.min("at").alias("at")), "entry_id", ["at", "path"], 20)
+    found = checkpoint(code.facts(_files(spark, d)))
+    names = found.where("fact in ('function', 'async')").join(changed, ["entry_id", "path"]).groupBy("entry_id", "path", "at", "name").agg(F.min("line").alias("line"))
+    names = sinks.first_rows(names.withColumn("k", F.concat_ws(" ", "entry_id", "path")), "k", ["line", "name"], 12).drop("k").select("entry_id", "name").distinct()
+    calls = code.callers(found).join(names, ["entry_id", "name"])
     sites = sinks.first_rows(calls.withColumn("k", F.concat_ws(" ", "entry_id", "name")), "k", ["path", "line"], 6)
-    per = sites.groupBy("entry_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), ", ").alias("sites"))
-    return sinks.first_rows(per, "entry_id", ["name"], 12)
+    return sites.groupBy("entry_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: F.concat_ws(":", x["path"], x["line"].cast("string"))), ", ").alias("sites"))
 
 
 @query
@@ -704,7 +715,8 @@ def code_callers(spark, d):
 
 @query
 def code_taint(spark, d):
-    return code.facts(_files(spark, d)).where("fact = 'taint'").select("entry_id", "path", F.col("name").alias("kind"), "line", F.col("detail").alias("chain"))
+    files_ = _files(spark, d)
+    return code.cross_file_taint(files_, checkpoint(code.facts(files_))).where("fact = 'taint'").select("entry_id", "path", F.col("name").alias("kind"), "line", F.col("detail").alias("chain"))
 
 
 @query
@@ -758,11 +770,131 @@ def code_verified(spark, d):
     return code.verify(found, placed, files_, _files(spark, d).select("entry_id", "path"), hits, found=checkpoint(code.facts(_files(spark, d)))).groupBy("method", "evidence_status").agg(F.count("*").alias("n"))
 
 
+@query
+def code_retrieved(spark, d):
+    """The six chunks of each entry's snapshot that are nearest to its description."""
+    questions = _entries(spark, d).where("trim(coalesce(bug_description, '')) <> ''").select("entry_id", F.col("bug_description").alias("text"))
+    return rt.retrieve(rt.index(code.chunks(_files(spark, d))), questions)
+
+
+@query
+def code_dead(spark, d):
+    """Imports, locals and statements that each entry's change leaves without use."""
+    e = _entries(spark, d)
+    lines = diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    return code.dead_code(lines, checkpoint(code.facts(_files(spark, d)))).select("entry_id", "path", "line", "rule_id", "name")
+
+
+@query
+def j3_line_texts(spark, d):
+    """Text of line 12 of every snapshot file: as the diff shows it, else as the snapshot has it."""
+    e = _entries(spark, d)
+    lines = diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    files_ = _files(spark, d)
+    return code.line_text(files_.select("entry_id", "path", F.lit(12).alias("line")), lines, files_).where("text is not null").select("entry_id", "path", F.md5("text").alias("digest"))
+
+
+@query
+def s6_commit_files(spark, d):
+    return diffs.commit_files(_entries(spark, d)).select("entry_id", F.md5("files").alias("digest"))
+
+
+@query
+def s7_snapshots(spark, d):
+    """Files of each entry as a bounded fetch takes them: changed ones first, three at most, begun within 1,500 characters."""
+    changed = _entries(spark, d).select("entry_id", F.posexplode("affected_files").alias("ord", "path"))
+    return rt.snapshot(_files(spark, d), changed, 1500, most=3)
+
+
+@query
+def s9_merged_pages(spark, d):
+    """Pages of a listing, here the sorted paths of each snapshot in threes, put together again."""
+    paths = _entries(spark, d).select("entry_id", F.posexplode(F.array_sort(F.map_keys("base_files"))).alias("at", "path"))
+    pages = paths.groupBy("entry_id", (F.floor(F.col("at") / 3) + 1).alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("x")).select("entry_id", "page", F.transform("x", lambda v: v["path"]).alias("items"))
+    return readers.merged_pages(pages, "entry_id").select("entry_id", "place", "item")
+
+
+@query
+def s15_imported(spark, d):
+    """Entries again from instances as an importer records them."""
+    e = _entries(spark, d).select(F.col("entry_id").alias("instance_id"), F.col("repository").alias("repo"), F.col("parent_commit").alias("base_commit"), F.col("bug_description").alias("problem_statement"), F.col("diff").alias("patch"), F.col("base_files").alias("snapshot"))
+    return diffs.imported(e).select("entry_id", "repository", "language", F.size("affected_files").alias("files"), F.size(F.map_keys("base_files")).alias("held"))
+
+
+@query
+def f4_enabled_findings(spark, d):
+    """Findings that are left when two checks are switched off."""
+    return pipeline.enabled(_findings(spark, d), {"testing": False, "i18n": False, "security": True}).select("review_id", "ord", "category")
+
+
+@query
+def z9_models(spark, d):
+    """The model that answers for each category, with two overridden."""
+    return pipeline.models(_findings(spark, d).select("category").distinct(), "small", {"security": "large", "concurrency": "large"})
+
+
+@query
+def z8_retried(spark, d):
+    """What each entry's runs of a system come to as tries of one call: three at most, none after an exhausted budget."""
+    return pipeline.retried(_scores(spark, d), ["entry_id", "system"], ["scored_at", "score_id"], 3, ("budget_exceeded",))
+
+
+@query
+def k4_exports(spark, d):
+    """Documents of each format."""
+    f = _findings(spark, d)
+    made = None
+    for fmt in sinks.FORMATS:
+        part = sinks.documents(f, fmt).groupBy(F.lit(fmt).alias("format")).agg(F.count("*").alias("documents"), F.count_if(F.col("document") != "").alias("filled"))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+@query
+def k8_removed(spark, d):
+    """Entries that stay when the first entry of each category is removed."""
+    k = rt.knowledge(_documents(spark, d))
+    gone = k.groupBy("category").agg(F.min_by("content_id", "doc_id").alias("content_id"))
+    return rt.removed(k, gone)[0].groupBy("kind").agg(F.count("*").alias("entries"), F.max("doc_id").alias("last"))
+
+
+@query
+def k11_redacted_payloads(spark, d):
+    """Payloads with telling keys replaced at every depth (token counts are such keys)."""
+    e = _events(spark, d).where("payload is not null")
+    clean = e.select("event_no", sinks.redacted_json(F.concat(F.lit('{"run": {"items": ['), "payload", F.lit(']}, "api_key": {"deep": 1}}'))).alias("p"))
+    at = lambda p: F.get_json_object("p", p)
+    return clean.select("event_no", at("$.run.items[0].input_tokens").alias("input_tokens"), at("$.run.items[0].calls").alias("calls"), at("$.api_key").alias("api_key"))
+
+
+@query
+def g17_stage_versions(spark, d):
+    """The model that each stage of a review used last, for the listed stages."""
+    return events.stage_versions(_events(spark, d), ("planner", "aggregator", "verifier", "checks"))
+
+
+@query
+def x15_sections(spark, d):
+    """A section of each document by its heading's name."""
+    t = F.concat(F.lit("## Task\nReview "), F.coalesce("repository", F.lit("")), F.lit("\n## Rules\n"), F.coalesce("kind", F.lit("")), F.lit("\n\n"), F.lit("## End\n"))
+    return _documents(spark, d).select("doc_id", text.section(t, "Task").alias("task"), text.section(t, "Rules").alias("rules"), text.section(t, "Absent").alias("absent"))
+
+
+@query
+def x18_experiment_slugs(spark, d):
+    return _entries(spark, d).select("entry_id", C.experiment_slug(F.col("repository")).alias("slug"))
+
+
+@query
+def x22_dismissals(spark, d):
+    return rt.dismissal(_findings(spark, d).where("evidence_status = 'rejected'")).select("review_id", "ord", "title", "content_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    return Q | fixtures.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from patchlake.plans.oracles import SQL
 
-    return dict(SQL)
+    return SQL | fixtures.SQL

@@ -41,6 +41,16 @@ def knowledge(spark: SparkSession, path: str, repository: str | None = None) ->
     return rows if repository is None else rows.where((F.coalesce("repository", F.lit("")) == "") | (F.col("repository") == repository))
 
 
+def merged_pages(pages: DataFrame, key: str = "listing", most: int = 40) -> DataFrame:
+    """Items of recorded pages (key, page, items array, next) in order: key, place, item.  A listing of more than ``most``
+    pages, or with a page missing before one that is there, is an error, as a listing cut short would pass for a whole one."""
+    counts = Window.partitionBy(key)
+    bad = (F.max("page").over(counts) > most) | (F.count("*").over(counts) != F.max("page").over(counts))
+    checked = pages.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("listing incomplete or too long: "), F.col(key).cast("string")))).otherwise(F.lit(True))).where("_ok")
+    items = checked.select(key, "page", F.posexplode("items").alias("at", "item"))
+    return items.select(key, F.row_number().over(Window.partitionBy(key).orderBy("page", "at")).alias("place"), "item")
+
+
 def metrics(spark: SparkSession, path: str) -> DataFrame:
     """system, metric, value of a document {system: {metric: number}}."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("system", "m"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C
@@ -56,13 +60,64 @@ def redacted(meta: Column) -> Column:
     return F.transform_values(meta, lambda k, v: F.when(k.rlike(REDACTED_KEYS), F.lit("***")).otherwise(v))
 
 
+def redacted_json(c: Column) -> Column:
+    """JSON text with the values of telling keys replaced at every depth; what is no JSON stays as it is."""
+
+    @F.pandas_udf("string")
+    def clean(values: pd.Series) -> pd.Series:
+        telling = re.compile(REDACTED_KEYS[4:], re.I)
+
+        def walk(x: object) -> object:
+            if isinstance(x, dict):
+                return {k: "***" if telling.search(k) else walk(v) for k, v in x.items()}
+            return [walk(v) for v in x] if isinstance(x, list) else x
+
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False)
+            except ValueError:
+                return t
+
+        return values.map(one)
+
+    return clean(c)
+
+
+FORMATS = {"markdown": lambda f: markdown(f), "json": lambda f: json_documents(f), "sarif": lambda f: sarif(f)}
+
+
+def documents(findings: DataFrame, fmt: str) -> DataFrame:
+    """review_id, document in the format asked for."""
+    if fmt not in FORMATS:
+        raise ValueError(f"unknown format {fmt!r}, one of {', '.join(FORMATS)}")
+    return FORMATS[fmt](findings)
+
+
+def export(findings: DataFrame, fmt: str, path: str) -> None:
+    """The documents of all reviews as text, a folder per review."""
+    documents(findings, fmt).write.mode("errorifexists").partitionBy("review_id").text(path)
+
+
+def save_dataset(entries: DataFrame, path: str) -> None:
+    """A benchmark dataset as JSON lines (``.jsonl``), else as one document {"entries": [..]}: one row, so for small sets."""
+    if path.endswith(".jsonl"):
+        entries.write.mode("errorifexists").json(path)
+    else:
+        one = entries.agg(F.array_sort(F.collect_list(F.struct("entry_id", *[c for c in entries.columns if c != "entry_id"])), lambda a, b: F.when(a["entry_id"] < b["entry_id"], -1).when(a["entry_id"] > b["entry_id"], 1).otherwise(0)).alias("entries"))
+        one.select(F.to_json(F.struct("entries"))).coalesce(1).write.mode("errorifexists").text(path)
+
+
 def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
 def experiment(metrics: DataFrame, path: str) -> None:
-    """Metrics of a run in a folder that must not exist yet."""
-    metrics.write.mode("errorifexists").json(path)
+    """Metrics, latencies, costs and a summary of a run (a row per system) in a folder that must not exist yet."""
+    line = F.concat_ws(" | ", "system", *[F.concat(F.lit(m + " "), F.coalesce(F.col(m).cast("string"), F.lit("-"))) for m in ("precision", "recall", "f1")])
+    parts = {"metrics": metrics, "latency": metrics.select("system", "mean_latency_s"), "cost": metrics.select("system", "mean_cost_usd", "total_tokens"), "summary": metrics.select(line.alias("value"))}
+    for name, rows in parts.items():
+        writer = rows.coalesce(1).write.mode("errorifexists")  # a row per system
+        writer.text(f"{path}/{name}") if name == "summary" else writer.json(f"{path}/{name}")
 
 
 def capped(history: DataFrame, new: DataFrame, keep: int = 1000) -> DataFrame:

@@ -1,9 +1,13 @@
 import json
+import random
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
-from patchlake.operators import code, evaluation as ev
+from patchlake.functions import columns as C
+from patchlake.operators import code, evaluation as ev, retrieval
+from patchlake.plans import pipeline
 from patchlake.sources import readers, sinks
 from patchlake.sources.local_git import LocalGit
 
@@ -149,12 +153,12 @@ def test_benchmark_reader(spark, tmp_path):
 
 
 def test_lines_metrics_history_folder(spark, tmp_path):
-    (tmp_path / "k.jsonl").write_text('{"kind":"rule","title":"t","repository":"a/b"}\nbroken\n{"kind":"doc","title":"g"}\n{"kind":"doc","title":"o","repository":"c/d"}\n')
+    (tmp_path / "k.jsonl").write_text('{"kind":"rule","title":"t","repository":"a/b"}\n{"kind":"doc","title":"g"}\n{"kind":"doc","title":"o","repository":"c/d"}\nbroken\n{"kind":"doc","title":"late"}\n')
     assert {r.title for r in readers.knowledge(spark, str(tmp_path / "k.jsonl"), "a/b").collect()} == {"t", "g"}
     (tmp_path / "m.json").write_text('{"s": {"f1": 0.5, "recall": null, "system": "s"}}')
     assert {(r.metric, r.value) for r in readers.metrics(spark, str(tmp_path / "m.json")).collect()} == {("f1", 0.5), ("recall", None)}
     (tmp_path / "h.jsonl").write_text('{"ts":"2"}\nno\n{"ts":"1"}\n{"ts":"3"}\n')
-    assert [r.ts for r in readers.history(spark, str(tmp_path / "h.jsonl"), 2).collect()] == ["3", "2"]
+    assert [r.ts for r in readers.history(spark, str(tmp_path / "h.jsonl"), 2).collect()] == ["3", "1"]
     d = tmp_path / "repo"
     (d / ".git").mkdir(parents=True)
     for n, t in (("a.py", "1"), ("b.bin", "2"), (".git/c.py", "3"), ("Makefile", "4"), ("z.py", "5" * 100)):
@@ -183,10 +187,91 @@ def test_writers(spark, tmp_path):
     sinks.append_lines(rows, str(tmp_path / "l"))
     sinks.append_lines(rows, str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "l")).count() == 2
-    sinks.experiment(rows, str(tmp_path / "x"))
-    with pytest.raises(Exception):
-        sinks.experiment(rows, str(tmp_path / "x"))
     more = spark.createDataFrame([("3", 2), ("1", 3)], "ts string, n int")
     assert [r.ts for r in sinks.capped(rows, more, 2).collect()] == ["3", "2"]
     m = spark.createDataFrame([({"api_key": "v", "name": "n"},)], "meta map<string,string>")
     assert m.select(sinks.redacted(m["meta"])).first()[0] == {"api_key": "***", "name": "n"}
+
+
+def test_formats_datasets_and_experiments(spark, tmp_path):
+    f = spark.createDataFrame([("r1", 1, "security", "high", 0.9, "t", "a.py", 3, "confirmed")], "review_id string, ord bigint, category string, severity string, confidence double, title string, file_path string, start_line int, evidence_status string")
+    f = f.withColumns({"end_line": F.lit(None).cast("int"), "description": F.lit("d"), "rule_id": F.lit(None).cast("string"), "related_files": F.array().cast("array<string>")})
+    for fmt, part in (("markdown", "# Review r1"), ("json", '"review_id":"r1"'), ("sarif", '"2.1.0"')):
+        sinks.export(f, fmt, str(tmp_path / fmt))
+        assert part in " ".join(r.value for r in spark.read.text(str(tmp_path / fmt)).collect())
+    with pytest.raises(ValueError, match="unknown format"):
+        sinks.documents(f, "pdf")
+    e = spark.createDataFrame([("b", "x"), ("a", "y")], "entry_id string, bug_description string")
+    for name in ("set.json", "set.jsonl"):
+        sinks.save_dataset(e, str(tmp_path / name))
+        back = readers.benchmark(spark, str(tmp_path / name))
+        assert {(r.entry_id, r.bug_description, r.hold_out) for r in back.collect()} == {("a", "y", True), ("b", "x", True)}
+    m = spark.createDataFrame([("s", 0.5, 0.25, None, 1.5, 0.1, 10)], "system string, precision double, recall double, f1 double, mean_latency_s double, mean_cost_usd double, total_tokens bigint")
+    sinks.experiment(m, str(tmp_path / "run"))
+    assert spark.read.text(str(tmp_path / "run/summary")).first().value == "s | precision 0.5 | recall 0.25 | f1 -"
+    assert spark.read.json(str(tmp_path / "run/cost")).first().total_tokens == 10
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.experiment(m, str(tmp_path / "run"))
+
+
+def test_nested_secrets_pages_and_last_lines(spark, tmp_path):
+    d = spark.createDataFrame([('{"a": [{"api_key": "x", "n": 1}], "token": {"deep": 2}}',), ("no json",), (None,)], "j string")
+    assert [r.c for r in d.select(sinks.redacted_json(F.col("j")).alias("c")).collect()] == ['{"a": [{"api_key": "***", "n": 1}], "token": "***"}', "no json", None]
+    pages = spark.createDataFrame([("l", 2, ["c"]), ("l", 1, ["a", "b"])], "listing string, page int, items array<string>")
+    assert [r.item for r in readers.merged_pages(pages).orderBy("place").collect()] == ["a", "b", "c"]
+    for bad in (pages.where("page = 2"), spark.createDataFrame([("l", i, ["x"]) for i in range(1, 43)], pages.schema)):
+        with pytest.raises(Exception, match="incomplete or too long"):
+            readers.merged_pages(bad).collect()
+    (tmp_path / "h.jsonl").write_text("".join(f'{{"ts": "{9 - i}"}}\n' for i in range(6)) + "broken\n")
+    assert [r.ts for r in readers.history(spark, str(tmp_path / "h.jsonl"), 3).collect()] == ["4", "5"]
+
+
+def test_budget_by_bins_equals_one_window(spark):
+    rows = spark.createDataFrame([("ab"[i % 2], i, (i * 7) % 13 + 1) for i in range(300)], "by string, id bigint, size int")
+    for overshoot in (False, True):
+        for budget in (0, 5, 100, 10_000):
+            one, two = (retrieval.prefix_budget(rows, "by", ["id"], F.col("size"), budget, overshoot, bin=b) for b in (None, retrieval.bin_of("id", 10)))
+            assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
+
+
+def test_retrieval_equals_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    chunks = [("ab"[i % 2], f"p{i}", i, " ".join(rng.choices(words, k=12))) for i in range(30)]
+    asked = [("a", " ".join(rng.choices(words, k=6))), ("b", "w1 w2 w3"), ("c", "w1")]
+    d = spark.createDataFrame(chunks, "entry_id string, path string, first_line int, text string")
+    hashed = {r.w: (r.i, r.s) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", C.hashed_index(F.col("w"), retrieval.DIMENSION).alias("i"), C.hashed_sign(F.col("w")).alias("s")).collect()}
+
+    def vector(text):
+        v = Counter()
+        for w in text.split():
+            v[hashed[w][0]] += hashed[w][1]
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {i: x / n for i, x in v.items() if x}
+
+    want = set()
+    for e, q in asked:
+        qv = vector(q)
+        scored = [(round(sum(x * qv.get(i, 0) for i, x in vector(t).items()), 6), p, n) for o, p, n, t in chunks if o == e and vector(t).keys() & qv.keys()]
+        want |= {(e, i + 1, p, n, s) for i, (s, p, n) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1], x[2]))[:6])}
+    got = retrieval.retrieve(retrieval.index(d), spark.createDataFrame(asked, "entry_id string, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_retries_switches_models_and_baselines(spark):
+    rows = [("a", 1, False, "timeout"), ("a", 2, True, None), ("b", 1, False, "auth"), ("b", 2, True, None), ("c", 1, False, "x"), ("c", 2, False, "y"), ("c", 3, False, "z"), ("c", 4, True, None)]
+    d = spark.createDataFrame(rows, "k string, at int, success boolean, error string")
+    assert {tuple(r) for r in pipeline.retried(d, ["k"], ["at"]).collect()} == {("a", 2, "answered", None), ("b", 1, "failed", "auth"), ("c", 3, "failed", "z")}
+    f = spark.createDataFrame([("security",), ("testing",)], "category string")
+    assert [r.category for r in pipeline.enabled(f, {"testing": False}).collect()] == ["security"] and pipeline.enabled(f, {}).count() == 2
+    assert {tuple(r) for r in pipeline.models(f, "m", {"security": "big"}).collect()} == {("security", "big"), ("testing", "m")}
+    diff = "--- a/app.py\n+++ b/app.py\n@@ -1 +1,2 @@\n def f():\n+    return eval(x)\n"
+    e = spark.createDataFrame([("e", "o/r", diff, {"app.py": "def f():\n    return eval(x)\n"})], "entry_id string, repository string, diff string, base_files map<string,string>")
+    answers = spark.createDataFrame([("e", 1, "sorry"), ("e", 2, '{"findings": [{"category": "Testing", "severity": "low", "confidence": 0.9, "title": "no test", "description": "", "file_path": "app.py", "start_line": 2}]}'), ("e", 3, '{"findings": []}')], "entry_id string, attempt int, output string")
+    made = {n: b().collect() for n, b in pipeline.baselines(e, answers).items()}
+    assert set(made) == {"rules", "static", "workflow", "single-pass"}
+    assert [r.category for r in made["single-pass"]] == ["testing"] and {r.evidence_status for r in made["rules"]} == {"insufficient_evidence"}
+    assert any(r.rule_id == "eval-exec" and r.evidence_status == "confirmed" for r in made["workflow"])

@@ -73,5 +73,5 @@ def test_streams_keep_old_rows_of_later_batches(spark, tmp_path):
         row = pd.DataFrame({"event_no": [i], "kind": ["usage"], "received_at": [pd.Timestamp("2026-06-01") - pd.Timedelta(days=i)]})
         row.to_parquet(tmp_path / f"{i:03}.parquet", coerce_timestamps="us")
         os.utime(tmp_path / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
-    got = stream.run(stream.kind_counts(stream.read(spark, str(tmp_path))), "complete").collect()
+    got = stream.run(stream.kind_counts(stream.read(spark, str(tmp_path))), ["kind"]).collect()
     assert [(r.kind, r.n) for r in got] == [("usage", 135)]
