@@ -19,36 +19,49 @@ from patchlake.session import ship, spread
 
 _GIT_HEADER = ("diff --git ", "index ", "new file mode", "deleted file mode", "old mode", "new mode", "similarity index", "dissimilarity index", "rename from", "rename to", "copy from", "copy to", "Binary files")
 _HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@")
-_LINE = "pos int, line string, file_idx bigint, hunk_idx bigint, role string, old_line int, new_line int"
+_LINE = "pos int, line string, file_idx bigint, hunk_idx bigint, role string, old_line int, new_line int, path string"
 ROWS = 50_000  # of lines that leave the pass together
 
 
 def read_lines(diff: str) -> Iterator[tuple]:
-    """(pos, line, file_idx, hunk_idx, role, old_line, new_line) of a diff; hunk_idx is 0 in headers."""
+    """(pos, line, file_idx, hunk_idx, role, old_line, new_line, path) of a diff; hunk_idx is 0 and path none in headers."""
     rows = [x.removesuffix("\r") for x in diff.removesuffix("\n").split("\n")]
-    n, file, hunk, old, new = len(rows), 0, 0, 0, 0
+    n, file, hunk, old, new, path = len(rows), 0, 0, 0, 0, None
+    names: dict[str, str] = {}
     for pos, line in enumerate(rows):
         if line.startswith("diff --git ") or line.startswith("--- ") and pos + 2 < n and rows[pos + 1].startswith("+++ ") and rows[pos + 2].startswith("@@ -") and not (pos and rows[pos - 1].startswith(_GIT_HEADER)):
-            file, hunk = file + 1, 0
+            file, hunk, names = file + 1, 0, {}
         m = _HUNK.match(line) if file else None
         if m:
+            if not hunk:
+                path = _path(names)
             hunk, old, new = hunk + 1, int(m.group(1)), int(m.group(2))
-            yield pos, line, file, hunk, "hunk", None, None
+            yield pos, line, file, hunk, "hunk", None, None, path
         elif not hunk:
-            yield pos, line, file, hunk, "header", None, None
+            if line.startswith(("--- ", "+++ ")):
+                names[line[:3]] = line[4:].split("\t")[0].removeprefix("a/" if line[0] == "-" else "b/")
+            elif line.startswith("diff --git ") and (g := re.search(r" b/(.+)$", line)):
+                names["git"] = g.group(1)
+            yield pos, line, file, hunk, "header", None, None, None
         elif line[:1] == "+":
-            yield pos, line, file, hunk, "added", None, new
+            yield pos, line, file, hunk, "added", None, new, path
             new += 1
         elif line[:1] == "-":
-            yield pos, line, file, hunk, "removed", old, None
+            yield pos, line, file, hunk, "removed", old, None, path
             old += 1
         elif line[:1] == "\\":
-            yield pos, line, file, hunk, "marker", None, None
+            yield pos, line, file, hunk, "marker", None, None, path
         else:
-            yield pos, line, file, hunk, "context", old, new
+            yield pos, line, file, hunk, "context", old, new, path
             old, new = old + 1, new + 1
 
 
+def _path(names: dict[str, str]) -> str | None:
+    """The path after the change, of a deleted file the one before."""
+    real = {k: v for k, v in names.items() if v != "/dev/null"}
+    return real.get("+++", (real.get("git") if "+++" not in names else None) or real.get("---"))
+
+
 def marked(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """Lines with file_idx, hunk_idx (0 in headers), their role and numbers; a final line end opens no further line,
     carriage returns at line ends go, blank texts have no lines."""
@@ -98,8 +111,13 @@ def files(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> Data
 
 def numbered(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
     """key, file_idx, hunk_idx, pos, kind, text, old_line, new_line: the central table of changed and context lines."""
+    return placed(entries, key, text).drop("path")
+
+
+def placed(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:
+    """Numbered lines with the path of their file."""
     body = F.when(F.substring("line", 1, 1).isin("+", "-", " "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
-    return marked(entries, key, text).where("role in ('added', 'removed', 'context')").select(key, "file_idx", "hunk_idx", "pos", F.col("role").alias("kind"), body.alias("text"), "old_line", "new_line")
+    return marked(entries, key, text).where("role in ('added', 'removed', 'context')").select(key, "file_idx", "hunk_idx", "pos", F.col("role").alias("kind"), body.alias("text"), "old_line", "new_line", "path")
 
 
 def hunks(entries: DataFrame, key: str = "entry_id", text: str = "diff") -> DataFrame:

@@ -744,7 +744,7 @@ def j13_unreferenced_imports(spark, d):
 @query
 def code_signature_changes(spark, d):
     e = _entries(spark, d)
-    return code.signature_changes(diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"]))
+    return code.signature_changes(diffs.placed(e))
 
 
 @query
@@ -761,8 +761,7 @@ def code_snapshot_budget(spark, d):
 def code_verified(spark, d):
     """Verification of one finding per entry and touched file, at its first added line."""
     e = _entries(spark, d)
-    files_, lines = diffs.files(e), diffs.numbered(e)
-    placed = lines.join(files_.select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    files_, placed = diffs.files(e), diffs.placed(e)
     first = placed.where("kind = 'added'").groupBy("entry_id", "path").agg(F.min("new_line").alias("start_line"))
     text = e.select("entry_id", C.category().alias("category"), F.col("bug_fix").alias("title"), F.col("bug_description").alias("description"))
     found = files_.select("entry_id", F.col("file_idx").alias("ord"), "path").distinct().join(first, ["entry_id", "path"], "left").join(text, "entry_id").withColumnRenamed("path", "file_path")
@@ -781,7 +780,7 @@ def code_retrieved(spark, d):
 def code_dead(spark, d):
     """Imports, locals and statements that each entry's change leaves without use."""
     e = _entries(spark, d)
-    lines = diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    lines = diffs.placed(e)
     return code.dead_code(lines, checkpoint(code.facts(_files(spark, d)))).select("entry_id", "path", "line", "rule_id", "name")
 
 
@@ -789,7 +788,7 @@ def code_dead(spark, d):
 def j3_line_texts(spark, d):
     """Text of line 12 of every snapshot file: as the diff shows it, else as the snapshot has it."""
     e = _entries(spark, d)
-    lines = diffs.numbered(e).join(diffs.files(e).select("entry_id", "file_idx", "path"), ["entry_id", "file_idx"])
+    lines = diffs.placed(e)
     files_ = _files(spark, d)
     return code.line_text(files_.select("entry_id", "path", F.lit(12).alias("line")), lines, files_).where("text is not null").select("entry_id", "path", F.md5("text").alias("digest"))
 
