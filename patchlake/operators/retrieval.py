@@ -29,9 +29,9 @@ def weighted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """key, idx, weight: signed feature hashing of tf * idf, divided by the norm of the weights before they collide."""
     tf = terms(documents, key, text)
     n = documents.count()  # one number, from the files' footers
-    df = document_frequency(tf)
-    w = tf.join(df, "token").withColumn("w", F.col("tf") * idf(F.lit(n), F.col("df")))
-    v = w.select(key, C.hashed_index(F.col("token"), DIMENSION).alias("idx"), (F.col("w") * C.hashed_sign(F.col("token"))).alias("w"), (F.col("w") * F.col("w")).alias("_sq"))
+    df = document_frequency(tf).select("token", idf(F.lit(n), F.col("df")).alias("idf"), C.hashed_index(F.col("token"), DIMENSION).alias("idx"), C.hashed_sign(F.col("token")).alias("sign"))  # once per token
+    w = tf.join(df, "token").withColumn("w", F.col("tf") * F.col("idf"))
+    v = w.select(key, "idx", (F.col("w") * F.col("sign")).alias("w"), (F.col("w") * F.col("w")).alias("_sq"))
     v = v.repartition(key).groupBy(key, "idx").agg(F.sum("w").alias("w"), F.sum("_sq").alias("_sq"))  # one shuffle by document for both sums
     return v.select(key, "idx", (F.col("w") / F.sqrt(F.sum("_sq").over(Window.partitionBy(key)))).alias("weight"))
 
