@@ -7,11 +7,15 @@ where both sides agree exactly.  A pre-token that is itself long (a run without
 way: a window of ids around the join is encoded again and grown until its first id is the left half's and its last the
 right half's.  As ids are a valid encoding exactly if all neighbours are, the joined ids are those of the whole.
 
+The leaves of one document meet in one task, so a document's text and ids must fit its memory.  Encoding a pre-token by
+itself uses a function of the tokenizer library that is not public (tiktoken 0.x); without it the encoder does not start.
+
 Null and empty texts have the empty list of ids.  Extra columns are ignored, repeated rows give repeated rows.
 """
 
 from __future__ import annotations
 
+import ast
 import base64
 import os
 import re
@@ -30,6 +34,15 @@ LONG_PIECE, LEAF_PIECE = 1024, 256
 _ENCODERS: dict = {}
 
 
+def shipped_pattern(path: str) -> str:
+    """The pre-token pattern beside the vocabulary: the string that the file assigns to PATTERN, read but not run."""
+    with open(path, encoding="utf-8") as f:
+        for node in ast.parse(f.read()).body:
+            if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+                return ast.literal_eval(node.value)
+    raise ValueError(f"no PATTERN in {path}")
+
+
 class Encoder:
     """byte-level BPE from a rank file; ``pieces`` are the pre-tokens within which merges happen."""
 
@@ -37,15 +50,13 @@ class Encoder:
         import regex
         import tiktoken
 
-        scope: dict = {}
-        with open(os.path.join(directory, "__init__.py"), encoding="utf-8") as f:
-            for line in f:
-                if line.startswith("PATTERN"):
-                    exec(line, scope)  # the pattern shipped beside the vocabulary  # noqa: S102
+        pattern = shipped_pattern(os.path.join(directory, "__init__.py"))
         with open(os.path.join(directory, name + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.regex = regex.compile(scope["PATTERN"])
-        self.bpe = tiktoken.Encoding("own", pat_str=scope["PATTERN"], mergeable_ranks=ranks, special_tokens={})
+        self.regex = regex.compile(pattern)
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        if not hasattr(self.bpe, "_encode_single_piece"):
+            raise RuntimeError(f"tiktoken {tiktoken.__version__} cannot encode a single pre-token")
 
     def ids(self, text: str) -> list[int]:
         text = _clean(text)

@@ -3,7 +3,9 @@
 A text is read as a tree by the strength of the boundary before each line: file header, hunk, heading, unindented line
 after a blank one, blank line, list item or tag, then lines by indentation; below a line come statement ends, words and
 at last single characters (never between a letter and its combining mark or inside \\r\\n).  Sibling subtrees are merged
-bottom-up while they fit; only an oversized node is descended into.  Each piece but the first repeats the end of the one
+bottom-up while they fit; only an oversized node is descended into.  What is then left of neighbouring subtrees is
+joined while it fits, so a piece may begin within one subtree and end within the next; cuts stay where the tree had
+them.  Cores have ``limit - overlap`` characters at most, the first one too.  Each piece but the first repeats the end of the one
 before, up to ``overlap`` characters, from a line start when there is one.
 
 Pieces concatenated without their overlaps give the text back.  Null and texts within the limit give no row.
