@@ -75,7 +75,10 @@ def _char_class(codes: list[int]) -> str:
 
 
 _FOLD = _fold_table()
-_FOLDED = re.compile(_char_class(sorted(_FOLD)))
+#: one for each plane's sake: a class within the basic plane is a table, one that goes beyond is searched range by range
+_FOLDED = re.compile(_char_class([c for c in sorted(_FOLD) if c < 0x10000]))
+_BEYOND = re.compile("[^\\u0000-\\uffff]")
+_FOLDED_BEYOND = re.compile(_char_class([c for c in sorted(_FOLD) if c >= 0x10000]))
 _SHAPING = re.compile("[\u200c\u200d\ufe00-\ufe0f]")
 _JOINERS = re.compile(
     "(?<![؀-ࣿऀ-෿က-႟ក-៿])[‌‍]+(?![\U0001f000-\U0001faff☀-➿←-⇿⬀-⯿])"
@@ -133,7 +136,7 @@ def normalize(text: str | None) -> str | None:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
         for _ in range(2):  # an invisible character may have hidden another's neighbour
-            if _FOLDED.search(text):
+            if _FOLDED.search(text) or _BEYOND.search(text) and _FOLDED_BEYOND.search(text):
                 text = text.translate(_FOLD)
             if not _SHAPING.search(text):
                 break
