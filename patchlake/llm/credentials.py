@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from itertools import accumulate, islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patchlake.llm.places import places
 from patchlake.session import spread, table
@@ -527,3 +527,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(places(table(spark, sf_dir, "benchmark_entries")))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """texts, still_found, lines_changed: redacted texts in which a credential is still found, or which have other line counts."""
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, t in zip(b["place"], b["text"]):
+                found = scan(t, p)
+                out = redact(t, found) if found else t
+                rows.append((bool(found and scan(out, p)), out.count("\n") != t.count("\n")))
+            yield pd.DataFrame(rows, columns=["still", "moved"])
+
+    checked = spread(places(table(spark, sf_dir, "benchmark_entries")).select("place", "text")).mapInPandas(fn, "still boolean, moved boolean")
+    return checked.agg(F.count("*").alias("texts"), F.count_if("still").alias("still_found"), F.count_if("moved").alias("lines_changed"))
+
+
+SQL = {
+    "p2_clean": """
+        SELECT count(*) AS texts, 0 AS still_found, 0 AS lines_changed FROM
+        (SELECT diff AS t FROM benchmark_entries UNION ALL SELECT unnest(map_values(base_files)) FROM benchmark_entries) WHERE t IS NOT NULL""",
+}

@@ -189,3 +189,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(table(spark, sf_dir, "documents"))
+
+
+def p10_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, nulls, unstable, emptied: forms that a second pass changes, and visible texts that have no form."""
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            forms = [normalize(t) for t in b["text"]]
+            rows = [(n is None, n is not None and normalize(n) != n, bool(t) and not n and any(c.isalnum() for c in t)) for t, n in zip(b["text"], forms)]
+            yield pd.DataFrame(rows, columns=["none", "moved", "gone"])
+
+    checked = spread(table(spark, sf_dir, "documents").select("text")).mapInPandas(fn, "none boolean, moved boolean, gone boolean")
+    return checked.agg(F.count("*").alias("documents"), F.count_if("none").alias("nulls"), F.count_if("moved").alias("unstable"), F.count_if("gone").alias("emptied"))
+
+
+SQL = {"p10_stable": "SELECT count(*) AS documents, count(*) FILTER (text IS NULL) AS nulls, 0 AS unstable, 0 AS emptied FROM documents"}

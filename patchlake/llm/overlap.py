@@ -269,3 +269,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pairs.select(F.explode(F.array(*[F.struct(F.col("entry_" + x).alias("entry_id"), F.col("coverage_" + x).alias("coverage")) for x in "ab"])).alias("e")).select("e.*")
     split = F.when(F.col("hold_out"), "evaluation").otherwise("training").alias("split")
     return both.join(entries, "entry_id").groupBy(split, "repository").agg(F.countDistinct("entry_id").alias("entries"), F.count("*").alias("pairs"), F.round(F.avg("coverage"), 4).alias("coverage"))
+
+
+def p7_equal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The found pairs whose diffs are the same text: what a plain join on the text gives must be among them, and is all of these."""
+    texts = table(spark, sf_dir, "benchmark_entries").select("entry_id", F.xxhash64("diff").alias("hash"), F.length("diff").alias("size"))
+    a, b = (texts.select(F.col("entry_id").alias("entry_" + x), F.col("hash").alias("hash_" + x), F.col("size").alias("size_" + x)) for x in "ab")
+    pairs = p7_found(spark, sf_dir).join(a, "entry_a").join(b, "entry_b")
+    return pairs.where("hash_a = hash_b and size_a = size_b").select("entry_a", "entry_b")
+
+
+SQL = {
+    "p7_equal_pairs": """
+        SELECT DISTINCT least(a.entry_id, b.entry_id) AS entry_a, greatest(a.entry_id, b.entry_id) AS entry_b FROM benchmark_entries a JOIN benchmark_entries b ON a.diff = b.diff AND a.hold_out AND NOT b.hold_out
+        WHERE regexp_matches(a.diff, '@@ -[0-9]')""",
+}
