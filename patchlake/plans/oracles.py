@@ -214,6 +214,11 @@ SQL = {
     "x15_sections": "SELECT doc_id, regexp_replace('Review ' || coalesce(repository, ''), '\s+$', '') AS task, coalesce(kind, '') AS rules, '' AS absent FROM documents",
     "x18_experiment_slugs": "SELECT entry_id, regexp_replace(regexp_replace(lower(repository), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark_entries",
     "x22_dismissals": f"""WITH {F} SELECT review_id, ord, 'Dismissed: ' || title AS title, substring(sha256('dismissed' || chr(0) || 'Dismissed: ' || title || chr(0) || concat_ws(chr(10), description, 'File: ' || file_path) || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM f WHERE evidence_status = 'rejected'""",
+    "d11_embedded_patches": f"WITH {F}, x AS (SELECT review_id, ord, regexp_extract(coalesce(recommendation, ''), '(?s)(diff --git .*?)(?:```|\n\n|$)', 1) AS patch FROM f) SELECT review_id, ord, patch FROM x WHERE patch <> ''",
+    "x24_import_names": rf"""WITH {DIFF}, a AS (SELECT entry_id, pos, text, coalesce(nullif(regexp_extract(text, '^\s*import\s+(?:type\s+)?([^''"]+?)\s+from\s+[''"]', 1), ''), nullif(regexp_extract(text, '^\s*(?:const|let|var)\s+(\{{[^}}]*\}}|\w+)\s*=\s*require\(', 1), '')) AS sc,
+        coalesce(nullif(regexp_extract(text, '^\s*from\s+\S+\s+import\s+\(?([\w ,.]+)\)?\s*(?:#.*)?$', 1), ''), nullif(regexp_extract(text, '^\s*import\s+([\w ,.]+?)\s*(?:#.*)?$', 1), '')) AS py FROM lines WHERE kind = 'added'),
+        n AS (SELECT entry_id, pos, unnest(CASE WHEN sc IS NOT NULL THEN list_transform(string_split(translate(sc, '{{}}', '  '), ','), lambda p: regexp_replace(p, '^.*(?:\bas\s|:)', '')) ELSE list_transform(string_split(py, ','), lambda p: regexp_replace(p, '^.* as ', '')) END) AS part FROM a WHERE sc IS NOT NULL OR py IS NOT NULL),
+        x AS (SELECT entry_id, pos, regexp_extract(trim(part), '^([A-Za-z_$][\w$]*)', 1) AS name FROM n) SELECT entry_id, pos, name FROM x WHERE name <> ''""",
     "e6_stream_severities": f"WITH {F} SELECT severity, count(*) AS n FROM f GROUP BY 1",
     "e6_stream_counts": f"WITH {_E} SELECT kind, count(*) AS n FROM e GROUP BY 1",
     "e7_stream_daily_counts": f"WITH {_E} SELECT date_trunc('day', event_ts)::TIMESTAMP AS day, kind, count(*) AS n FROM e GROUP BY 1, 2",
