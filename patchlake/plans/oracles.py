@@ -226,7 +226,7 @@ SQL = {
     "j8_not_dismissed": f"""WITH {F}, {_KNOW}, {_DIS} SELECT review_id, ord FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE (coalesce(d.repository, '') = '' OR d.repository = f.repository) AND (d.category = '' OR d.category = f.category)
         AND ((d.source_file <> '' AND d.source_file = f.file_path) OR len(list_intersect({IDENT.format("concat_ws(' ', f.title, f.description)")}, {IDENT.format("concat_ws(' ', d.title, d.content)")})) >= 3))""",
     "s12_sections": f"""WITH {_LINES_OF_DOCS}, h AS (SELECT *, regexp_matches(line, '^#{{1,6}} +\\S') AS is_h FROM dl), x AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
-        SELECT doc_id, section, regexp_replace(max(line) FILTER (is_h), '^#{{1,6}} +|\\s+$', '', 'g') AS title, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), ''))) AS digest FROM x WHERE section > 0 GROUP BY 1, 2 HAVING trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), '')) <> ''""",
+        SELECT doc_id, section, regexp_replace(max(line) FILTER (is_h), '^#{{1,6}} +|\\s+$', '', 'g') AS title, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), ''), ' ')) AS digest FROM x WHERE section > 0 GROUP BY 1, 2 HAVING trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_h), ''), ' ') <> ''""",
     "x16_rendered": f"""WITH {_KNOW}, r AS (SELECT repository, doc_id, '- [' || kind || '] ' || title || ': ' || regexp_replace(content, '\\s+', ' ', 'g') AS whole, regexp_replace(content, '\\s+', ' ', 'g') AS flat FROM k WHERE kind = 'rule'),
         l AS (SELECT repository, doc_id, CASE WHEN length(flat) > 200 THEN substring(whole, 1, length(whole) - length(flat)) || rtrim(substring(flat, 1, 200)) || '...' ELSE whole END AS line FROM r),
         b AS (SELECT repository, string_agg(line, chr(10) ORDER BY doc_id) AS block FROM l GROUP BY 1) SELECT repository, md5(CASE WHEN length(block) > 1200 THEN rtrim(substring(block, 1, 1200)) || '...' ELSE block END) AS digest FROM b""",
