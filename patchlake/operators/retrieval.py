@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patchlake.functions import columns as C
@@ -37,20 +39,31 @@ def weighted(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: a stated set of queries against every vector, in blocks of queries.
+    """query_id, vec_id, score, rank: a stated set of queries against every vector, in blocks.
 
-    A task meets one block of queries with its vectors and keeps k per query before the rest is shuffled.
+    Vectors and queries come in blocks of at most ``block`` rows (vec_id is unique, and a query's id is one of the stated
+    part of them); a block of vectors meets a block of queries in one matrix product, which keeps k per query, and ties, so
+    a query shuffles k rows per block of vectors.
     """
-    blocks = F.floor(F.col("vec_id") / (50 * block))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), blocks.alias("block"))
-    ids = q.select("block").distinct()
-    small = q.limit(block + 1).count() <= block
-    met = vectors.join(F.broadcast(q)) if small else vectors.join(F.broadcast(ids)).join(q, "block")
-    met = met.where("vec_id <> query_id").select("query_id", "vec_id", F.round(C.cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-    top = Window.partitionBy("query_id", "_part").orderBy(F.desc("score"), "vec_id")
-    local = met.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k)
+    packed = lambda df, at, name: df.where("embedding is not null").groupBy(at.alias(name)).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias(name + "_rows"))
+    some = packed(vectors.select("vec_id", "embedding"), F.floor(F.col("vec_id") / block), "chunk").select(F.col("chunk_rows.vec_id").alias("ids"), F.col("chunk_rows.embedding").alias("vs"))
+    asked = packed(queries.select("vec_id", "embedding"), F.floor(F.col("vec_id") / (50 * block)), "ask").select(F.col("ask_rows.vec_id").alias("qids"), F.col("ask_rows.embedding").alias("qs"))
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, vs, qids, qs in zip(b["ids"], b["vs"], b["qids"], b["qs"]):
+                v, q, ids = np.array([*vs], np.float64), np.array([*qs], np.float64), np.asarray(ids)
+                norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                scores = np.divide(q @ v.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                scores[np.asarray(qids)[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))] - 2e-4  # those that rounding may bring up too
+                at = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                yield pd.DataFrame({"query_id": np.asarray(qids)[at[0]], "vec_id": ids[at[1]], "score": scores[at]})
+
+    met = some.join(F.broadcast(asked) if queries.limit(block + 1).count() <= block else asked)  # stated queries against all rows
+    found = met.mapInPandas(fn, "query_id bigint, vec_id bigint, score double").withColumn("score", F.round("score", 4))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def bin_of(column: str, width: int = 1000) -> Column:

@@ -211,7 +211,7 @@ SQL = {
     "k11_redacted_payloads": f"WITH {_E} SELECT event_no, CASE WHEN payload->>'input_tokens' IS NOT NULL THEN '***' END AS input_tokens, payload->>'calls' AS calls, '***' AS api_key FROM e WHERE payload IS NOT NULL",
     "g17_stage_versions": f"""WITH {_E}, x AS (SELECT review_id, stage, arg_max(meta['model'], (event_ts, event_no)) AS v FROM e WHERE stage IN ('planner', 'aggregator', 'verifier', 'checks') AND meta['model'] IS NOT NULL GROUP BY 1, 2)
         SELECT review_id, string_agg(stage || '=' || v, ',' ORDER BY stage) AS versions FROM x GROUP BY 1""",
-    "x15_sections": "SELECT doc_id, regexp_replace('Review ' || coalesce(repository, ''), '\s+$', '') AS task, coalesce(kind, '') AS rules, '' AS absent FROM documents",
+    "x15_sections": "SELECT doc_id, regexp_replace('Review ' || coalesce(repository, ''), '\\s+$', '') AS task, coalesce(kind, '') AS rules, '' AS absent FROM documents",
     "x18_experiment_slugs": "SELECT entry_id, regexp_replace(regexp_replace(lower(repository), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM benchmark_entries",
     "x22_dismissals": f"""WITH {F} SELECT review_id, ord, 'Dismissed: ' || title AS title, substring(sha256('dismissed' || chr(0) || 'Dismissed: ' || title || chr(0) || concat_ws(chr(10), description, 'File: ' || file_path) || chr(0) || repository || chr(0) || category), 1, 16) AS content_id FROM f WHERE evidence_status = 'rejected'""",
     "d11_embedded_patches": f"WITH {F}, x AS (SELECT review_id, ord, regexp_extract(coalesce(recommendation, ''), '(?s)(diff --git .*?)(?:```|\n\n|$)', 1) AS patch FROM f) SELECT review_id, ord, patch FROM x WHERE patch <> ''",
