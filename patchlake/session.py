@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for all executors; one of this machine only where the session runs on it alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="patchlake-shared-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)

@@ -44,12 +44,15 @@ def run(stream: DataFrame, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
+    written: list[int] = []
+
     def each(rows: DataFrame, number: int) -> None:
+        written.append(number)
         rows.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/rows/_batch_dir={number}")
 
     q = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    found = spark.read.schema(f"{stream.schema.toDDL()}, _batch bigint").option("recursiveFileLookup", "true").parquet(f"{root}/rows") if q.lastProgress else spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    found = spark.read.schema(f"{stream.schema.toDDL()}, _batch bigint").option("recursiveFileLookup", "true").parquet(f"{root}/rows") if written else spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
     rest = [c for c in stream.columns if c not in keys]
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")
 

@@ -75,3 +75,8 @@ def test_streams_keep_old_rows_of_later_batches(spark, tmp_path):
         os.utime(tmp_path / f"{i:03}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     got = stream.run(stream.kind_counts(stream.read(spark, str(tmp_path))), ["kind"]).collect()
     assert [(r.kind, r.n) for r in got] == [("usage", 135)]
+
+
+def test_stream_without_rows_has_no_result(spark, tmp_path):
+    spark.createDataFrame([], "event_no bigint, review_id string, kind string, stage string, payload string, event_ts timestamp, received_at timestamp").write.parquet(str(tmp_path / "e"))
+    assert stream.run(stream.kind_counts(stream.read(spark, str(tmp_path / "e"))), ["kind"]).collect() == []
