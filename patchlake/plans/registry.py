@@ -141,7 +141,7 @@ def j8_not_dismissed(spark, d):
 def u1_correlated(spark, d):
     """Findings with their interactions appended, clustered again; counts per review."""
     f = _findings(spark, d)
-    made = fi.interactions(f).select("review_id", (F.lit(1_000_000) + F.row_number().over(Window.partitionBy("review_id").orderBy("rule_id", "file_path", "start_line"))).cast("bigint").alias("ord"), "category", C.lookup(F.col("severity_rank"), {v: k for k, v in C.SEVERITY_RANK.items()}, "info").alias("severity"), "confidence", F.col("rule_id").alias("title"), F.col("rule_id").alias("description"), "file_path", "start_line")
+    made = fi.interactions(f).select("review_id", (F.lit(1 << 40) + F.row_number().over(Window.partitionBy("review_id").orderBy("rule_id", "file_path", "start_line"))).cast("bigint").alias("ord"), "category", C.lookup(F.col("severity_rank"), {v: k for k, v in C.SEVERITY_RANK.items()}, "info").alias("severity"), "confidence", F.col("rule_id").alias("title"), F.col("rule_id").alias("description"), "file_path", "start_line")
     every = f.select(*made.columns).unionByName(made)
     return fi.clusters(every).groupBy("review_id").agg(F.count("*").alias("findings"), F.countDistinct("cluster", "canonical").alias("clusters"))
 
