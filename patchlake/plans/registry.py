@@ -761,7 +761,7 @@ def code_snapshot_budget(spark, d):
 def code_verified(spark, d):
     """Verification of one finding per entry and touched file, at its first added line."""
     e = _entries(spark, d)
-    files_, placed = diffs.files(e), diffs.placed(e)
+    files_, placed = checkpoint(diffs.files(e)), checkpoint(diffs.placed(e).where("kind <> 'context'"))  # read several times
     first = placed.where("kind = 'added'").groupBy("entry_id", "path").agg(F.min("new_line").alias("start_line"))
     text = e.select("entry_id", C.category().alias("category"), F.col("bug_fix").alias("title"), F.col("bug_description").alias("description"))
     found = files_.select("entry_id", F.col("file_idx").alias("ord"), "path").distinct().join(first, ["entry_id", "path"], "left").join(text, "entry_id").withColumnRenamed("path", "file_path")
