@@ -106,7 +106,7 @@ def cached(requests: DataFrame, cache: DataFrame, call: Callable[[DataFrame], Da
 
 def reviewed(entries: DataFrame, producers: dict[str, Producer] | None = None, dismissals: DataFrame | None = None, least: float = 0.6, strictness: str = "balanced", switches: dict[str, bool] | None = None, verified: bool = True) -> DataFrame:
     """Ranked findings of every entry's diff, of the checks that ``switches`` leave on; without verification as produced."""
-    files, placed = diffs.files(entries), diffs.placed(entries)
+    files, placed = checkpoint(diffs.files(entries)), checkpoint(diffs.placed(entries))  # every producer and the verifier read them
     snapshot = entries.select("entry_id", F.explode("base_files").alias("path", "content"))
     facts = checkpoint(code.facts(snapshot))
     facts = checkpoint(code.cross_file_taint(snapshot, facts))
