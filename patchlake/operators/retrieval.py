@@ -155,20 +155,82 @@ def sections(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return s.where("content <> ''")
 
 
-def search(entries: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
+def search(entries: DataFrame, queries: DataFrame, k: int = 4, block: int = 16_384) -> DataFrame:
     """query_id, doc_id, score, rank by shared tokens, two more where the category is the query's; nothing without overlap.
 
-    Entries without a repository, or of the query's, take part.  The join runs on repository and token, and on
-    the token alone for entries of no repository, so only entries that share one are met.
+    Entries without a repository, or of the query's, take part; doc_id and query_id are unique.  Some ``block`` entries by
+    hash meet as many queries, where shared tokens are counted over columns of entries, and a query keeps its ``k`` best of
+    the block: a word that most texts hold makes no row for each pair of them.
     """
-    e = entries.select("doc_id", F.col("repository").alias("e_repository"), F.col("category").alias("e_category"), F.explode(F.array_distinct(C.word_tokens(F.concat_ws(" ", "title", "content")))).alias("token"))
-    q = queries.select("query_id", F.col("repository").alias("q_repository"), F.col("category").alias("q_category"), F.explode(F.array_distinct(C.word_tokens(F.col("query")))).alias("token"))
-    everywhere = F.coalesce(F.col("e_repository"), F.lit("")) == ""
-    own = e.where(~everywhere).join(q, (e["token"] == q["token"]) & (F.col("e_repository") == F.col("q_repository"))).drop("token")
-    pairs = own.unionByName(e.where(everywhere).join(q, "token").drop("token"))
-    met = pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.first(F.coalesce((F.col("q_category") != "") & (F.col("e_category") == F.col("q_category")), F.lit(False))).alias("same"))
-    scored = met.withColumn("score", F.col("shared") + F.when(F.col("same"), 2).otherwise(0))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+    parts = lambda df: df.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("n")).first()["n"]
+    n_e, n_q = parts(entries), parts(queries)
+    words = lambda c: F.array_join(F.array_distinct(C.word_tokens(c)), " ").alias("words")
+    scope = [F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("category", F.lit("")).alias("category")]
+    mine = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    e = entries.select("doc_id", *scope, words(F.concat_ws(" ", "title", "content")), mine("doc_id", n_e, "e_part")).select("*", every(n_q, "q_part"))
+    q = queries.select("query_id", *scope, words(F.col("query")), mine("query_id", n_q, "q_part")).select("*", every(n_e, "e_part"))
+
+    def fn(es: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        return _best_shared(es, qs, k)
+
+    met = e.groupBy("e_part", "q_part").cogroup(q.groupBy("e_part", "q_part")).applyInPandas(fn, "query_id bigint, doc_id bigint, score bigint")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def _best_shared(e: pd.DataFrame, q: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, doc_id, score: the ``k`` best of these entries for each of these queries."""
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    if len(e) and len(q):
+        vocabulary: dict[str, int] = {}
+        asked = [[vocabulary.setdefault(t, len(vocabulary)) for t in x.split()] for x in q["words"]]
+        e = e.sort_values(["repository", "doc_id"])  # those of no repository first
+        ids, n = e["doc_id"].to_numpy(), len(e)
+        held = [[i for t in x.split() if (i := vocabulary.get(t)) is not None] for x in e["words"]]
+        rows, tokens = np.repeat(np.arange(n), [len(x) for x in held]), np.fromiter((i for x in held for i in x), np.int64)
+        order = np.argsort(tokens, kind="stable")
+        rows, ends = rows[order], np.cumsum(np.bincount(tokens, minlength=len(vocabulary)))
+        holders = np.split(rows, ends[:-1]) if vocabulary else []  # rows of each token
+        columns = {}  # of tokens that many rows hold
+        for i, x in enumerate(holders):
+            if len(x) > n // 64:
+                columns[i] = np.zeros(n, np.uint8)
+                columns[i][x] = 1
+        alike = {c: np.flatnonzero(x) for c in set(q["category"]) if c and (x := (e["category"] == c).to_numpy()).any()}
+        repository = e["repository"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, repository[1:] != repository[:-1]])
+        span = dict(zip(repository[starts], zip(starts.tolist(), [*starts[1:].tolist(), n])))
+        for query_id, own, category, of in zip(q["query_id"], q["repository"], q["category"], asked):
+            spans = [span[x] for x in dict.fromkeys(("", own)) if x in span]
+            if not of or not spans:
+                continue
+            shared = np.zeros(n, np.uint8 if len(of) <= 253 else np.int32)
+            for i in of:
+                if (column := columns.get(i)) is not None:
+                    for a, b in spans:
+                        shared[a:b] += column[a:b]
+                else:
+                    shared[holders[i]] += 1
+            if (same := alike.get(category)) is not None:
+                x = shared[same]
+                shared[same] = x + 2 * (x > 0)
+            at = []
+            for a, b in spans:
+                score = shared[a:b]
+                least = int(score.max())
+                while least > 1 and np.count_nonzero(score >= least) < k:
+                    least -= 1
+                if least:
+                    at += [a + np.flatnonzero(score > least), a + np.flatnonzero(score == least)[:k]]
+            if at:
+                at = np.concatenate(at)
+                at = at[np.lexsort((ids[at], -shared[at].astype(np.int64)))[:k]]
+                found.append((query_id, ids[at], shared[at]))
+    if not found:
+        return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}, dtype="int64")
+    by, docs, scores = zip(*found)
+    return pd.DataFrame({"query_id": np.repeat(np.array(by, np.int64), [len(x) for x in docs]), "doc_id": np.concatenate(docs), "score": np.concatenate(scores).astype(np.int64)})
 
 
 def knowledge(documents: DataFrame) -> DataFrame:
